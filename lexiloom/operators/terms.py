@@ -52,60 +52,34 @@ def segments(blocks: DataFrame) -> DataFrame:
 def term_occurrences(blocks: DataFrame, max_words: int = 4) -> DataFrame:
     """Every run of 1..max_words words of a segment, with its key, span and evidence.
 
-    A window of at most ``max_words`` words is cut at each start, so the rows stay small however
-    long the text is.
+    Words are prepared once per segment; the runs are then cut from those arrays inside the
+    generated code of the two generators, so a row costs no more than its own few words.
     """
     if not 1 <= max_words <= 6:
         raise ValueError("max_words must be between 1 and 6")
-    return _occurrences(blocks, max_words)
-
-
-def _occurrences(blocks: DataFrame, max_words: int) -> DataFrame:
-    word = F.transform(
-        F.col("words"),
-        lambda w: F.struct(
-            w.alias("w"),
-            F.lower(F.replace(w, F.lit("’"), F.lit("'"))).alias("low"),
-            X.singularize(F.replace(w, F.lit("’"), F.lit("'"))).alias("one"),
-            F.lower(w).isin(*K.CONNECTORS).alias("link"),
-            X.is_title_token(w).alias("title"),
-        ),
-    )
-    starts = (
+    upper_first = lambda w: F.ascii(w).between(65, 90)
+    code = lambda w: F.when(F.lower(w).isin(*K.CONNECTORS), 2).when(upper_first(w) & X.is_title_token(w), 1).otherwise(0)
+    prepared = (
         segments(blocks)
-        .withColumn("_all", word)
+        .withColumn("_low", F.transform("words", lambda w: F.lower(F.replace(w, F.lit("’"), F.lit("'")))))
+        .withColumn("_code", F.transform("words", code))
+        .withColumn("_one", F.transform("_low", lambda w: F.when(F.endswith(w, F.lit("s")), X.singularize(w)).otherwise(w)))
         .withColumn("_n", F.size("words"))
-        .drop("words")
-        .select(
-            "*",
-            F.posexplode(F.transform(F.col("_all"), lambda _w, i: F.slice(F.col("_all"), i + 1, max_words))).alias("start", "_win"),
-        )
-        .drop("_all")
-    )
-    # Words in title form from the start, and the first word that is no connector.
-    titled = F.transform("_win", lambda w: ~(w["title"] | w["link"]))
-    plain = F.transform("_win", lambda w: ~w["link"])
-    first = lambda flags: F.coalesce(F.nullif(F.array_position(flags, True), F.lit(0)), F.lit(99))
-    sized = (
-        starts.withColumn("_bad", first(titled))
-        .withColumn("_word", first(plain))
-        .withColumn("length", F.explode(F.sequence(F.lit(1), F.size("_win"))))
     )
-    length = F.col("length")
-    part = F.slice("_win", F.lit(1), length)
-    last = F.element_at("_win", length)["one"]
-    key = F.when(length == 1, last).otherwise(
-        F.concat_ws(" ", F.transform(F.slice("_win", F.lit(1), length - 1), lambda w: w["low"]), last)
+    runs = prepared.select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("start")).select(
+        "*", F.explode(F.sequence(F.lit(1), F.least(F.lit(max_words), F.col("_n") - F.col("start")))).alias("length")
     )
-    title = (F.col("_bad") > length) & (F.col("_word") <= length) & ((F.col("start") > 0) | F.col("whole"))
-    return sized.select(
+    start, length = F.col("start"), F.col("length")
+    codes = F.slice("_code", start + 1, length)
+    titled = ~F.array_contains(codes, 0) & F.array_contains(codes, 1)
+    return runs.select(
         "project_id", "source_order", "block_id", "location", "example", "block_type", "segment", "start",
-        (F.col("start") + length).alias("end"),
+        (start + length).alias("end"),
         length.alias("length"),
-        key.alias("key"),
-        F.array_join(F.transform(part, lambda w: w["w"]), " ").alias("surface"),
-        (F.col("whole") & (F.col("start") == 0) & (length == F.col("_n"))).alias("heading"),
-        title.alias("title"),
+        F.concat_ws(" ", F.slice("_low", start + 1, length - 1), F.get("_one", start + length - 1)).alias("key"),
+        F.array_join(F.slice("words", start + 1, length), " ").alias("surface"),
+        (F.col("whole") & (start == 0) & (length == F.col("_n"))).alias("heading"),
+        (titled & ((start > 0) | F.col("whole"))).alias("title"),
     )
 
 

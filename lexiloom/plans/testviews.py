@@ -6,11 +6,12 @@ fixed arithmetic on their ids adds tokens, markers, hashes and review edits.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom import constants as K
 from lexiloom.functions import text as X
+from lexiloom.operators import layout as L
 from lexiloom.operators import scale
 from lexiloom.session import spread
 
@@ -141,3 +142,76 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .filter(F.col("snum") % 3 != 0)
         .select("project_id", F.concat(F.lit("Use {DMGR}\r\nor {Dark}"), extra).alias("prompt"))
     )
+
+
+def _fragment_text() -> Column:
+    k = (F.col("doc_id") + F.col("pos")) % 9
+    return (
+        F.when(k == 0, F.concat("t", F.lit("-")))
+        .when(k.isin(1, 3), F.lower("t"))
+        .when(k == 2, F.regexp_replace("t", "[.!?]+$", ""))
+        .otherwise(F.col("t"))
+    )
+
+
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is a page, every line a fragment on it."""
+    rows = L.number_fragments(lines(documents(spark, sf_dir)).withColumn("page", F.col("doc_id") + 1))
+    pos = F.col("pos")
+    x, y = (pos % 50 + 10).cast("double"), (pos * 5).cast("double")
+    return rows.select(
+        "project_id", "page", "doc_id", "pos", "id",
+        _fragment_text().alias("text"),
+        F.floor((pos - 1) / 3).cast("long").alias("block_index"),
+        ((pos - 1) % 3).alias("line_index"),
+        F.array(x, y, x + 290 + (pos % 200).cast("double"), y + 4.5).alias("bbox"),
+        F.array(F.lit(600.0), F.lit(800.0)).alias("page_size"),
+    )
+
+
+def refs(fragments: DataFrame) -> DataFrame:
+    """A model's block structure with left-out, repeated and unknown fragment ids."""
+    k, pos = F.col("doc_id") + F.col("pos"), F.col("pos")
+    block = F.floor((pos - 1) / 2).cast("long") + 1
+    entry = lambda cond, place, name: F.when(cond, F.struct(place.cast("long").alias("ref_pos"), name.alias("fragment_id")))
+    listed = F.array_compact(
+        F.array(
+            entry(k % 7 != 0, (pos - 1) % 2 + 1, F.col("id")),
+            entry(k % 11 == 0, F.lit(10), F.col("id")),
+            entry(k % 13 == 0, F.lit(20), F.format_string("P999-F%03d", pos)),
+        )
+    )
+    kind = F.col("block_pos") % 9
+    return (
+        fragments.withColumn("block_pos", block)
+        .select("project_id", "page", "block_pos", F.inline(listed))
+        .withColumn("type", F.when(kind == 1, "heading").when(kind == 5, "list_item").when(kind == 8, "page_number").otherwise("paragraph"))
+        .withColumn("include_in_text", kind != 8)
+        .withColumn("reason", F.lit(""))
+    )
+
+
+def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repaired, joined and merged blocks with their order on the page."""
+    frags = fragments(spark, sf_dir)
+    whole = L.merge_continuations(L.reconstruct_blocks(frags, L.recover_layout(frags, refs(frags))))
+    order = Window.partitionBy("project_id", "page").orderBy("block_pos")
+    return whole.withColumn("block_order", F.row_number().over(order).cast("long"))
+
+
+def ocr_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is an image, every line a transcribed block; some are malformed."""
+    k, y = F.col("doc_id") + F.col("line"), ((F.col("line") * 3) % 900).cast("double")
+    none = F.array().cast("array<string>")
+    box = F.array(F.lit(10.126), y, F.lit(500.0), y + 2.0)
+    return lines(documents(spark, sf_dir)).select(
+        F.concat(F.lit("img-"), "project_id").alias("project_id"),
+        F.concat(F.lit(K.IMAGE_ROOT + "/"), "project_id", F.lit("/Card "), F.col("doc_id").cast("string"), F.lit(".png")).alias("source_file"),
+        F.col("doc_id").alias("source_pos"),
+        F.col("line").alias("block_order"),
+        F.when(k % 17 == 0, "stamp").when(F.col("line") == 1, "title").otherwise("body").alias("type"),
+        F.concat(F.lit("  "), "t", F.when(k % 19 == 0, " [ILLEGIBLE]").otherwise("")).alias("text"),
+        F.when(k % 23 == 0, F.reverse(box)).otherwise(box).alias("bbox"),
+        F.when(k % 29 == 0, "uncertain").otherwise("clear").alias("legibility"),
+        F.when(F.col("doc_id") % 10 == 0, F.array(F.lit("glare"))).otherwise(none).alias("warnings"),
+    )
