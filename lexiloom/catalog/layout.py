@@ -151,7 +151,7 @@ register(
     "combined_text",
     lambda s, d: L.combined_text(L.page_text(V.layout_blocks(s, d))),
     "SELECT project_id, page, '[PAGE ' || page::VARCHAR || ']' || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY block_order) AS section "
-    "FROM v_merged WHERE include_in_text AND text <> '' GROUP BY ALL",
+    "FROM v_merged WHERE include_in_text AND text <> '' GROUP BY project_id, page",
 )
 
 view(
@@ -192,7 +192,7 @@ register(
         )
     ),
     "SELECT project_id, source_file, '[' || source_file || ']' || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY block_order) || chr(10) || chr(10) || "
-    f"'{K.REVIEW_SEPARATOR}' AS section FROM v_ocr GROUP BY ALL",
+    f"'{K.REVIEW_SEPARATOR}' AS section FROM v_ocr GROUP BY project_id, source_file",
 )
 
 

@@ -13,10 +13,10 @@ def view(name: str, body: str) -> None:
     _VIEWS[name] = body
 
 
-def _needed(body: str, seen: list[str]) -> list[str]:
+def _needed(body: str, seen: list[str], inside: tuple[str, ...] = ()) -> list[str]:
     for name in _VIEWS:
-        if name not in seen and re.search(rf"\b{name}\b", body):
-            _needed(_VIEWS[name], seen)
+        if name not in seen and name not in inside and re.search(rf"\b{name}\b", body):
+            _needed(_VIEWS[name], seen, (*inside, name))
             if name not in seen:
                 seen.append(name)
     return seen

@@ -13,6 +13,7 @@ from lexiloom import constants as K
 from lexiloom.functions import text as X
 from lexiloom.operators import layout as L
 from lexiloom.operators import scale
+from lexiloom.operators.source_qa import effective_text
 from lexiloom.session import spread
 
 
@@ -215,3 +216,78 @@ def ocr_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 29 == 0, "uncertain").otherwise("clear").alias("legibility"),
         F.when(F.col("doc_id") % 10 == 0, F.array(F.lit("glare"))).otherwise(none).alias("warnings"),
     )
+
+
+def termbase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first word of every document as a term of its project, and one icon term."""
+    first = documents(spark, sf_dir).select("project_id", "doc_id", F.regexp_extract("text", K.TERM_WORD, 0).alias("w"))
+    words = (
+        first.filter(F.col("w") != "")
+        .groupBy("project_id", F.lower("w").alias("lw"))
+        .agg(F.min("w").alias("source_term"), F.min("doc_id").alias("d"))
+    )
+    state = F.col("d") % 3
+    rows = words.select(
+        "project_id",
+        X.term_id(F.col("lw")).alias("candidate_id"),
+        "source_term",
+        F.when(state == 0, F.concat(F.upper("lw"), F.lit("Z"))).when(state == 1, F.col("source_term")).otherwise("").alias("translation"),
+        F.when(F.length("lw") > 6, "proper_noun").otherwise("term").alias("category"),
+        F.when(state == 0, "approved").when(state == 1, "keep").otherwise("rejected").alias("status"),
+        F.array("lw", F.concat("lw", F.lit("s"))).alias("variants"),
+    )
+    icons = documents(spark, sf_dir).select("project_id").distinct().select(
+        "project_id", F.lit("term-icon").alias("candidate_id"), F.lit("icon").alias("source_term"), F.lit("icon").alias("translation"),
+        F.lit("ui").alias("category"), F.lit("keep").alias("status"), F.array(F.lit("[ICON:"), F.lit("(icon")).alias("variants"),
+    )
+    return rows.unionByName(icons)
+
+
+def _ascii_upper(text: Column) -> Column:
+    return F.translate(text, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def _translated(k: Column, eff: Column) -> Column:
+    return (
+        F.when(k == 0, "")
+        .when(k == 1, eff)
+        .when(k == 2, F.replace(eff, F.lit("{DMGR}"), F.lit("")))
+        .when(k == 3, F.replace(eff, F.lit("<b>"), F.lit("<i>")))
+        .when(k == 4, F.concat(eff, F.lit(" 1 7")))
+        .when(k == 5, F.regexp_replace(eff, "[0-9]", "9"))
+        .when(k == 6, F.concat(F.lit("가 "), _ascii_upper(eff)))
+        .when(k == 7, F.concat(eff, F.lit(" " + K.REPLACEMENT_CHAR)))
+        .when(k == 8, F.concat(F.lit("가나 "), eff, F.lit(" [illegible]")))
+        .when(k == 9, F.lit("한글"))
+        .otherwise(F.concat(_ascii_upper(eff), F.lit("Z")))
+    )
+
+
+def pairs(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Every block as source text with a translation that breaks some of the rules."""
+    k, eff = (F.col("doc_id") + F.col("line")) % 11, effective_text()
+    return (block_rows(spark, sf_dir) if rows is None else rows).select(
+        "*", F.col("id").alias("block_id"), eff.alias("source_text"), X.strip(_translated(k, eff)).alias("translated_text")
+    )
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Translated segments of every block; an empty translation gets the source text."""
+    p = pairs(spark, sf_dir, blocks(spark, sf_dir))
+    text = F.when(F.col("translated_text") == "", F.col("source_text")).otherwise(F.col("translated_text"))
+    return p.select(
+        "project_id", "doc_id", "line", F.lit(1).alias("schema_version"), F.col("id").alias("source_block_id"), "source_file", "page",
+        "source_order", "block_type", "source_text", X.text_sha256("source_text").alias("source_sha256"),
+        text.alias("translated_text"), X.text_sha256(text).alias("translation_sha256"),
+        F.when((F.col("doc_id") + F.col("line")) % 11 == 1, "flagged").otherwise("translated").alias("status"),
+        F.lit("stub-model").alias("model"), F.sha2(F.lit("prompt"), 256).alias("prompt_sha256"),
+        F.sha2(F.lit("termbase"), 256).alias("termbase_sha256"),
+    )
+
+
+def reviewed(segments: DataFrame) -> DataFrame:
+    """Reviewed translations: one block in seven was corrected by hand."""
+    return segments.select(
+        "project_id", "source_block_id",
+        F.when((F.col("doc_id") + F.col("line")) % 7 == 0, F.concat("translated_text", F.lit(" 수정"))).otherwise(F.col("translated_text")).alias("text"),
+    )
