@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from lexiloom.catalog import blocks, layout, scalars, terms, translation  # noqa: F401
+from lexiloom.catalog import blocks, layout, reviews, scalars, terms, translation  # noqa: F401
 from lexiloom.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -109,7 +109,7 @@ _REMOVE = "regexp_replace(regexp_replace({a}, {p}, '\\1\\3', 'g'), {p}, '\\1\\3'
 view(
     "v_keep_text",
     rf"""SELECT f.project_id, f.block_id, list_reduce([f.source_text] || list(h.pattern ORDER BY length(h.variant) DESC, h.variant),
-      lambda acc, p: {_REMOVE.format(a='acc', p='p')}) AS rest FROM v_filled f JOIN v_hit h ON h.project_id = f.project_id AND h.text_id = f.block_id
+      lambda acc, p: {_REMOVE.format(a='acc', p='p')}) AS rest FROM v_pair f JOIN v_hit h ON h.project_id = f.project_id AND h.text_id = f.block_id
       WHERE h.status = 'keep' GROUP BY f.project_id, f.block_id, f.source_text""",
 )
 view(
@@ -167,10 +167,11 @@ register(
 )
 register(
     "latin_fully_kept",
-    lambda s, d: T.term_hits(V.pairs(s, d).filter("translated_text <> ''").select("project_id", F.col("id").alias("text_id"), F.col("source_text").alias("text")), V.termbase(s, d)).select(
+    lambda s, d: T.term_hits(texts(s, d), V.termbase(s, d)).select(
         "project_id", "text_id", I.latin_fully_kept(F.col("text"), F.transform(F.filter("hits", lambda h: h["status"] == "keep"), lambda h: h["variant"])).alias("kept")
     ),
-    "SELECT project_id, block_id AS text_id, kept FROM v_script",
+    "SELECT b.project_id, b.id AS text_id, k.rest IS NOT NULL AND NOT regexp_matches(k.rest, '[A-Za-z]') AS kept FROM v_block b "
+    "LEFT JOIN v_keep_text k ON k.project_id = b.project_id AND k.block_id = b.id",
 )
 register(
     "translation_qa_summary",
