@@ -1,6 +1,8 @@
 """All registered queries."""
 
-from lexiloom.catalog import blocks, layout, reviews, scalars, terms, translation  # noqa: F401
-from lexiloom.catalog.registry import ORACLES, QUERIES
+from lexiloom.catalog import blocks, glossary, layout, projects, reviews, scalars, terms, translation  # noqa: F401
+from lexiloom.catalog.registry import ORACLES, QUERIES, render_oracles
+
+render_oracles()
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -18,4 +18,10 @@ def register(name: str, query: Query, oracle: str | None = None) -> None:
         raise ValueError(f"query registered twice: {name}")
     QUERIES[name] = query
     if oracle is not None:
-        ORACLES[name] = sql(oracle)
+        ORACLES[name] = oracle
+
+
+def render_oracles() -> None:
+    """Put the derived tables in front of every statement, once all modules are loaded."""
+    for name, body in ORACLES.items():
+        ORACLES[name] = sql(body)

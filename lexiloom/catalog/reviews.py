@@ -16,6 +16,7 @@ from lexiloom.operators import rendering as R
 from lexiloom.operators import scale
 from lexiloom.operators.source_qa import effective_text
 from lexiloom.plans import testviews as V
+from lexiloom.session import settle
 from lexiloom.sources import readers
 
 _NL = "chr(10)"
@@ -99,17 +100,17 @@ register(
 
 def doc_segments(s, d):
     seg = V.segments(s, d).drop("source_order").withColumn("project_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string")))
-    return scale.number_rows(seg, ["project_id"], "line", [], "source_order")
+    return settle(scale.number_rows(seg, ["project_id"], "line", [], "source_order"))
 
 
 def doc_blocks(s, d):
     rows = V.block_rows(s, d).withColumn("project_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string")))
-    return scale.number_rows(rows, ["project_id"], "line", [], "source_order")
+    return settle(scale.number_rows(rows, ["project_id"], "line", [], "source_order"))
 
 
 def numbered_lines(parts):
-    split = parts.select("project_id", "source_order", F.posexplode(F.split("part", "\n")).alias("i", "line"))
-    return scale.number_rows(split, ["project_id"], "source_order", ["i"], "line_no")
+    split = settle(parts).select("project_id", "source_order", F.posexplode(F.split("part", "\n")).alias("i", "line"))
+    return settle(scale.number_rows(split, ["project_id"], "source_order", ["i"], "line_no"))
 
 
 def edited(lines):
@@ -205,7 +206,8 @@ def edits(rows):
 
 def reviewed_rows(s, d):
     rows = V.blocks(s, d)
-    return B.apply_review_edits(rows, edits(rows))
+    flat, problems = B.apply_review_edits(rows, edits(rows))
+    return settle(flat), problems
 
 
 view(
@@ -239,7 +241,7 @@ register(
 
 def _moved(s, d):
     rows = reviewed_rows(s, d)[0]
-    shifted = F.col("position") - F.when(F.pmod(F.col("position"), F.lit(46)) == 0, 41).otherwise(0)
+    shifted = F.col("position") * 100 - F.when(F.pmod(F.col("position"), F.lit(46)) == 0, 4150).otherwise(0)
     places = B.place_order(V.blocks(s, d))
     return B.group_order_check(rows.withColumn("position", shifted), places)
 
@@ -248,7 +250,7 @@ register(
     "group_order_check",
     lambda s, d: _moved(s, d).select("project_id", "position", "place_rank", "previous_rank"),
     """SELECT * FROM (SELECT project_id, position, place_rank, lag(place_rank) OVER (PARTITION BY project_id ORDER BY position) AS previous_rank FROM (
-      SELECT e.project_id, e.position - CASE WHEN e.position % 46 = 0 THEN 41 ELSE 0 END AS position, p.place_rank FROM v_edit e JOIN (
+      SELECT e.project_id, e.position * 100 - CASE WHEN e.position % 46 = 0 THEN 4150 ELSE 0 END AS position, p.place_rank FROM v_edit e JOIN (
         SELECT project_id, source_file, page, min(source_order) AS place_rank FROM v_block GROUP BY ALL) p
         ON p.project_id = e.project_id AND p.source_file = e.source_file AND p.page IS NOT DISTINCT FROM e.page)) WHERE previous_rank > place_rank""",
 )

@@ -17,6 +17,7 @@ from lexiloom.operators import translation_qa as TQ
 from lexiloom.operators import validation as VAL
 from lexiloom.operators.source_qa import effective_text
 from lexiloom.plans import testviews as V
+from lexiloom.session import settle
 
 view(
     "v_termbase",
@@ -227,7 +228,7 @@ view(
 
 def packed(s, d):
     b = V.blocks(s, d)
-    return b, T.pack_chunks(b, effective_text(), LIMIT, span=512)
+    return b, settle(T.pack_chunks(b, effective_text(), LIMIT, span=512))
 
 
 register(

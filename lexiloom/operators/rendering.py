@@ -15,6 +15,7 @@ from lexiloom.functions import text as X
 from lexiloom.operators import scale
 from lexiloom.operators.source_qa import effective_text
 from lexiloom.operators.validation import effective_translation
+from lexiloom.session import settle
 
 
 def _marker(kind: str, block: Column) -> Column:
@@ -144,9 +145,9 @@ def _blank() -> Column:
     return F.col("line").isin("", K.REVIEW_SEPARATOR)
 
 
-def _opened(lines: DataFrame, header: str, span: int) -> DataFrame:
+def _opened(lines: DataFrame, span: int) -> DataFrame:
     """Region lines with the number of their first line that is not spacing (``start``)."""
-    rows = _regions(lines.filter(~((F.col("line_no") == 1) & F.col("line").rlike(header))), span)
+    rows = settle(_regions(lines.filter(F.col("line_no") > 1), span))
     first = rows.groupBy("project_id", "ordinal").agg(F.min(F.when(~_blank(), F.col("line_no"))).alias("start"))
     return rows.join(first, ["project_id", "ordinal"])
 
@@ -187,7 +188,7 @@ def parse_source_review(lines: DataFrame, expected: DataFrame, span: int = scale
     want = expected.select(
         "project_id", F.col("source_order").alias("ordinal"), F.col("id").alias("block_id"), _source_locator().alias("want_place")
     )
-    opened = _opened(lines, K.SOURCE_REVIEW_HEADERS, span)
+    opened = _opened(lines, span)
     offset = F.col("line_no") - F.col("start")
     seen = opened.groupBy("project_id", "ordinal").agg(
         F.max(F.when(offset == 0, F.col("line"))).alias("place"),
@@ -218,11 +219,11 @@ def parse_translation_review(lines: DataFrame, segments: DataFrame, span: int =
 
     ``segments``: project_id, source_order (1..n), source_block_id, page, source_file, source_text.
     """
-    want = locator_change(segments, span).select(
+    want = settle(locator_change(segments, span).select(
         "project_id", F.col("source_order").alias("ordinal"), F.col("source_block_id").alias("block_id"),
         "locator", "changed", "source_text", F.size(F.split("source_text", "\n")).alias("n"),
-    )
-    opened = _opened(lines, K.TRANSLATION_REVIEW_HEADERS, span).join(
+    ))
+    opened = _opened(lines, span).join(
         want.select("project_id", "ordinal", "changed", "n"), ["project_id", "ordinal"], "left"
     )
     # Offset 0 is the block marker; a changed place puts the locator before it.

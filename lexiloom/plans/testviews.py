@@ -14,7 +14,7 @@ from lexiloom.functions import text as X
 from lexiloom.operators import layout as L
 from lexiloom.operators import scale
 from lexiloom.operators.source_qa import effective_text
-from lexiloom.session import spread
+from lexiloom.session import settle, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,7 +131,7 @@ def block_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source blocks numbered within their project."""
-    return scale.number_rows(block_rows(spark, sf_dir), ["project_id"], "doc_id", ["line"], "source_order")
+    return settle(scale.number_rows(block_rows(spark, sf_dir), ["project_id"], "doc_id", ["line"], "source_order"))
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +43,19 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), name)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """The table written once below the shared checkpoint folder and read back.
+
+    For tables that several branches of one flow read (numbered blocks, review lines): each
+    branch then scans only its columns instead of running the whole flow before it again, and a
+    lost executor costs a read, not a recomputation.
+    """
+    spark = df.sparkSession
+    path = work_dir(spark, f"table-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash rows over the cores when a scan arrives in fewer tasks than there are cores.
 
