@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexiloom import constants as K
 from lexiloom.functions import text as X
 from lexiloom.operators import terms as T
+from lexiloom.session import settle
 
 
 def review_rows(candidates: DataFrame, occurrences: DataFrame) -> DataFrame:
@@ -16,6 +17,9 @@ def review_rows(candidates: DataFrame, occurrences: DataFrame) -> DataFrame:
     Surfaces, places and examples come from their own aggregates over the chosen candidates.
     """
     keys = candidates.select(*T.KEY)
+    occurrences = settle(
+        occurrences.join(keys.distinct(), T.KEY, "left_semi").select(*T.KEY, "surface", "location", "source_order", "example")
+    )
     surfaces = T.term_variants(occurrences, keys).groupBy(*T.KEY).agg(
         F.array_sort(F.collect_list(F.struct(F.lower("surface").alias("l"), F.col("surface").alias("v")))).alias("_v")
     )

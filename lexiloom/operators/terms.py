@@ -13,6 +13,7 @@ from lexiloom import constants as K
 from lexiloom.functions import text as X
 from lexiloom.operators import scale
 from lexiloom.operators.source_qa import effective_text
+from lexiloom.session import settle
 
 KEY = ["project_id", "key"]
 PLACE = ["project_id", "source_order", "segment", "start"]
@@ -213,7 +214,7 @@ def prune_nested_terms(stats: DataFrame, occurrences: DataFrame, max_words: int
 def term_candidates(blocks: DataFrame, min_frequency: int = 2, max_words: int = 4) -> DataFrame:
     """All pruned candidates with score, representative surface and category."""
     occurrences = term_occurrences(blocks, max_words)
-    stats = term_stats(occurrences, min_frequency)
+    stats = settle(term_stats(occurrences, min_frequency))
     kept = prune_nested_terms(stats, occurrences, max_words)
     # The surface counts are joined to the kept keys only after their own aggregation.
     surfaces = representative_surface(surface_counts(occurrences.filter(can_qualify())))
