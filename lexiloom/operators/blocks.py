@@ -10,6 +10,7 @@ from lexiloom.functions import items as I
 from lexiloom.functions import text as X
 from lexiloom.operators import scale
 from lexiloom.operators.source_qa import effective_text
+from lexiloom.session import settle
 
 
 def unify_blocks(*parts: DataFrame) -> DataFrame:
@@ -20,8 +21,11 @@ def unify_blocks(*parts: DataFrame) -> DataFrame:
 
 
 def assign_source_order(blocks: DataFrame, position: str = "source_pos", order: str = "block_order") -> DataFrame:
-    """Running block number per project over its pages or images, then blocks."""
-    return scale.number_rows(blocks, ["project_id"], position, [order], "source_order")
+    """Running block number per project over its pages or images, then blocks.
+
+    The blocks are written once first: numbering reads them twice, the second time only the keys.
+    """
+    return scale.number_rows(settle(blocks), ["project_id"], position, [order], "source_order")
 
 
 def included_blocks(blocks: DataFrame) -> DataFrame:
