@@ -25,7 +25,8 @@ def _needed(body: str, seen: list[str], inside: tuple[str, ...] = ()) -> list[st
 def sql(body: str) -> str:
     """The statement with a WITH clause for every derived table it mentions."""
     names = _needed(body, [])
-    clause = ",\n".join(f"{n} AS ({_VIEWS[n]})" for n in names)
+    keep = lambda n: "" if "RECURSIVE_MARK" in _VIEWS[n] else "MATERIALIZED "
+    clause = ",\n".join(f"{n} AS {keep(n)}({_VIEWS[n]})" for n in names)
     recursive = "RECURSIVE " if any("RECURSIVE_MARK" in _VIEWS[n] for n in names) else ""
     text = f"WITH {recursive}{clause}\n{body}" if names else body
     return text.replace("/*RECURSIVE_MARK*/", "")

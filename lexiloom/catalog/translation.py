@@ -43,11 +43,22 @@ _TR = (
     f"WHEN 7 THEN eff || ' {K.REPLACEMENT_CHAR}' WHEN 8 THEN '가나 ' || eff || ' [illegible]' WHEN 9 THEN '한글' ELSE {_UP} || 'Z' END"
 )
 view("v_pair", f"SELECT *, id AS block_id, eff AS source_text, {S.strip(_TR)} AS translated_text FROM v_block")
-# Candidate pairs share a word start; the pattern decides.
+# Variants that start with a word meet the blocks that have this word; the pattern decides.
+view(
+    "v_word",
+    r"SELECT DISTINCT project_id, id, unnest(regexp_extract_all(lower(eff), '[\p{L}\p{N}_]+')) AS token FROM v_block",
+)
+view(
+    "v_meet",
+    r"""SELECT w.project_id, w.id, v.candidate_id, v.source_term, v.translation, v.status, v.variant, v.pattern
+    FROM (SELECT *, regexp_extract(lower(variant), '^[\p{L}\p{N}_]+') AS token FROM v_variant) v JOIN v_word w ON w.project_id = v.project_id AND w.token = v.token
+  UNION ALL SELECT b.project_id, b.id, v.candidate_id, v.source_term, v.translation, v.status, v.variant, v.pattern
+    FROM v_variant v JOIN v_block b ON v.project_id = b.project_id AND NOT regexp_matches(v.variant, '^[\p{L}\p{N}]') AND contains(lower(b.eff), lower(v.variant))""",
+)
 view(
     "v_hit",
-    """SELECT b.project_id, b.id AS text_id, v.candidate_id, v.source_term, v.translation, v.status, v.variant, v.pattern
-  FROM v_block b JOIN v_variant v ON v.project_id = b.project_id AND contains(lower(b.eff), lower(v.variant)) AND regexp_matches(b.eff, v.pattern)""",
+    """SELECT m.project_id, m.id AS text_id, m.candidate_id, m.source_term, m.translation, m.status, m.variant, m.pattern
+  FROM v_meet m JOIN v_block b ON b.project_id = m.project_id AND b.id = m.id WHERE regexp_matches(b.eff, m.pattern)""",
 )
 
 
