@@ -18,18 +18,17 @@ def allowed_tokens(prompts: DataFrame, text: str = "prompt") -> DataFrame:
     return prompts.select("project_id", F.explode(found).alias("token")).distinct()
 
 
-def _project(df: DataFrame, root: str) -> DataFrame:
-    """Adds ``project_id`` from the folder below ``root`` unless the data or a partition has it."""
+def _project(df: DataFrame) -> DataFrame:
+    """Adds ``project_id``, the folder a file lies in, unless the data or a partition has it."""
     if "project_id" in df.columns:
         return df
-    folder = F.regexp_extract(F.col("_metadata.file_path"), "/" + root.rstrip("/").rsplit("/", 1)[-1] + "/([^/]+)/", 1)
-    return df.withColumn("project_id", folder)
+    return df.withColumn("project_id", F.url_decode(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)))
 
 
 def _json_lines(spark: SparkSession, path: str, schema: T.StructType, key: str) -> tuple[DataFrame, DataFrame]:
     wide = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType(), True)])
     rows = spark.read.schema(wide).option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    rows = _project(rows, path)
+    rows = _project(rows)
     broken = rows.filter(F.col("_corrupt").isNotNull() | F.col(key).isNull()).select(
         "project_id", F.col(key).alias("key"), F.lit("malformed").alias("problem")
     )
@@ -68,7 +67,7 @@ def read_glossary_tsv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     )
-    rows = _project(raw, path).withColumn("_file", F.col("_metadata.file_path")).withColumn("_at", F.monotonically_increasing_id())
+    rows = _project(raw).withColumn("_file", F.col("_metadata.file_path")).withColumn("_at", F.monotonically_increasing_id())
     start = rows.groupBy("_file").agg(F.min("_at").alias("_start"))
     rows = rows.join(start, "_file").withColumn("record_no", F.col("_at") - F.col("_start") + 1)
     first = F.concat_ws("\t", F.regexp_replace("status", "^\ufeff", ""), *K.GLOSSARY_COLUMNS[1:])
@@ -96,7 +95,7 @@ def source_inventory(spark: SparkSession, root: str, hash_content: bool = True)
 
 def read_page_fragments(spark: SparkSession, path: str) -> DataFrame:
     """One row per fragment of the per-page JSON files."""
-    pages = _project(spark.read.schema(schemas.PAGE_FRAGMENTS).json(path, multiLine=True), path)
+    pages = _project(spark.read.schema(schemas.PAGE_FRAGMENTS).json(path, multiLine=True))
     return pages.select("project_id", "page", "page_size", F.posexplode("fragments").alias("i", "f")).select(
         "project_id", "page", "page_size", (F.col("i") + 1).cast("long").alias("pos"), "f.*"
     )
@@ -104,7 +103,7 @@ def read_page_fragments(spark: SparkSession, path: str) -> DataFrame:
 
 def read_page_layouts(spark: SparkSession, path: str) -> DataFrame:
     """One row per reconstructed block of the per-page JSON files."""
-    pages = _project(spark.read.schema(schemas.PAGE_LAYOUT).json(path, multiLine=True), path)
+    pages = _project(spark.read.schema(schemas.PAGE_LAYOUT).json(path, multiLine=True))
     return pages.select("project_id", "page", F.posexplode("reconstructed_blocks").alias("i", "b")).select(
         "project_id", "page", (F.col("i") + 1).cast("long").alias("block_order"), "b.*"
     )
@@ -120,7 +119,7 @@ def successful_pages(rows: DataFrame, acquisition: DataFrame) -> DataFrame:
 
 def read_ocr_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(transcribed blocks, problems); the stored image must be the one the file name implies."""
-    files = _project(spark.read.schema(schemas.OCR_RESULT).json(path, multiLine=True), path)
+    files = _project(spark.read.schema(schemas.OCR_RESULT).json(path, multiLine=True))
     rows = files.withColumn("_stem", F.url_decode(X.file_stem(F.col("_metadata.file_path"))))
     fits = X.clean_path("source_image") & (X.file_stem("source_image") == F.col("_stem"))
     problems = rows.filter(~F.coalesce(fits, F.lit(False))).select("project_id", F.col("source_image").alias("key"), F.lit("source_mismatch").alias("problem"))
@@ -156,7 +155,7 @@ def read_review_lines(spark: SparkSession, path: str) -> DataFrame:
     from lexiloom.operators import scale
     from lexiloom.session import settle
 
-    lines = _project(spark.read.text(path), path).select(
+    lines = _project(spark.read.text(path)).select(
         "project_id", F.regexp_replace("value", "^﻿", "").alias("line"),
         F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_at"),
