@@ -76,7 +76,7 @@ register(
 
 
 def _files(s, d):
-    n = F.col("doc_id")
+    n = F.floor(F.col("doc_id") / 20)
     ext = F.when(n % 2 == 0, ".png").otherwise(".JPG")
     name = F.concat(F.when(n % 3 == 0, "Card ").otherwise("card "), F.floor(n / 3).cast("string"), ext)
     return V.documents(s, d).select("project_id", F.concat("project_id", F.lit("/"), name).alias("path"))
@@ -84,8 +84,8 @@ def _files(s, d):
 
 view(
     "v_path",
-    """SELECT DISTINCT project_id, project_id || '/' || CASE WHEN doc_id % 3 = 0 THEN 'Card ' ELSE 'card ' END || (doc_id // 3)::VARCHAR ||
-      CASE WHEN doc_id % 2 = 0 THEN '.png' ELSE '.JPG' END AS path FROM v_doc""",
+    """SELECT DISTINCT project_id, project_id || '/' || CASE WHEN n % 3 = 0 THEN 'Card ' ELSE 'card ' END || (n // 3)::VARCHAR ||
+      CASE WHEN n % 2 = 0 THEN '.png' ELSE '.JPG' END AS path FROM (SELECT *, doc_id // 20 AS n FROM v_doc)""",
 )
 register(
     "path_collisions",
