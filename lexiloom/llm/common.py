@@ -127,21 +127,21 @@ def _long_hash(word: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(word.translate(_LOWER), digest_size=8).digest(), "little")
 
 
-def _piece_hashes(raw: np.ndarray, gap: np.ndarray, data: bytes, at: int) -> np.ndarray:
+def _piece_hashes(raw: np.ndarray, gap: np.ndarray, data: bytes, at: int) -> tuple[np.ndarray, np.ndarray]:
     edge = np.diff(np.concatenate([np.ones(1, bool), gap, np.ones(1, bool)]).view(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(start):
-        return np.empty(0, _U)
+        return np.empty(0, _U), start
     with np.errstate(over="ignore"):
         total = np.concatenate([np.zeros(1, _U), np.cumsum(_CODES[raw] * _powers("up", _BASE)[: len(raw)], dtype=_U)])
         out = mix((total[end] - total[start]) * _powers("down", pow(_BASE, -1, 2**64))[start] + (end - start).astype(_U))
     for i in np.flatnonzero(end - start > LONG_WORD):
         out[i] = _long_hash(data[at + start[i] : at + end[i]])
-    return out
+    return out, start + at
 
 
-def word_hashes(data: bytes, blanks: np.ndarray = BLANKS) -> np.ndarray:
-    """A 64-bit hash per word of a UTF-8 text; A-Z count as a-z. Works through the text in pieces."""
+def words_at(data: bytes, blanks: np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash and the byte position of each word; A-Z count as a-z. Works in pieces of the text."""
     raw = np.frombuffer(data, np.uint8)
     gap, out, at, n = blanks[raw], [], 0, len(raw)
     while at < n:
@@ -154,12 +154,26 @@ def word_hashes(data: bytes, blanks: np.ndarray = BLANKS) -> np.ndarray:
                 while stop < n and not gap[stop]:
                     more = np.flatnonzero(gap[stop : stop + PIECE])
                     stop = stop + int(more[0]) if len(more) else min(stop + PIECE, n)
-                out.append(np.array([_long_hash(data[at:stop])], _U))
+                out.append((np.array([_long_hash(data[at:stop])], _U), np.array([at])))
                 at = stop
                 continue
         out.append(_piece_hashes(raw[at:stop], gap[at:stop], data, at))
         at = stop
-    return np.concatenate(out) if out else np.empty(0, _U)
+    if not out:
+        return np.empty(0, _U), np.empty(0, np.int64)
+    hashes, starts = zip(*out, strict=True)
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
+def word_hashes(data: bytes, blanks: np.ndarray = BLANKS) -> np.ndarray:
+    return words_at(data, blanks)[0]
+
+
+def many_word_hashes(datas: list[bytes], blanks: np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of several texts in a row, and the bounds of each text's words among them."""
+    ends = np.cumsum([len(d) + 1 for d in datas])
+    hashes, starts = words_at(b" ".join(datas), blanks)
+    return hashes, np.concatenate([np.zeros(1, np.int64), np.searchsorted(starts, ends)])
 
 
 def runs_hash(words: np.ndarray, width: int) -> np.ndarray:
@@ -180,5 +194,11 @@ def shingle_set(data: bytes, width: int = 5) -> np.ndarray:
     return np.unique(runs_hash(word_hashes(data), width))
 
 
+def shingle_sets(datas: list[bytes], width: int = 5) -> list[np.ndarray]:
+    """``shingle_set`` of several texts."""
+    hashes, bounds = many_word_hashes(datas)
+    return [np.unique(runs_hash(hashes[a:b], width)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
