@@ -10,14 +10,13 @@ on average; the radius is four standard deviations above that.
 
 Meeting pairs are compared on a longer signature, then confirmed on their whole sets. Work on groups
 of copies stays linear: equal sets are one class; members of a key are first tied to one centre; what
-these links join needs no more comparison; only key groups that still hold several components are
-compared pair by pair, in tiles of bounded size ordered by set size, skipping tiles whose sizes
-exclude the similarity.
+these links join needs no more comparison; in key groups that still hold several components, the
+members outside the largest one are compared with the rest, in tiles of bounded size that skip set
+sizes which exclude the similarity.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import Scratch, empty_text, mix, per_batch, shingle_set, signed, stream, texts
+from lexiloom.llm.common import Scratch, empty_text, fresh, mix, per_batch, shingle_set, shingle_sets, signed, stream, texts
 
 WIDTH, PERCENT = 5, 75
 #: Symbols of the long signature, of its indexed part, of a chunk.
@@ -35,6 +34,9 @@ MARGIN = 4.0
 #: Members of a tile of a key group.
 TILE = 1024
 
+#: Bytes of a signature: two for each indexed symbol, one for each other.
+BYTES = 2 * INDEX + SYMBOLS - INDEX
+
 _U = np.uint64
 _RANK = stream(23, SYMBOLS * SYMBOLS).reshape(SYMBOLS, SYMBOLS)
 
@@ -77,19 +79,46 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 _PATTERNS = patterns()
 _SALT = stream(31, len(_PATTERNS))
+#: One row per pattern, one at the symbols it keeps.
+_KEPT = np.array([[i in kept for i in range(INDEX)] for _, kept in _PATTERNS], np.uint8)
 
 
 def keys(symbols: np.ndarray) -> np.ndarray:
-    out = np.empty(len(_PATTERNS), _U)
+    """The keys of each signature: one row per signature, one column per pattern. Only 16 bits of a symbol count."""
+    out = np.empty((len(symbols), len(_PATTERNS)), _U)
+    short = symbols[:, :INDEX] & _U(0xFFFF)
     with np.errstate(over="ignore"):
         for kind, kept in _PATTERNS:
-            x = _SALT[kind]
+            x = np.full(len(symbols), _SALT[kind], _U)
             for i in kept:
-                x = x * _U(0xD6E8FEB86659FD93) + symbols[i]
-            out[kind] = x
+                x = x * _U(0xD6E8FEB86659FD93) + short[:, i]
+            out[:, kind] = x
     return mix(out)
 
 
+def packed(symbols: np.ndarray) -> list[bytes]:
+    """Signatures as bytes: 16 bits of each indexed symbol, then 8 bits of each other one."""
+    head = symbols[:, :INDEX].astype(np.uint16).view(np.uint8)
+    return [row.tobytes() for row in np.hstack([head, symbols[:, INDEX:].astype(np.uint8)])]
+
+
+class Signatures:
+    """Packed signatures of many sets, for comparison."""
+
+    def __init__(self, column: list[bytes]):
+        raw = np.frombuffer(b"".join(column), np.uint8).reshape(-1, BYTES)
+        self.head, self.tail = np.ascontiguousarray(raw[:, : 2 * INDEX]).view(np.uint16), raw[:, 2 * INDEX :]
+
+    def apart(self, other: Signatures, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+        """Differing symbols of the pairs (i, j)."""
+        return (self.head[i] != other.head[j]).sum(axis=1) + (self.tail[i] != other.tail[j]).sum(axis=1)
+
+    def first_kind(self, i: int, j: np.ndarray) -> np.ndarray:
+        """The first pattern under which each pair (i, j) meets."""
+        equal = (self.head[i] == self.head[j]).astype(np.uint8)
+        return np.argmax(equal @ _KEPT.T == _KEPT.sum(axis=1, dtype=np.uint8), axis=1)
+
+
 def set_id(shingles: np.ndarray) -> int:
     """A 64-bit name of a whole set: equal sets, and in practice no others, share it."""
     with np.errstate(over="ignore"):
@@ -102,15 +131,15 @@ _SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node"
 
 
 def _sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    rows: list[tuple] = []
-    for doc_id, data in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
-        s = shingle_set(data)
-        if len(s):
-            symbols = signature(s)
-            rows.append((doc_id, len(s), set_id(s), symbols.astype(np.uint8).tobytes(), signed(keys(symbols))))
-        else:
-            rows.append((doc_id, 0, None, None, None))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SKETCH.types, strict=True)], schema=_SKETCH)
+    sets = shingle_sets(texts(batch.column("text")))
+    full = [i for i, x in enumerate(sets) if len(x)]
+    node, sig, key = ([None] * len(sets) for _ in range(3))
+    if full:
+        symbols = np.stack([signature(sets[i]) for i in full])
+        for i, *rest in zip(full, packed(symbols), signed(keys(symbols)), strict=True):
+            node[i], (sig[i], key[i]) = set_id(sets[i]), rest
+    columns = [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(key, pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays(columns, schema=_SKETCH)
 
 
 # Confirming ------------------------------------------------------------------------------------
@@ -131,9 +160,9 @@ def _confirm(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _far(batch: pa.RecordBatch, within: int) -> pa.RecordBatch:
-    a = np.frombuffer(b"".join(batch.column("sig_a").to_pylist()), np.uint8).reshape(-1, SYMBOLS)
-    b = np.frombuffer(b"".join(batch.column("sig_b").to_pylist()), np.uint8).reshape(-1, SYMBOLS)
-    apart = (a != b).sum(axis=1)
+    a, b = Signatures(batch.column("sig_a").to_pylist()), Signatures(batch.column("sig_b").to_pylist())
+    every = np.arange(batch.num_rows)
+    apart = a.apart(b, every, every)
     keep = apart <= within
     out = batch.select(["a", "b"]).filter(pa.array(keep))
     return pa.RecordBatch.from_arrays([*out.columns, pa.array(apart[keep].astype(np.int32))], names=["a", "b", "apart"])
@@ -185,60 +214,53 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _tile(batch: pa.Table, within: int, percent: int) -> pa.Table:
-    """Pairs of two tiles of one key group, of different components, within the radius."""
-    node = batch.column("node").to_numpy()
-    label = batch.column("label").to_numpy()
-    size = batch.column("n_shingles").to_numpy()
-    left = batch.column("left").to_numpy(zero_copy_only=False)
-    sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, SYMBOLS)
-    same = bool(batch.column("same")[0].as_py())
-    rows, cols = (np.arange(len(node)),) * 2 if same else (np.flatnonzero(left), np.flatnonzero(~left))
-    a: list[np.ndarray] = []
-    b: list[np.ndarray] = []
-    for i in rows:
+    """Pairs of two tiles of one key group, of different components, within the radius.
+
+    A pair is given only under the first key that it shares, and two askers meet once.
+    """
+    node, label, size, asks = (batch.column(c).to_numpy() for c in ("node", "label", "n_shingles", "asks"))
+    minor, kind = batch.column("minor").to_numpy(), batch.column("kind")[0].as_py()
+    sig = Signatures(batch.column("sig").to_pylist())
+    cols = np.flatnonzero(asks == 0)
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i in np.flatnonzero(asks == 1):
         fits = (label[cols] != label[i]) & (100 * np.minimum(size[cols], size[i]) >= percent * np.maximum(size[cols], size[i]))
-        if same:
-            fits &= cols > i
-        at = cols[fits]
+        at = cols[fits & ((minor[cols] == 0) | (node[cols] > node[i]))]
         if len(at):
-            at = at[(sig[at] != sig[i]).sum(axis=1) <= within]
+            at = at[sig.apart(sig, i, at) <= within]
+        if len(at):
+            at = at[sig.first_kind(i, at) == kind]
             a.append(np.full(len(at), node[i]))
             b.append(node[at])
-    x, y = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
+    x, y = np.concatenate(a), np.concatenate(b)
     return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
 
 def _open_pairs(keyed: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, tile: int, scratch: Scratch) -> DataFrame:
-    """Pairs that share a key and lie in different components, by tiles of each key group."""
-    member = (
-        keyed.join(labels, "node", "left")
-        .withColumn("label", F.coalesce("label", "node"))
-        .select("key", "node", "label")
-    )
-    mixed = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).filter("lo <> hi")
-    left = scratch.save(member.join(mixed.select("key", "members"), "key"))
-    # a class of size rank gives tiles that rise with the size of the sets; ranks come from counts by size
-    sizes = left.join(nodes.select("node", "n_shingles"), "node").withColumn("band", F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int"))
-    counts = sizes.groupBy("key", "band").agg(F.count("*").alias("in_band"))
-    tiled = sizes.join(counts, ["key", "band"]).withColumn("parts", F.ceil(F.col("in_band") / tile).cast("int"))
-    tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
-    # a set meets sets of its own band and of the next: sizes two bands apart are never similar enough
-    bands = counts.select("key", F.col("band").alias("other_band"), F.ceil(F.col("in_band") / tile).cast("int").alias("other_parts"))
-    own = tiled.select("*", F.lit(True).alias("left"), F.col("band").alias("low"), F.explode(F.expr("sequence(tile, parts - 1)")).alias("t2"))
-    own = own.select("key", "node", "label", "n_shingles", "left", "low", F.col("band").alias("high"), F.col("tile").alias("t1"), "t2", (F.col("tile") == F.col("t2")).alias("same"))
-    other = tiled.filter("tile > 0").select("*", F.lit(False).alias("left"), F.explode(F.expr("sequence(0, tile - 1)")).alias("t1"))
-    other = other.select("key", "node", "label", "n_shingles", "left", F.col("band").alias("low"), F.col("band").alias("high"), "t1", F.col("tile").alias("t2"), F.lit(False).alias("same"))
-    up = tiled.join(bands.filter("other_band is not null"), "key").filter("other_band = band + 1 or other_band = band - 1")
-    up = up.withColumn("far", F.explode(F.expr("sequence(0, other_parts - 1)")))
-    lower = F.col("other_band") > F.col("band")
-    cross = up.select(
-        "key", "node", "label", "n_shingles", lower.alias("left"), F.least("band", "other_band").alias("low"), F.greatest("band", "other_band").alias("high"),
-        F.when(lower, F.col("tile")).otherwise(F.col("far")).alias("t1"), F.when(lower, F.col("far")).otherwise(F.col("tile")).alias("t2"), F.lit(False).alias("same"),
-    )
-    units = own.unionByName(other).unionByName(cross).join(nodes.select("node", "sig"), "node")
+    """Pairs that share a key and lie in different components, by tiles of each key group.
+
+    The members outside a group's largest component ask; all members answer. Askers and answerers of
+    a group are cut into tiles by set size (bands a factor of 100 / percent apart, of which only
+    neighbours can hold similar sets) and by a hash, and every pair of tiles is a task's small group.
+    """
+    member = keyed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("key", "kind", "node", "label")
+    counted = member.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = counted.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels")).filter("labels > 1").select("key", "major")
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    held = member.join(mixed, "key").join(nodes.select("node", "n_shingles"), "node").withColumn("band", band).withColumn("minor", (F.col("label") != F.col("major")).cast("int"))
+    held = scratch.save(held.select("key", "kind", "node", "label", "n_shingles", "band", "minor"))
+    counts = scratch.save(held.groupBy("key", "band").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"), F.ceil(F.sum("minor") / tile).cast("int").alias("asking")))
+    asking = counts.filter("asking > 0").select("key", F.col("band").alias("ask_band"), F.explode(F.expr("sequence(0, asking - 1)")).alias("ask_tile"))
+    giving = counts.select("key", F.col("band").alias("give_band"), F.explode(F.expr("sequence(0, tiles - 1)")).alias("give_tile"))
+    units = scratch.save(asking.join(giving, "key").filter("abs(ask_band - give_band) <= 1"))
+    of_tile = lambda tiles: F.pmod(F.xxhash64("node", "key"), F.col(tiles)).cast("int")
+    placed = held.join(counts, ["key", "band"])
+    columns = ["key", "kind", "node", "label", "n_shingles", "minor", "ask_band", "ask_tile", "give_band", "give_tile", "asks"]
+    gives = placed.withColumnRenamed("band", "give_band").withColumn("give_tile", of_tile("tiles")).join(units, ["key", "give_band", "give_tile"]).withColumn("asks", F.lit(0)).select(columns)
+    asks = placed.filter("minor = 1").withColumnRenamed("band", "ask_band").withColumn("ask_tile", of_tile("asking")).join(units, ["key", "ask_band", "ask_tile"]).withColumn("asks", F.lit(1)).select(columns)
+    rows = gives.unionByName(asks).join(nodes.select("node", "sig"), "node")
     within = radius(SYMBOLS, percent)
-    found = units.groupBy("key", "low", "high", "t1", "t2").applyInArrow(lambda t: _tile(t, within, percent), "a long, b long")
-    return found.distinct()
+    return rows.groupBy("key", "ask_band", "ask_tile", "give_band", "give_tile").applyInArrow(lambda t: _tile(t, within, percent), "a long, b long")
 
 
 # The operator ----------------------------------------------------------------------------------
@@ -262,7 +284,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, tile: int = TILE) -
     filled = sketch.filter("node is not null and doc_id is not null")
     # one row per class of equal sets; sig and keys follow from the set, so any copy's will do
     nodes = scratch.save(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    keyed = nodes.select("node", F.posexplode("keys").alias("kind", "key"))
     met = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("key", "centre")
     shared = scratch.save(keyed.join(met, "key"))
     stars = shared.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
@@ -278,7 +300,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, tile: int = TILE) -
     more = scratch.save(_links(open_stars, sets))
     good = tried.filter("good").select("a", "b").union(more.filter("good").select("a", "b"))
     labels = components(good, scratch)
-    rest = _open_pairs(shared.select("key", "node"), nodes, labels, percent, tile, scratch)
+    rest = _open_pairs(shared.select("key", "kind", "node"), nodes, labels, percent, tile, scratch)
     seen = tried.select("a", "b").union(more.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     last = scratch.save(_links(rest.join(seen, ["a", "b"], "left_anti"), sets).filter("good"))
     labels = components(good.union(last.select("a", "b")), scratch)
@@ -308,9 +330,21 @@ def _texts_of(wanted: DataFrame, plain: DataFrame) -> DataFrame:
     """(node, text) of one document per wanted class. A doc_id may have several texts: the set decides."""
 
     def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = [len(s) and set_id(s) for s in map(shingle_set, texts(batch.column("text")))]
+        own = [len(s) and set_id(s) for s in shingle_sets(texts(batch.column("text")))]
         keep = pa.array([n == o for n, o in zip(batch.column("node").to_pylist(), own, strict=True)])
         return batch.select(["node", "text"]).filter(keep)
 
     joined = plain.join(wanted, "doc_id").select("node", "text")
     return joined.mapInArrow(per_batch(pick), "node long, text string").dropDuplicates(["node"])
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Rows of ``docs`` that are the first of their component, with all their columns.
+
+    Rows with a null doc_id stay, as they have no name to be compared by. Rows that repeat doc_id and
+    text of a kept document all stay.
+    """
+    found = near_duplicates(docs)
+    gone = found.filter("doc_id is not null and not kept").select(F.col("doc_id").alias(fresh(docs, "_gone_id")))
+    name = gone.columns[0]
+    return docs.join(gone.distinct(), docs["doc_id"].cast("long") == gone[name], "left_anti")
