@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import decontaminate, language_id, line_dedup, mixing, near_dups
+from lexiloom.llm import decontaminate, html_text, language_id, line_dedup, mixing, near_dups
 from lexiloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,5 +36,5 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_near_duplicates, op5_mixing, op6_decontaminate, op7_language_id, op8_line_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_text, op4_near_duplicates, op5_mixing, op6_decontaminate, op7_language_id, op8_line_dedup)}
 ORACLES: dict[str, str] = {"op8_line_dedup": line_dedup.ORACLE}
