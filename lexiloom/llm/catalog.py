@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import decontaminate, html_text, language_id, line_dedup, mixing, near_dups
+from lexiloom.llm import decontaminate, html_text, language_id, line_dedup, mixing, near_dups, secrets, token_counts
 from lexiloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,5 +36,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_text, op4_near_duplicates, op5_mixing, op6_decontaminate, op7_language_id, op8_line_dedup)}
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_counts(table(spark, sf_dir, "documents"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_text, op4_near_duplicates, op5_mixing, op6_decontaminate, op7_language_id, op8_line_dedup, op9_token_counts, op10_secrets)}
 ORACLES: dict[str, str] = {"op8_line_dedup": line_dedup.ORACLE}
