@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import decontaminate, html_text, language_id, line_dedup, mixing, near_dups, secrets, token_counts
+from lexiloom.llm import decontaminate, html_text, language_id, line_dedup, mixing, near_dups, neighbours, secrets, token_counts, toxicity
 from lexiloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,14 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,5 +52,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_text, op4_near_duplicates, op5_mixing, op6_decontaminate, op7_language_id, op8_line_dedup, op9_token_counts, op10_secrets)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_neighbours, op4_near_duplicates, op5_mixing, op6_decontaminate, op7_language_id, op8_line_dedup, op9_token_counts, op10_secrets)}
 ORACLES: dict[str, str] = {"op8_line_dedup": line_dedup.ORACLE}

@@ -41,7 +41,7 @@ ALLOWED_WORDS = ("example", "placeholder", "xxxxxx", "sha256-", "sha384-", "sha5
 def windows(run: str, width: int, bound: float) -> Iterator[tuple[int, int]]:
     """Merged (start, end) of the windows of ``run`` whose entropy reaches ``bound`` bits per character."""
     counts: dict[str, int] = {}
-    weight = [0.0, 0.0, *(c * math.log2(c) for c in range(2, width + 1))]
+    weight = [0.0, 0.0, *(c * math.log2(c) for c in range(2, width + 2))]
     total, begin, end = 0.0, -1, -1
     for i, char in enumerate(run):
         c = counts.get(char, 0)
