@@ -140,8 +140,17 @@ def _piece_hashes(raw: np.ndarray, gap: np.ndarray, data: bytes, at: int) -> tup
     return out, start + at
 
 
-def words_at(data: bytes, blanks: np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash and the byte position of each word; A-Z count as a-z. Works in pieces of the text."""
+def _heads(gap: np.ndarray, size: int) -> np.ndarray:
+    """The gaps of a piece, widened to what lies beyond the first ``size`` bytes of each word."""
+    at = np.arange(len(gap))
+    return gap | (at - np.maximum.accumulate(np.where(gap, at, -1)) > size)
+
+
+def words_at(data: bytes, blanks: np.ndarray = BLANKS, head: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash and the byte position of each word; A-Z count as a-z. Works in pieces of the text.
+
+    With ``head``, the hash is of the first ``head`` bytes of each word.
+    """
     raw = np.frombuffer(data, np.uint8)
     gap, out, at, n = blanks[raw], [], 0, len(raw)
     while at < n:
@@ -154,10 +163,14 @@ def words_at(data: bytes, blanks: np.ndarray = BLANKS) -> tuple[np.ndarray, np.n
                 while stop < n and not gap[stop]:
                     more = np.flatnonzero(gap[stop : stop + PIECE])
                     stop = stop + int(more[0]) if len(more) else min(stop + PIECE, n)
-                out.append((np.array([_long_hash(data[at:stop])], _U), np.array([at])))
+                if head:
+                    out.append(_piece_hashes(raw[at : at + head], gap[at : at + head], data, at))
+                else:
+                    out.append((np.array([_long_hash(data[at:stop])], _U), np.array([at])))
                 at = stop
                 continue
-        out.append(_piece_hashes(raw[at:stop], gap[at:stop], data, at))
+        own = gap[at:stop]
+        out.append(_piece_hashes(raw[at:stop], _heads(own, head) if head else own, data, at))
         at = stop
     if not out:
         return np.empty(0, _U), np.empty(0, np.int64)
@@ -169,10 +182,10 @@ def word_hashes(data: bytes, blanks: np.ndarray = BLANKS) -> np.ndarray:
     return words_at(data, blanks)[0]
 
 
-def many_word_hashes(datas: list[bytes], blanks: np.ndarray = BLANKS) -> tuple[np.ndarray, np.ndarray]:
+def many_word_hashes(datas: list[bytes], blanks: np.ndarray = BLANKS, head: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of several texts in a row, and the bounds of each text's words among them."""
     ends = np.cumsum([len(d) + 1 for d in datas])
-    hashes, starts = words_at(b" ".join(datas), blanks)
+    hashes, starts = words_at(b" ".join(datas), blanks, head)
     return hashes, np.concatenate([np.zeros(1, np.int64), np.searchsorted(starts, ends)])
 
 
