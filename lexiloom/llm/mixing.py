@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ FIT_ROWS = 12_000
 WORDS = 40
 #: Sample documents in which a telling word occurs at least, and how many times likelier it is in or out of a domain.
 LEAST_ROWS, LEAST_RATIO = 4, 3.0
-#: Steps between two writes of the rates, most steps, and the relative residual that ends them.
-BLOCK, STEPS, ENOUGH = 25, 300, 1e-4
+#: Most steps, and the largest gap of a domain, in shares of all wanted tokens, that ends them.
+STEPS, ENOUGH = 60, 1e-4
 #: Share of all tokens that each domain is to have; domains that are not named share the rest by what they have.
 TARGETS = {"plain": 0.9, "poor": 0.08, "toxic": 0.02}
 
@@ -125,32 +126,41 @@ def goals(targets: dict[str, float], domains: Sequence[str], held: Sequence[floa
     return [s * total / (sum(shares) or 1.0) for s in shares]
 
 
-def fit_rates(members: DataFrame, wanted: Sequence[float], scratch: Scratch) -> list[list[float]]:
+def fit_rates(members: DataFrame, wanted: Sequence[float]) -> list[list[float]]:
     """The steps that lead ``members`` (tokens, p) from rate 1 to rates whose domain totals are nearest to ``wanted``.
 
-    Minimises half the sum over domains of ((total - wanted) / scale)^2 over rates >= 0, from 1. In the
-    metric that weighs a document by its tokens, the gradient of a rate is p . residual; the step is
-    one over a bound of the curvature. A step is one number per domain, so a rate is folded from the
-    steps row by row, wherever it is wanted; after each block of steps the rates are written once.
+    Minimises half the sum over domains of (total - wanted)^2 over rates >= 0 by projected gradients. In
+    the metric that weighs a document by its tokens, the gradient of a rate is p . gap; the gap is
+    scaled by the inverse of the domains' Gram matrix over documents with a positive rate, as the
+    domains differ in size by orders of magnitude. A step that does not shrink the gap is halved. Each
+    step needs a handful of sums, which Spark adds up where the rows are; a step is one number per
+    domain, so a rate is folded from the steps row by row, wherever it is wanted.
     """
     k = len(wanted)
-    sums = members.agg(*[F.sum(F.col("tokens") * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i + 1)]).first()
-    gram = [[sums[f"g{max(i, j)}_{min(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]
-    scale = [math.sqrt(gram[i][i]) or 1.0 for i in range(k)]
-    curvature = max(sum(abs(gram[i][j]) / scale[i] / scale[j] for j in range(k)) for i in range(k)) or 1.0
-    current, done = members.withColumn("rate", F.lit(1.0)), []
-    while len(done) < STEPS:
-        moves: list[list[float]] = []
-        for _ in range(BLOCK):
-            rate = moved(F.col("rate"), F.col("p"), moves)
-            row = current.select("tokens", "p", rate.alias("rate")).agg(*[F.sum(F.col("rate") * F.col("tokens") * F.col("p")[i]).alias(f"t{i}") for i in range(k)]).first()
-            gap = [(row[f"t{i}"] or 0.0) - wanted[i] for i in range(k)]
-            if max(abs(g) for g in gap) <= ENOUGH * max(sum(wanted), 1.0):
-                return done + moves
-            moves.append([g / scale[i] / scale[i] / curvature for i, g in enumerate(gap)])
-        done += moves
-        current = scratch.save(current.withColumn("rate", moved(F.col("rate"), F.col("p"), moves)))
-    return done
+    total = max(sum(wanted), 1.0)
+    steps: list[list[float]] = []
+    best, size = None, 1.0
+    while len(steps) < STEPS:
+        own = members.select("tokens", "p", moved(F.lit(1.0), F.col("p"), steps).alias("rate"))
+        live = F.when(F.col("rate") > 0, F.col("tokens")).otherwise(0.0)
+        totals = [F.sum(F.col("rate") * F.col("tokens") * F.col("p")[i]).alias(f"t{i}") for i in range(k)]
+        gram = [F.sum(live * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i + 1)]
+        row = own.agg(*totals, *gram).first()
+        gap = np.array([(row[f"t{i}"] or 0.0) - wanted[i] for i in range(k)])
+        error = float(np.abs(gap).max())
+        if error <= ENOUGH * total:
+            break
+        if best is not None and error >= best[0]:
+            size /= 2
+            steps[-1] = [x * size for x in best[1]]
+            if size < 1e-3:
+                return steps[:-1]
+            continue
+        scale = np.array([[row[f"g{max(i, j)}_{min(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+        move = np.linalg.solve(scale + np.eye(k) * (1e-9 * np.trace(scale) + 1e-12), gap).tolist()
+        best, size = (error, move), 1.0
+        steps.append(move)
+    return steps
 
 
 def moved(rate: Column, p: Column, moves: list[list[float]]) -> Column:
@@ -181,7 +191,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     members = scratch.save(docs.select(tokens(text).alias("tokens"), posteriors(text, domains, prior, odds).alias("p")))
     held = members.agg(*[F.sum(F.col("tokens") * F.col("p")[i]).alias(f"h{i}") for i in range(len(domains))]).first()
     wanted = goals(targets, domains, [held[f"h{i}"] or 0.0 for i in range(len(domains))])
-    steps = fit_rates(members, wanted, scratch) if len(domains) > 1 else []
+    steps = fit_rates(members, wanted) if len(domains) > 1 else []
     names = {c: fresh(docs, c) for c in ("n_tokens", "posterior", "rate", "copies")}
     p, n = fresh(docs, "_mix_p"), names["n_tokens"]
     out = docs.withColumns({n: tokens(text).cast("long"), p: posteriors(text, domains, prior, odds)})
