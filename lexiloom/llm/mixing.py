@@ -3,8 +3,9 @@
 Three steps, all of them DataFrame operations:
 
 1. A classifier learned from a labelled table gives each document a posterior over domains. It is a
-   naive Bayes over the words that tell the domains apart best, and over coarse shares of capitals,
-   digits and signs. Only words that are there count, so a short text is not taken for a poor one.
+   Bernoulli naive Bayes over the words that tell the domains apart best, and over coarse shares of
+   capitals, digits and signs. Words must be several times likelier in a domain than out of it, so
+   that common words, which only tell a text's length, do not count.
 2. Documents get nonnegative rates. The expected tokens of a domain are the sum over documents of
    rate * tokens * posterior; projected-gradient least squares brings these totals to the targets.
    Each step needs one small vector, the residual of the totals, which is a partial aggregate.
@@ -14,7 +15,7 @@ Three steps, all of them DataFrame operations:
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -23,11 +24,12 @@ from pyspark.sql import functions as F
 from lexiloom.llm.common import Scratch, fresh
 
 #: Labelled rows that the classifier is fitted on, about, chosen by a hash of their id. The sample is broadcast.
-FIT_ROWS = 12_000
+FIT_ROWS = 6_000
 #: Telling words of each domain.
 WORDS = 40
-#: Sample documents in which a telling word occurs at least, and how many times likelier it is in or out of a domain.
-LEAST_ROWS, LEAST_RATIO = 4, 3.0
+#: Sample documents in which a telling word occurs at least, how many times likelier it is in a domain, and
+#: the least logarithm of that ratio times the root of its documents, so that chance in a small sample does not tell.
+LEAST_ROWS, LEAST_RATIO, LEAST_GAIN = 4, 3.0, 4.0
 #: Most steps, and the largest gap of a domain, in shares of all wanted tokens, that ends them.
 STEPS, ENOUGH = 60, 1e-4
 #: Share of all tokens that each domain is to have; domains that are not named share the rest by what they have.
@@ -43,30 +45,36 @@ def domain_of(quality: Column, toxic: Column) -> Column:
 _ROW = "#row"
 
 
-def _level(part: Column, whole: Column, name: str) -> Column:
-    """A coarse logarithmic level of a share, as a word that no text can hold."""
-    share = part / F.greatest(whole, F.lit(1))
-    return F.concat(F.lit(f"#{name}:"), F.when(share == 0, "none").otherwise(F.greatest(F.lit(-8), F.floor(F.log2(share))).cast("string")))
+#: Characters whose share of a text is a feature.
+SIGNS = {"capitals": "[A-Z]", "digits": "[0-9]", "signs": r"[!#$%&*|<>{}=+~^\[\]]"}
 
 
-def features(text: Column) -> Column:
-    """Words of a text and the levels of its shares; not yet distinct."""
-    whole = F.length(text)
-    left = lambda pattern: whole - F.length(F.translate(text, pattern, ""))
-    capitals, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    levels = F.array(
-        _level(left(capitals), whole, "capitals"), _level(left(digits), whole, "digits"), _level(left("!#$%&*|<>{}[]=+~^"), whole, "signs"), _level(left(".,;:"), whole, "stops")
-    )
-    return F.concat(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), levels)
+def with_features(df: DataFrame, text: str, out: str, only: Sequence[str] | None = None) -> DataFrame:
+    """Adds the distinct words of a text and the levels of its shares, all or those of a list.
+
+    A level is the rounded logarithm of a share, written as a word that no text can hold. Values that
+    are used more than once are columns of their own, so that Spark computes them once.
+    """
+    whole = F.greatest(F.length(text), F.lit(1))
+    parts = {f"{out}_{name}": F.regexp_count(text, F.lit(sign)) / whole for name, sign in SIGNS.items()}
+    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    words = words if only is None else F.filter(words, lambda w: w.isin(list(only)))
+    levels = [
+        F.concat(F.lit(f"#{name}:"), F.when(F.col(c) == 0, "none").otherwise(F.greatest(F.lit(-8), F.floor(F.log2(c))).cast("string")))
+        for name, c in zip(SIGNS, parts, strict=True)
+    ]
+    return df.withColumns(parts).withColumn(out, F.array_distinct(F.concat(words, F.array(*levels)))).drop(*parts)
 
 
 def tokens(text: Column) -> Column:
     """Words of a text, by white space."""
-    return F.size(F.filter(F.split(text, r"[\x09-\x0D\x20]+"), lambda w: w != "")).cast("double")
+    blank = r"[\x09-\x0D\x20]"
+    edges = text.rlike(f"^{blank}").cast("int") + text.rlike(f"{blank}\\z").cast("int")
+    return F.when(text == "", 0.0).otherwise((F.size(F.split(text, blank + "+")) - edges).cast("double"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = FIT_ROWS, words: int = WORDS) -> tuple[list[str], list[float], dict[str, list[float]]]:
-    """(domains, log priors, log rates of each telling word by domain) from the labelled documents.
+    """(domains, log priors, log-odds weights of each telling word by domain) from the labelled documents.
 
     Fitted on about ``rows`` labelled rows; what reaches the driver is bounded by the number of
     domains times ``words``. Domains are taken by name.
@@ -75,7 +83,8 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = FIT_RO
     part = 10**6 * rows // max(1, marked.count())
     chosen_rows = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(10**6)) < part)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    sample = known.join(F.broadcast(chosen_rows), "doc_id").select("domain", F.explode(F.array_distinct(F.concat(features(F.col("text")), F.array(F.lit(_ROW))))).alias("word"))
+    sample = with_features(known.join(F.broadcast(chosen_rows), "doc_id"), "text", "words")
+    sample = sample.select("domain", F.explode(F.concat("words", F.array(F.lit(_ROW)))).alias("word"))
     counts = scratch.save(sample.filter("word <> ''").groupBy("word", "domain").agg(F.count("*").alias("n")))
     sizes = {r["domain"]: r["n"] for r in counts.filter(F.col("word") == _ROW).collect()}
     domains = sorted(sizes)
@@ -87,34 +96,41 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = FIT_RO
     everywhere = sum((F.col(f"n{i}") for i in range(1, len(domains))), F.col("n0"))
     held = held.filter(everywhere >= LEAST_ROWS)
     chosen: dict[str, list[float]] = {}
+    largest = max(domains, key=lambda d: (sizes[d], d))
     for i, d in enumerate(domains):
+        if d == largest and len(domains) > 1:
+            continue  # the other domains are told apart from it
         others = (everywhere - F.col(f"n{i}") + 0.5) / (total - sizes[d] + 1)
-        ratio = F.abs(F.log(rate[i]) - F.log(others))
-        gain = ratio * F.sqrt(everywhere)
-        for r in held.filter(ratio >= math.log(LEAST_RATIO)).select("word", gain.alias("gain"), *[x.alias(f"r{k}") for k, x in enumerate(rate)]).orderBy(F.desc("gain"), "word").limit(words).collect():
-            chosen[r["word"]] = [math.log(r[f"r{k}"]) for k in range(len(domains))]
-    return domains, [math.log(sizes[d] / total) for d in domains], dict(sorted(chosen.items()))
-
-
-def posteriors(text: Column, domains: Sequence[str], prior: Sequence[float], odds: dict[str, list[float]]) -> Column:
-    """An array with the posterior of each domain; the text's telling words are looked up in a constant map."""
-    start = F.array(*[F.lit(float(p)) for p in prior])
-    if not odds:
-        return _shares(start)
-    weights = F.create_map(*[x for w, v in odds.items() for x in (F.lit(w), F.array(*map(F.lit, v)))])
-    met = F.array_intersect(features(text), F.array(*[F.lit(w) for w in odds]))
-    return _shares(F.aggregate(met, start, lambda acc, w: F.zip_with(acc, F.element_at(weights, w), lambda a, b: a + b)))
-
-
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
-def _shares(logs: Column) -> Column:
-    """Logarithms to shares of 1."""
-    powers = _bound(logs, lambda own: F.transform(own, lambda x: F.exp(x - F.array_max(own))))
-    return _bound(powers, lambda own: F.transform(own, lambda x: x / F.aggregate(own, F.lit(0.0), lambda a, b: a + b)))
+        ratio = F.log(rate[i]) - F.log(others)
+        gain = F.abs(ratio) * F.sqrt(everywhere)
+        level = F.startswith("word", F.lit("#"))
+        clear = (F.when(level, F.abs(ratio)).otherwise(ratio) >= math.log(LEAST_RATIO)) & (gain >= LEAST_GAIN)
+        for r in held.filter(clear).select("word", gain.alias("gain"), *[x.alias(f"r{k}") for k, x in enumerate(rate)]).orderBy(F.desc("gain"), "word").limit(words).collect():
+            chosen[r["word"]] = [min(r[f"r{k}"], 0.999) for k in range(len(domains))]
+    # a word that is not there speaks too: its share goes into the prior, and a word that is there takes it back
+    prior = [math.log(sizes[d] / total) + sum(math.log(1 - x[i]) for x in chosen.values()) for i, d in enumerate(domains)]
+    return domains, prior, {w: [math.log(x / (1 - x)) for x in v] for w, v in sorted(chosen.items())}
+
+
+def with_posteriors(df: DataFrame, text: str, out: str, domains: Sequence[str], prior: Sequence[float], odds: dict[str, list[float]]) -> DataFrame:
+    """Adds an array with the posterior of each domain."""
+    met = f"{out}_met"
+    logs = [f"{out}_log{i}" for i in range(len(domains))]
+    there = {w: F.array_contains(met, w) for w in odds}
+    terms = [[F.when(there[w], v[i]).otherwise(0.0) for w, v in odds.items()] for i in range(len(domains))]
+    df = with_features(df, text, met, list(odds)) if odds else df
+    df = df.withColumns({c: _sum([F.lit(float(p)), *t]) for c, p, t in zip(logs, prior, terms, strict=True)})
+    top = F.greatest(*logs) if len(logs) > 1 else F.col(logs[0])
+    powers = [F.exp(F.col(c) - top) for c in logs]
+    return df.withColumn(out, F.array(*powers)).withColumn(out, F.array(*[F.col(out)[i] / _sum([F.col(out)[j] for j in range(len(logs))]) for i in range(len(logs))])).drop(met, *logs)
+
+
+def _sum(terms: Sequence[Column]) -> Column:
+    """A sum as a balanced tree, which keeps expressions of many terms shallow."""
+    terms = list(terms)
+    while len(terms) > 1:
+        terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
+    return terms[0]
 
 
 def goals(targets: dict[str, float], domains: Sequence[str], held: Sequence[float]) -> list[float]:
@@ -165,11 +181,9 @@ def fit_rates(members: DataFrame, wanted: Sequence[float]) -> list[list[float]]:
 
 def moved(rate: Column, p: Column, moves: list[list[float]]) -> Column:
     """A rate after some steps of the projected gradient."""
-    if not moves:
-        return rate
-    steps = F.array(*[F.array(*map(F.lit, m)) for m in moves])
-    along = lambda m: sum((p[i] * m[i] for i in range(1, len(moves[0]))), p[0] * m[0])
-    return F.aggregate(steps, rate, lambda x, m: F.greatest(F.lit(0.0), x - along(m)))
+    for m in moves:
+        rate = F.greatest(F.lit(0.0), rate - _sum([p[i] * x for i, x in enumerate(m)]))
+    return rate
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
@@ -187,14 +201,15 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     domains, prior, odds = fit(docs, labels, scratch)
     if not domains:
         domains, prior, odds = ["all"], [0.0], {}
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    members = scratch.save(docs.select(tokens(text).alias("tokens"), posteriors(text, domains, prior, odds).alias("p")))
+    body, p = fresh(docs, "_mix_text"), fresh(docs, "_mix_p")
+    judged = with_posteriors(docs.withColumn(body, F.coalesce(F.col("text").cast("string"), F.lit(""))), body, p, domains, prior, odds)
+    members = scratch.save(judged.select(tokens(F.col(body)).alias("tokens"), F.col(p).alias("p")))
     held = members.agg(*[F.sum(F.col("tokens") * F.col("p")[i]).alias(f"h{i}") for i in range(len(domains))]).first()
     wanted = goals(targets, domains, [held[f"h{i}"] or 0.0 for i in range(len(domains))])
     steps = fit_rates(members, wanted) if len(domains) > 1 else []
     names = {c: fresh(docs, c) for c in ("n_tokens", "posterior", "rate", "copies")}
-    p, n = fresh(docs, "_mix_p"), names["n_tokens"]
-    out = docs.withColumns({n: tokens(text).cast("long"), p: posteriors(text, domains, prior, odds)})
+    n = names["n_tokens"]
+    out = judged.withColumn(n, tokens(F.col(body)).cast("long"))
     out = out.withColumn(names["rate"], F.when(F.col(n) > 0, moved(F.lit(1.0), F.col(p), steps)).otherwise(0.0))
     rate = F.col(names["rate"])
     spare = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
