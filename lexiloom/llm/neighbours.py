@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 K = 20
 #: Lines, half window in units of the radius, share of the lines that makes a candidate.
-LINES, HALF, SHARE = 16, 1.0, 0.56
+LINES, HALF, SHARE = 16, 1.0, 0.66
 #: First radius in units of the longest vector, and its growth.
 FIRST, GROWTH = 0.5, 1.3
 #: Index vectors and queries in a block.
