@@ -96,9 +96,8 @@ def _entries(s, d):
 def _termbase(s, d):
     path = fresh(s, "termbase")
     W.write_termbase(_entries(s, d), path)
-    # Entries are single-line documents: read as JSON lines.
-    rows = s.read.schema(schemas.TERMBASE).json(path).select("project_id", F.inline("entries"))
-    return rows.filter(F.col("status").isin("approved", "keep")).select("project_id", "candidate_id", "source_term", "translation", "status", F.array_join("variants", "|").alias("variants"))
+    rows, _ = R.read_termbase(s, path)
+    return rows.select("project_id", "candidate_id", "source_term", "translation", "status", F.array_join("variants", "|").alias("variants"))
 
 
 _ACTIVE = "SELECT project_id, candidate_id, source_term, translation, status, array_to_string(variants, '|') AS variants FROM v_termbase WHERE status IN ('approved', 'keep')"
@@ -106,14 +105,12 @@ register("write_termbase", _termbase, _ACTIVE)
 
 
 def _read_termbase(s, d):
-    """Termbase documents, one file each (a few entries per document)."""
+    """Termbase documents of a few entries each, many to a file."""
     path = fresh(s, "termbase-docs")
     fields = F.struct(*schemas.TERM_ENTRY.fieldNames())
-    entries = _entries(s, d)
-    parts = entries.count() // 200 + 1
-    part = F.pmod(F.xxhash64("project_id", "candidate_id"), F.lit(parts))
-    docs = entries.groupBy("project_id", part.alias("part")).agg(F.collect_list(fields).alias("entries"))
-    docs.select("project_id", F.lit(1).alias("schema_version"), "entries").write.option("maxRecordsPerFile", 1).json(path)
+    part = F.substring(F.sha2("candidate_id", 256), 1, 3)
+    docs = _entries(s, d).groupBy("project_id", part.alias("part")).agg(F.collect_list(fields).alias("entries"))
+    docs.select("project_id", F.lit(1).alias("schema_version"), "entries").write.json(path)
     rows, _ = R.read_termbase(s, path)
     return rows.select("project_id", "candidate_id", "source_term", "translation", "status", F.array_join("variants", "|").alias("variants"))
 

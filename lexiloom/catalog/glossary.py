@@ -8,6 +8,7 @@ from lexiloom.catalog import sqlviews as S
 from lexiloom.catalog.blocks import joined
 from lexiloom.catalog.registry import register
 from lexiloom.catalog.sqlviews import view
+from lexiloom.catalog.terms import runs_up_to
 from lexiloom.functions import text as X
 from lexiloom.operators import glossary as G
 from lexiloom.operators import terms as T
@@ -42,7 +43,7 @@ def rows(s, d):
         F.lit(" note ").alias("note"),
         F.lower(term).alias("variants"), (n % 9).cast("string").alias("occurrences"),
         F.concat(F.lit("p"), (n % 30).cast("string"), F.lit(",p99")).alias("locations"), term.alias("example"),
-        F.when(n % 3 == 0, "").when(n % 3 == 1, X.manual_term_id(term, False)).otherwise(X.term_id(X.term_key(term, False))).alias("candidate_id"),
+        F.when(n % 3 == 0, "").when(n % 3 == 1, X.manual_term_id(term)).otherwise(X.term_id(X.term_key(term))).alias("candidate_id"),
     )
 
 
@@ -55,8 +56,13 @@ def key(x: str) -> str:
     return _KEY.format(w=_W.format(x=x), s=S.singular("z"))
 
 
+def folded(x: str) -> str:
+    """Case folding of the letters that the sample texts have."""
+    return f"replace(lower({x}), 'ß', 'ss')"
+
+
 def manual(x: str) -> str:
-    return f"('manual-' || substr(sha256(CASE WHEN {key(x)} = '' THEN lower({S.collapse(x)}) ELSE {key(x)} END), 1, 12))"
+    return f"('manual-' || substr(sha256(CASE WHEN {key(x)} = '' THEN {folded(S.collapse(x))} ELSE {key(x)} END), 1, 12))"
 
 
 view(
@@ -70,12 +76,12 @@ view(
 )
 register(
     "validate_glossary_rows",
-    lambda s, d: VAL.validate_glossary_rows(rows(s, d), False).select("project_id", "record_no", "translation", joined("violations")),
+    lambda s, d: VAL.validate_glossary_rows(rows(s, d)).select("project_id", "record_no", "translation", joined("violations")),
     """SELECT project_id, record_no, CASE WHEN status = 'keep' THEN source_term ELSE translation END AS translation, concat_ws(',',
       CASE WHEN status = 'open' THEN 'invalid_status' END, CASE WHEN status = 'review' THEN 'review_incomplete' END, CASE WHEN source_term = '' THEN 'empty_term' END,
       CASE WHEN regexp_matches(source_term, '[{}]') THEN 'protected_token' END, CASE WHEN category = 'misc' THEN 'invalid_category' END,
       CASE WHEN status = 'approved' AND translation = '' THEN 'approved_without_translation' END,
-      CASE WHEN status = 'keep' AND translation <> '' AND lower(translation) <> lower(source_term) THEN 'keep_differs' END) AS violations FROM v_grow""",
+      CASE WHEN status = 'keep' AND translation <> '' AND replace(lower(translation), 'ß', 'ss') <> replace(lower(source_term), 'ß', 'ss') THEN 'keep_differs' END) AS violations FROM v_grow""",
 )
 
 
@@ -90,7 +96,7 @@ view(
       min(record_no) OVER (PARTITION BY project_id, final_id) AS f3 FROM (
       SELECT *, CASE WHEN auto THEN 'auto' WHEN starts_with(candidate_id, 'manual-') OR candidate_id = '' THEN 'manual' END AS origin,
         CASE WHEN candidate_id = '' THEN mid ELSE candidate_id END AS final_id FROM (
-        SELECT g.*, lower(source_term) AS norm, {key('source_term')} AS key, {manual('source_term')} AS mid,
+        SELECT g.*, {folded('source_term')} AS norm, {key('source_term')} AS key, {manual('source_term')} AS mid,
           EXISTS (SELECT 1 FROM v_expected e WHERE e.project_id = g.project_id AND e.candidate_id = g.candidate_id) AS auto FROM v_grow g))""",
 )
 register(
@@ -105,14 +111,15 @@ register(
 
 def evidence(s, d):
     terms = rows(s, d).select("project_id", "record_no", "source_term", F.when(F.col("doc_id") % 3 == 2, "auto").otherwise("manual").alias("origin"))
-    return G.term_evidence(terms, T.term_occurrences(V.blocks(s, d), 2))
+    return G.term_evidence(terms, T.term_occurrences(V.blocks(s, d), G.evidence_width(terms)))
 
 
+view("v_occ_long", runs_up_to(f"(SELECT max(len(string_split({key('source_term')}, ' '))) FROM v_grow)"))
 view(
     "v_evidence",
     f"""SELECT g.project_id, record_no, source_term, CASE WHEN doc_id % 3 = 2 THEN 'auto' ELSE 'manual' END AS origin, coalesce(o.n, 0) AS occurrences,
       coalesce(o.blocks, 0) AS blocks, o.n IS NOT NULL AS source_verified, g.status FROM (SELECT *, {key('source_term')} AS key FROM v_grow) g
-      LEFT JOIN (SELECT project_id, key, count(*) AS n, count(DISTINCT source_order) AS blocks FROM v_occ WHERE length <= 2 GROUP BY ALL) o
+      LEFT JOIN (SELECT project_id, key, count(*) AS n, count(DISTINCT source_order) AS blocks FROM v_occ_long GROUP BY ALL) o
       ON o.project_id = g.project_id AND o.key = g.key""",
 )
 register(

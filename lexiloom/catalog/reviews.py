@@ -169,18 +169,15 @@ register("translation_review_problems", lambda s, d: R.first_problem(translation
 register(
     "source_qa_report",
     lambda s, d: R.source_qa_report(issues(s, d)).select("project_id", "number", X.text_sha256("entry").alias("hash")),
-    f"""SELECT project_id, number, sha256('## ' || printf('Q-%04d', number) || ' · ' || code || {_NL} || {_NL} || '- 심각도: ' ||
-      CASE severity WHEN 'error' THEN '오류' WHEN 'warning' THEN '경고' ELSE '참고' END || {_NL} || '- 위치: ' ||
-      CASE WHEN page IS NOT NULL THEN 'PDF ' || page::VARCHAR || '페이지' ELSE source_file END || {_NL} || '- 원본: `' || source_file || '`' || {_NL} ||
-      '- 블록: `' || block_id || '`' || {_NL} || '- 확인할 내용: `' || replace(evidence, '`', '''') || '`' || {_NL}) AS hash FROM (
+    f"""SELECT project_id, number, sha256(printf('### Q-%04d [%s] %s', number, severity, code) || {_NL} || 'in ' || source_file ||
+      CASE WHEN page IS NOT NULL THEN ', page ' || page::VARCHAR ELSE '' END || {_NL} || 'block ' || block_id || {_NL} || '> ' || replace(evidence, '`', '''') || {_NL}) AS hash FROM (
       SELECT i.*, b.page, b.source_file, row_number() OVER (PARTITION BY i.project_id ORDER BY i.source_order, i.code, i.id) AS number
       FROM v_issue i JOIN v_block b ON b.project_id = i.project_id AND b.id = i.block_id)""",
 )
 register(
     "translation_qa_report",
     lambda s, d: R.translation_qa_report(CT.tissues(s, d)).select("project_id", "line"),
-    """SELECT project_id, '| ' || CASE severity WHEN 'error' THEN '오류' WHEN 'warning' THEN '경고' ELSE '참고' END || ' | `' || code || '` | `' || block_id || '` | '
-      || replace(replace(coalesce(detail, ''), '|', '\\|'), chr(10), ' ') || ' |' AS line FROM v_tissue""".replace("\\\\", "\\"),
+    r"SELECT project_id, '|' || block_id || '|' || code || '|' || severity || '|' || replace(replace(coalesce(detail, ''), '|', '\|'), chr(10), ' ') || '|' AS line FROM v_tissue",
 )
 
 # --- Human edits ----------------------------------------------------------------------------

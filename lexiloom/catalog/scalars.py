@@ -63,7 +63,7 @@ per_block(
     "natural_key",
     lambda: F.array_join(F.transform(X.natural_key("source_file"), lambda p: F.concat(p["kind"].cast("string"), F.lit(":"), p["digits"], p["text"])), "~"),
     "array_to_string(list_transform(regexp_extract_all(lower(source_file), '[0-9]+|[^0-9]+'), lambda p: "
-    "CASE WHEN regexp_matches(p, '^[0-9]') THEN '0:' || lpad(p, 20, '0') ELSE '1:' || p END), '~')",
+    "CASE WHEN regexp_matches(p, '^[0-9]') THEN '0:' || lpad(len(regexp_replace(p, '^0+([0-9])', '\\1'))::VARCHAR, 10, '0') || regexp_replace(p, '^0+([0-9])', '\\1') ELSE '1:' || p END), '~')",
 )
 per_block(
     "protected_tokens",

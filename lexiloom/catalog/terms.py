@@ -33,16 +33,20 @@ view(
 )
 _TITLE = r"(regexp_matches(regexp_replace(w, '[^\p{L}]', '', 'g'), '^\p{Lu}{2,}$') OR regexp_matches(w, '^\p{Lu}.*\p{Ll}'))"
 _LINK = f"lower(w) IN {_in(K.CONNECTORS)}"
-view(
-    "v_occ",
-    f"""SELECT project_id, source_order, block_id, location, example, block_type, segment, st AS start, st + l AS "end", l AS length,
+
+
+def runs_up_to(longest: str) -> str:
+    """Runs of up to ``longest`` words (a number or a scalar query)."""
+    return f"""SELECT project_id, source_order, block_id, location, example, block_type, segment, st AS start, st + l AS "end", l AS length,
     array_to_string(list_transform(ws[:-2], lambda y: replace(lower(y), '’', '''')) || [{S.singular("replace(lower(ws[-1]), '’', '''')")}], ' ') AS key,
     array_to_string(ws, ' ') AS surface, whole AND st = 0 AND l = n AS heading,
     (st > 0 OR whole) AND len(list_filter(ws, lambda w: NOT ({_LINK}))) > 0
       AND len(list_filter(ws, lambda w: NOT ({_TITLE} OR {_LINK}))) = 0 AS title
   FROM (SELECT *, words[st + 1 : st + l] AS ws FROM (
-    SELECT *, unnest(range(1, least(4, n - st) + 1)) AS l FROM (SELECT *, unnest(range(0, n)) AS st FROM v_part)))""",
-)
+    SELECT *, unnest(range(1, least({longest}, n - st) + 1)) AS l FROM (SELECT *, unnest(range(0, n)) AS st FROM v_part)))"""
+
+
+view("v_occ", runs_up_to("4"))
 view(
     "v_occ_term",
     f"""SELECT * FROM v_occ WHERE length(key) >= 3

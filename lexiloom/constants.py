@@ -34,12 +34,13 @@ IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "webp")
 # Word lists of term extraction.
 CONNECTORS = ("of", "the", "and", "for", "to", "in", "on", "from", "with", "&")
 ARTICLES = ("a", "an", "the")
-STOPWORDS = tuple(
-    "a an and any are as at be been before by can during each for from had has have he her "
-    "his if in into is it its may must no not of on or our she that the their them then there "
-    "these they this those to up was were when while with without you your chapter contents "
-    "example examples figure display feature following game games name note only overview page "
-    "represent rulebook side setup table unique used using version will".split()
+STOPWORDS = (
+    "a", "an", "and", "any", "are", "as", "at", "be", "been", "before", "by", "can", "during", "each", "for", "from",
+    "had", "has", "have", "he", "her", "his", "if", "in", "into", "is", "it", "its", "may", "must", "no", "not", "of",
+    "on", "or", "our", "she", "that", "the", "their", "them", "then", "there", "these", "they", "this", "those", "to",
+    "up", "was", "were", "when", "while", "with", "without", "you", "your", "chapter", "contents", "example",
+    "examples", "figure", "display", "feature", "following", "game", "games", "name", "note", "only", "overview",
+    "page", "represent", "rulebook", "side", "setup", "table", "unique", "used", "using", "version", "will",
 )
 HEADING_TYPES = ("title", "heading", "ability", "identifier", "label")
 COMPONENT_WORDS = (
@@ -100,7 +101,6 @@ REVIEW_SEPARATOR = "======================"
 FINAL_SEPARATOR = "----------------------"
 BLOCK_MARKER = r"^\[BLOCK ([a-z0-9][a-z0-9._-]*)\]$"
 END_MARKER = r"^\[\[(?:[A-Z]+_)?END (.+)\]\]$"
-LOCATION_MARKER = r"^\[(?:PAGE|SOURCE) .+\]$"
 
 NON_OVERRIDABLE = ("empty_translation",)
 MAX_OVERRIDE_REASON = 1000

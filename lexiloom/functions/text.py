@@ -100,7 +100,7 @@ def locator(source_type: Column, page: Column, source_file: Column) -> Column:
     head = K.IMAGE_ROOT + "/"
     return F.when(source_type == "pdf", F.concat(F.lit("p"), page.cast("string"))).otherwise(
         F.when(
-            F.startswith(source_file, F.lit(head)), F.substring(source_file, len(head) + 1, 1_000_000)
+            F.startswith(source_file, F.lit(head)), F.substr(source_file, F.lit(len(head) + 1))
         ).otherwise(source_file)
     )
 
@@ -112,13 +112,14 @@ def locator_line(page: Column, source_file: Column) -> Column:
 
 
 def natural_key(path: Column | str) -> Column:
-    """Sortable array of parts: runs of digits compare as numbers and come before text."""
+    """Sortable array of parts: runs of digits compare as numbers of any length and come before text."""
+    value = lambda part: F.regexp_replace(part, "^0+(?=[0-9])", "")
     parts = F.regexp_extract_all(F.lower(_col(path)), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
     return F.transform(
         parts,
         lambda part: F.when(
             part.rlike("^[0-9]"),
-            F.struct(F.lit(0).alias("kind"), F.lpad(part, 20, "0").alias("digits"), F.lit("").alias("text")),
+            F.struct(F.lit(0).alias("kind"), F.concat(F.lpad(F.length(value(part)).cast("string"), 10, "0"), value(part)).alias("digits"), F.lit("").alias("text")),
         ).otherwise(F.struct(F.lit(1).alias("kind"), F.lit("").alias("digits"), part.alias("text"))),
     )
 

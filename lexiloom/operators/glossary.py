@@ -38,7 +38,7 @@ def review_rows(candidates: DataFrame, occurrences: DataFrame) -> DataFrame:
     )
 
 
-def glossary_duplicates(rows: DataFrame, expected: DataFrame, compatibility: bool = False) -> DataFrame:
+def glossary_duplicates(rows: DataFrame, expected: DataFrame, compatibility: bool = True) -> DataFrame:
     """Reviewed rows with origin, id and identity problems (``record_no`` names the row).
 
     The first record of every term, key and id is found by aggregation and joined back.
@@ -75,10 +75,17 @@ def glossary_duplicates(rows: DataFrame, expected: DataFrame, compatibility: boo
     return joined.withColumn("problems", found)
 
 
-def term_evidence(terms: DataFrame, occurrences: DataFrame, compatibility: bool = False) -> DataFrame:
+def evidence_width(terms: DataFrame, compatibility: bool = True) -> int:
+    """Words of the longest reviewed term, which runs of the source must reach."""
+    words = F.size(F.split(X.term_key(F.col("source_term"), compatibility), " "))
+    return max(1, terms.agg(F.max(words).alias("n")).first()["n"] or 1)
+
+
+def term_evidence(terms: DataFrame, occurrences: DataFrame, compatibility: bool = True) -> DataFrame:
     """Evidence of reviewed terms in the source: count, blocks, first order, example.
 
     ``terms``: project_id, record_no, source_term, origin. Terms without any are unverified.
+    ``occurrences``: runs of up to ``evidence_width(terms)`` words.
     """
     keyed = terms.withColumn("key", X.term_key(F.col("source_term"), compatibility))
     found = (

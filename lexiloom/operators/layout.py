@@ -91,9 +91,10 @@ def recover_layout(fragments: DataFrame, refs: DataFrame) -> DataFrame:
             F.lit(True).alias("include_in_text"), F.lit("Restored after omission.").alias("reason"), "group_no",
         )
     )
-    ahead = Window.partitionBy(*PAGE).orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    # the next anchor is the last one seen when the page is walked backwards, which keeps the window's state to one row
+    ahead = Window.partitionBy(*PAGE).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     behind = Window.partitionBy(*PAGE).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    nxt = F.first("block_pos", ignorenulls=True).over(ahead)
+    nxt = F.last("block_pos", ignorenulls=True).over(ahead)
     prev = F.last("block_pos", ignorenulls=True).over(behind)
     lost_row = F.col("group_no").isNotNull()
     placed = (
@@ -156,7 +157,7 @@ def merge_continuations(blocks: DataFrame) -> DataFrame:
     member = F.struct("block_pos", "text", "fragment_ids", "warnings", "type", "include_in_text", "recovered", "bbox", "page_size")
     grouped = islands.groupBy(*PAGE, "_island").agg(F.array_sort(F.collect_list(member)).alias("_m"))
     head = F.col("_m")[0]
-    rest = F.slice("_m", 2, 1_000_000)
+    rest = F.slice("_m", F.lit(2), F.size("_m"))
 
     def step(state: Column, nxt: Column) -> Column:
         pair = I.join_fragments(F.array(state["text"], nxt["text"]))

@@ -220,7 +220,7 @@ def verify_outputs(approved: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def order_outputs(outputs: DataFrame) -> DataFrame:
-    name = F.substring(F.col("path"), len(K.OUTPUT_ROOT) + 2, 1_000_000)
+    name = F.substr("path", F.lit(len(K.OUTPUT_ROOT) + 2))
     return outputs.withColumn("name", name).orderBy("project_id", F.col("name") != K.COMBINED_OUTPUT, F.lower("name"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import text as X
 from lexiloom.operators import translation as T
+from lexiloom.session import settle
 
 Answer = Callable[[list[str], list[str]], list[str | None]]
 Check = Callable[[str, str], tuple[str, str]]
@@ -20,7 +21,9 @@ def apply_model(requests: DataFrame, answer: Answer, check: Check, request: str
 
     ``answer`` maps requests and feedback texts to responses, a batch at a time. ``check`` returns
     (structural problem, content problem). A structurally valid answer with content problems is
-    kept for review; one without structure is null. Requests are spread by Spark, in Arrow batches.
+    kept for review; one without structure is null. Requests are spread by Spark, in Arrow batches. An
+    exception of ``answer`` becomes the problem of the requests it was given, so that answers of other
+    batches are not lost with it. The result calls the model each time it is read: store it first.
     """
     columns = requests.columns
 
@@ -34,11 +37,15 @@ def apply_model(requests: DataFrame, answer: Answer, check: Check, request: str
             for _ in range(max_attempts):
                 if not open_rows:
                     break
-                replies = answer([asked[i] for i in open_rows], [issues[i] for i in open_rows])
+                try:
+                    replies = answer([asked[i] for i in open_rows], [issues[i] for i in open_rows])
+                    failed = "no answer"
+                except Exception as error:  # noqa: BLE001  (a user's function; its failure is a problem of these rows)
+                    replies, failed = [None] * len(open_rows), f"model error: {type(error).__name__}: {error}"
                 again = []
                 for i, reply in zip(open_rows, replies):
                     tries[i] += 1
-                    shape, content = check(asked[i], reply) if reply is not None else ("no answer", "")
+                    shape, content = check(asked[i], reply) if reply is not None else (failed, "")
                     if not shape:
                         best[i] = reply
                     issues[i] = shape or content
@@ -63,7 +70,8 @@ def retry_failed(segments: DataFrame, issues: DataFrame, answer: Answer, check:
     )
     body = F.to_json(F.struct("source_block_id", "source_text", "feedback"))
     asked = failed.join(told, ["project_id", "source_block_id"]).select("project_id", "source_block_id", body.alias("request"))
-    answered = apply_model(asked, answer, check)
+    # read by the segments and by the log: stored, so that the model is called once and both agree
+    answered = settle(apply_model(asked, answer, check))
     clean = (F.col("problems") == "") & ~X.is_blank("response")
     retried = answered.select("project_id", "source_block_id", F.when(clean, X.strip("response")).alias("new_text"))
     return T.merge_retries(segments, retried)

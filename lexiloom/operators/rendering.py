@@ -98,7 +98,7 @@ def render_final_translation(approved: DataFrame) -> DataFrame:
 
 def output_path(source_file: Column) -> Column:
     """``05_output/<folders>/<stem>_kor.txt`` of an image below the image folder."""
-    below = F.substring(source_file, len(K.IMAGE_ROOT) + 2, 1_000_000)
+    below = F.substr(source_file, F.lit(len(K.IMAGE_ROOT) + 2))
     folder = F.regexp_extract(below, "^(.*/)[^/]*$", 1)
     return F.concat(F.lit(K.OUTPUT_ROOT + "/"), folder, X.file_stem(below), F.lit("_kor.txt"))
 
@@ -263,42 +263,17 @@ def parse_translation_review(lines: DataFrame, segments: DataFrame, span: int =
 
 # --- Reports --------------------------------------------------------------------------------
 
-SEVERITY_LABEL = {"error": "오류", "warning": "경고", "info": "참고"}
-
-
-def _label() -> Column:
-    table = F.create_map(*[F.lit(x) for pair in SEVERITY_LABEL.items() for x in pair])
-    return F.coalesce(table[F.col("severity")], F.col("severity"))
-
-
 def source_qa_report(issues: DataFrame) -> DataFrame:
     """Numbered report entries Q-0001.. per project in issue order, one row each."""
     numbered = scale.number_rows(issues, ["project_id"], "source_order", ["code", "id"], "number")
-    place = F.when(F.col("page").isNotNull(), F.concat(F.lit("PDF "), F.col("page").cast("string"), F.lit("페이지"))).otherwise(F.col("source_file"))
-    safe = F.replace(X.collapse("evidence"), F.lit("`"), F.lit("'"))
-    return numbered.select(
-        "project_id", "number",
-        F.concat_ws(
-            "\n",
-            F.concat(F.lit("## "), F.format_string("Q-%04d", F.col("number")), F.lit(" · "), F.col("code")),
-            F.lit(""),
-            F.concat(F.lit("- 심각도: "), _label()),
-            F.concat(F.lit("- 위치: "), place),
-            F.concat(F.lit("- 원본: `"), F.col("source_file"), F.lit("`")),
-            F.concat(F.lit("- 블록: `"), F.col("block_id"), F.lit("`")),
-            F.concat(F.lit("- 확인할 내용: `"), safe, F.lit("`")),
-            F.lit(""),
-        ).alias("entry"),
-    )
+    place = F.concat(F.col("source_file"), F.when(F.col("page").isNotNull(), F.concat(F.lit(", page "), F.col("page").cast("string"))).otherwise(""))
+    quoted = F.replace(X.collapse("evidence"), F.lit("`"), F.lit("'"))
+    entry = F.format_string("### Q-%04d [%s] %s\nin %s\nblock %s\n> %s\n", "number", "severity", "code", place, "block_id", quoted)
+    return numbered.select("project_id", "number", entry.alias("entry"))
 
 
 def translation_qa_report(issues: DataFrame) -> DataFrame:
-    """Table rows of the translation report; pipes and newlines are escaped."""
-    detail = F.replace(F.replace(F.coalesce("detail", F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
-    return issues.select(
-        "project_id", "block_id", "code",
-        F.concat(
-            F.lit("| "), _label(), F.lit(" | `"), F.col("code"), F.lit("` | `"), F.coalesce("block_id", F.lit("-")),
-            F.lit("` | "), detail, F.lit(" |"),
-        ).alias("line"),
-    )
+    """Table rows of the translation report: block, code, severity, detail; pipes and line ends are escaped."""
+    cell = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+    line = F.concat(F.lit("|"), F.concat_ws("|", F.coalesce("block_id", F.lit("all")), "code", "severity", cell(F.col("detail"))), F.lit("|"))
+    return issues.select("project_id", "block_id", "code", line.alias("line"))

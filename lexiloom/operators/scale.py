@@ -140,16 +140,3 @@ def content_fingerprint(df: DataFrame, group: Sequence[str], name: Column, diges
     summed = df.groupBy(*group).agg(F.count(F.lit(1)).alias("items"), *lanes)
     joined = F.concat_ws("|", F.lit(salt), F.col("items").cast("string"), *[F.col(f"_s{i}").cast("string") for i in range(8)])
     return summed.select(*group, "items", F.sha2(joined, 256).alias("fingerprint"))
-
-
-SMALL_ROWS = 200_000
-
-
-def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
-    """True when the table has at most ``rows`` rows; reads no more than that many."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """A broadcast hint only after counting; beyond the bound the join stays a shuffle join."""
-    return F.broadcast(df) if is_small(df, rows) else df

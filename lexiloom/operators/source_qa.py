@@ -168,16 +168,15 @@ def duplicate_issues(blocks: DataFrame) -> DataFrame:
 def with_unknown_tokens(blocks: DataFrame, tokens: DataFrame) -> DataFrame:
     """Blocks with ``unknown``: the sorted tokens their project's vocabulary lacks (null: none).
 
-    A vocabulary of checked small size travels to the blocks; a larger one is anti-joined.
+    Tokens meet the vocabulary by equality, as rows, and are gathered per block again. A stream cannot
+    gather its rows without waiting for more, so its blocks meet their project's vocabulary, which is a
+    static table there, as one list; blocks without tokens do not look into it.
     """
-    if scale.is_small(tokens):
+    if blocks.isStreaming:
         known = tokens.groupBy("project_id").agg(F.collect_set("token").alias("_known"))
         used = F.array_distinct(I.find_all(effective_text(), K.TOKEN, 1))
-        return (
-            blocks.join(F.broadcast(known), "project_id", "left")
-            .withColumn("unknown", F.array_except(used, F.col("_known")))
-            .drop("_known")
-        )
+        missing = F.when((F.size(used) > 0) & F.col("_known").isNotNull(), F.array_except(used, F.col("_known")))
+        return blocks.join(known, "project_id", "left").withColumn("unknown", missing).drop("_known")
     unknown = unknown_tokens(blocks, tokens).groupBy("project_id", F.col("block_id").alias("id")).agg(
         F.collect_set("token").alias("unknown")
     )

@@ -56,8 +56,8 @@ def term_occurrences(blocks: DataFrame, max_words: int = 4) -> DataFrame:
     Words are prepared once per segment; the runs are then cut from those arrays inside the
     generated code of the two generators, so a row costs no more than its own few words.
     """
-    if not 1 <= max_words <= 6:
-        raise ValueError("max_words must be between 1 and 6")
+    if max_words < 1:
+        raise ValueError("max_words must be at least 1")
     upper_first = lambda w: F.ascii(w).between(65, 90)
     code = lambda w: F.when(F.lower(w).isin(*K.CONNECTORS), 2).when(upper_first(w) & X.is_title_token(w), 1).otherwise(0)
     prepared = (
@@ -213,6 +213,8 @@ def prune_nested_terms(stats: DataFrame, occurrences: DataFrame, max_words: int
 
 def term_candidates(blocks: DataFrame, min_frequency: int = 2, max_words: int = 4) -> DataFrame:
     """All pruned candidates with score, representative surface and category."""
+    if not 1 <= max_words <= 6:
+        raise ValueError("mined terms have 1 to 6 words")
     occurrences = term_occurrences(blocks, max_words)
     stats = settle(term_stats(occurrences, min_frequency))
     kept = prune_nested_terms(stats, occurrences, max_words)

@@ -50,9 +50,9 @@ def term_hits(texts: DataFrame, termbase: DataFrame) -> DataFrame:
     """
     index = term_index(termbase)
     entry = F.struct("candidate_id", "source_term", "translation", "status", "variant")
-    keyed = scale.broadcast_if_small(index.filter(F.col("token").isNotNull()))
+    keyed = index.filter(F.col("token").isNotNull())
     by_word = text_tokens(texts).join(keyed, ["project_id", "token"]).select("project_id", "text_id", entry.alias("e"))
-    loose = scale.broadcast_if_small(index.filter(F.col("token").isNull()).drop("token"))
+    loose = index.filter(F.col("token").isNull()).drop("token")
     by_scan = (
         texts.join(loose, "project_id")
         .filter(X.contains_term(F.col("text"), F.col("variant")))
@@ -303,8 +303,8 @@ def pending_chunks(chunk_blocks: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def cache_lookup(inputs: DataFrame, cache: DataFrame, keys: list[str], result: str) -> DataFrame:
-    """Inputs with the cached result of an equal key, and whether there was one."""
-    have = cache.select(*keys, result).withColumn("hit", F.lit(True))
+    """Inputs with the cached result of an equal key, and whether there was one; of several results the least."""
+    have = cache.groupBy(*keys).agg(F.min(result).alias(result)).withColumn("hit", F.lit(True))
     return inputs.join(have, keys, "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
@@ -326,15 +326,19 @@ def build_segments(accepted: DataFrame, issues: DataFrame, model: str, prompt_ha
 
 
 def diff_review(segments: DataFrame, reviewed: DataFrame) -> DataFrame:
-    """Segments with the reviewed text, whether it changed, and the correction (null if not)."""
+    """Segments with the reviewed text, whether it changed, and the correction (null if not).
+
+    A segment without a reviewed text stays, with a null ``reviewed`` and ``changed``.
+    """
     new = reviewed.select("project_id", "source_block_id", F.col("text").alias("reviewed"))
     changed = F.col("reviewed") != F.col("translated_text")
-    return segments.join(new, ["project_id", "source_block_id"]).withColumn("changed", changed).withColumn(
+    return segments.join(new, ["project_id", "source_block_id"], "left").withColumn("changed", changed).withColumn(
         "correction", F.when(changed, F.col("reviewed"))
     )
 
 
 def approve_translations(segments: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """Approved rows of all segments; one without a reviewed text is marked ``unreviewed`` and has no final hash."""
     return diff_review(segments, reviewed).select(
         "project_id", "schema_version", "source_block_id", "source_file", "page", "source_order", "block_type",
         "source_text", "source_sha256",
@@ -342,7 +346,7 @@ def approve_translations(segments: DataFrame, reviewed: DataFrame) -> DataFrame:
         F.col("translation_sha256").alias("draft_translation_sha256"),
         F.col("correction").alias("corrected_translation"),
         X.text_sha256("reviewed").alias("final_translation_sha256"),
-        F.lit("approved").alias("status"), "model", "prompt_sha256", "termbase_sha256",
+        F.when(F.col("reviewed").isNull(), "unreviewed").otherwise("approved").alias("status"), "model", "prompt_sha256", "termbase_sha256",
     )
 
 

@@ -51,6 +51,6 @@ def write_parts(parts: DataFrame, path: str, *folders: str) -> None:
 
 
 def snapshot_revision(df: DataFrame, path: str, reason: str, revision: str) -> None:
-    """Rows added to the revision log under a caller-given revision, so a retry rewrites nothing else."""
+    """Rows of the revision log under a caller-given revision; written again, a revision replaces itself only."""
     log = df.withColumn("reason", F.lit(reason)).withColumn("revision", F.lit(revision))
-    log.write.mode("append").partitionBy("project_id", "revision").parquet(path)
+    log.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id", "revision").parquet(path)

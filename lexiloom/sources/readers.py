@@ -49,13 +49,19 @@ def read_segments(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return _json_lines(spark, path, schemas.SEGMENT, "source_block_id")
 
 
-def read_termbase(spark: SparkSession, path: str, active_only: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(entries, problems): one JSON document per project, or one entry per JSON line."""
-    documents = spark.read.schema(schemas.TERMBASE).json(path, multiLine=True)
+def read_termbase(spark: SparkSession, path: str, active_only: bool = True, whole_files: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(entries, problems) of JSON lines, each a document with any number of entries.
+
+    With ``whole_files`` each file is one document over several lines. Entries of an unknown status
+    and active entries with a gap are problems.
+    """
+    documents = spark.read.schema(schemas.TERMBASE).json(path, multiLine=whole_files)
     rows = documents.select("project_id", F.inline("entries"))
     active = F.col("status").isin("approved", "keep")
     gap = X.is_blank("source_term") | X.is_blank("translation")
-    problems = rows.filter(active & gap).select("project_id", F.col("candidate_id").alias("key"), F.lit("incomplete").alias("problem"))
+    unknown = ~F.coalesce(F.col("status").isin(*K.GLOSSARY_STATUSES), F.lit(False))
+    problem = F.when(unknown, "status").when(active & gap, "incomplete")
+    problems = rows.select("project_id", F.col("candidate_id").alias("key"), problem.alias("problem")).filter("problem is not null")
     return (rows.filter(active & ~gap) if active_only else rows), problems
 
 
