@@ -131,23 +131,27 @@ def path_collisions(files: DataFrame, path: str = "path") -> DataFrame:
 # --- Reading review files back --------------------------------------------------------------
 
 
-def _regions(lines: DataFrame, span: int) -> DataFrame:
-    """Lines with ``ordinal``: 1 + the number of end markers before them, and ``end_id``."""
-    end = F.col("line").rlike(K.END_MARKER)
-    counted = scale.running_total(lines, ["project_id"], "line_no", [], end.cast("int"), "_ends", span)
-    own = end.cast("long")
-    return counted.withColumn("ordinal", F.col("_ends") - own + 1).withColumn(
-        "end_id", F.when(end, F.regexp_extract("line", K.END_MARKER, 1))
-    ).drop("_ends")
+def _regions(lines: DataFrame, ids: DataFrame, span: int) -> DataFrame:
+    """Lines with ``ordinal``: 1 + the number of end markers before them, and ``end_id``.
+
+    Only markers of the project's own blocks (``ids``: project_id, block_id) end a region; a line that
+    looks like one but names no block is text.
+    """
+    named = lines.filter(F.col("line").rlike(K.END_MARKER)).select("project_id", "line_no", F.regexp_extract("line", K.END_MARKER, 1).alias("end_id"))
+    ends = named.join(ids.withColumnRenamed("block_id", "end_id").distinct(), ["project_id", "end_id"], "left_semi")
+    marked = lines.join(ends, ["project_id", "line_no"], "left")
+    own = F.col("end_id").isNotNull().cast("int")
+    counted = scale.running_total(marked, ["project_id"], "line_no", [], own, "_ends", span)
+    return counted.withColumn("ordinal", F.col("_ends") - own.cast("long") + 1).drop("_ends")
 
 
 def _blank() -> Column:
     return F.col("line").isin("", K.REVIEW_SEPARATOR)
 
 
-def _opened(lines: DataFrame, span: int) -> DataFrame:
+def _opened(lines: DataFrame, ids: DataFrame, span: int) -> DataFrame:
     """Region lines with the number of their first line that is not spacing (``start``)."""
-    rows = settle(_regions(lines.filter(F.col("line_no") > 1), span))
+    rows = settle(_regions(lines.filter(F.col("line_no") > 1), ids, span))
     first = rows.groupBy("project_id", "ordinal").agg(F.min(F.when(~_blank(), F.col("line_no"))).alias("start"))
     return rows.join(first, ["project_id", "ordinal"])
 
@@ -188,7 +192,7 @@ def parse_source_review(lines: DataFrame, expected: DataFrame, span: int = scale
     want = expected.select(
         "project_id", F.col("source_order").alias("ordinal"), F.col("id").alias("block_id"), _source_locator().alias("want_place")
     )
-    opened = _opened(lines, span)
+    opened = _opened(lines, want.select("project_id", "block_id"), span)
     offset = F.col("line_no") - F.col("start")
     seen = opened.groupBy("project_id", "ordinal").agg(
         F.max(F.when(offset == 0, F.col("line"))).alias("place"),
@@ -223,7 +227,7 @@ def parse_translation_review(lines: DataFrame, segments: DataFrame, span: int =
         "project_id", F.col("source_order").alias("ordinal"), F.col("source_block_id").alias("block_id"),
         "locator", "changed", "source_text", F.size(F.split("source_text", "\n")).alias("n"),
     ))
-    opened = _opened(lines, span).join(
+    opened = _opened(lines, want.select("project_id", "block_id"), span).join(
         want.select("project_id", "ordinal", "changed", "n"), ["project_id", "ordinal"], "left"
     )
     # Offset 0 is the block marker; a changed place puts the locator before it.
