@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain.
 
 Categories are predicted one after another: the linear model of each category sees the words of the
-text, and their beginnings, with the probabilities of the categories before it. While fitting, those probabilities come from
+text, their beginnings, and the probabilities of the categories before it. While fitting, those come from
 models that did not see the row (out-of-fold), so a later model learns how far to trust an earlier one.
 
 The models are fitted on a bounded sample of labelled rows. Every text is then scored whole.
@@ -70,6 +70,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _telling(rows: list[np.ndarray], y: np.ndarray, words: int) -> np.ndarray:
     """The words whose presence tells most about y: the largest likelihood-ratio statistics."""
+    if not rows:
+        return np.empty(0, np.uint64)
     flat, owner = np.concatenate(rows) if rows else np.empty(0, np.uint64), np.repeat(y, [len(r) for r in rows])
     word, where = np.unique(flat, return_inverse=True)
     total = np.bincount(where, minlength=len(word)).astype(float)
