@@ -30,8 +30,9 @@ WORDS = 40
 #: Sample documents in which a telling word occurs at least, how many times likelier it is in a domain, and
 #: the least logarithm of that ratio times the root of its documents, so that chance in a small sample does not tell.
 LEAST_ROWS, LEAST_RATIO, LEAST_GAIN = 4, 3.0, 4.0
-#: Most steps, and the largest gap of a domain, in shares of all wanted tokens, that ends them.
-STEPS, ENOUGH = 60, 1e-4
+#: Most steps tried; the largest gap of a domain, in shares of all wanted tokens, that ends them; and the
+#: share of the last gap above which a step no longer helps, where targets are out of reach.
+STEPS, ENOUGH, SLOW = 30, 1e-4, 0.98
 #: Share of all tokens that each domain is to have; domains that are not named share the rest by what they have.
 TARGETS = {"plain": 0.9, "poor": 0.08, "toxic": 0.02}
 
@@ -156,7 +157,7 @@ def fit_rates(members: DataFrame, wanted: Sequence[float]) -> list[list[float]]:
     total = max(sum(wanted), 1.0)
     steps: list[list[float]] = []
     best, size = None, 1.0
-    while len(steps) < STEPS:
+    for _ in range(STEPS):
         own = members.select("tokens", "p", moved(F.lit(1.0), F.col("p"), steps).alias("rate"))
         live = F.when(F.col("rate") > 0, F.col("tokens")).otherwise(0.0)
         totals = [F.sum(F.col("rate") * F.col("tokens") * F.col("p")[i]).alias(f"t{i}") for i in range(k)]
@@ -168,10 +169,12 @@ def fit_rates(members: DataFrame, wanted: Sequence[float]) -> list[list[float]]:
             break
         if best is not None and error >= best[0]:
             size /= 2
-            steps[-1] = [x * size for x in best[1]]
-            if size < 1e-3:
+            if size < 0.1:
                 return steps[:-1]
+            steps[-1] = [x * size for x in best[1]]
             continue
+        if best is not None and error > SLOW * best[0]:
+            break
         scale = np.array([[row[f"g{max(i, j)}_{min(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
         move = np.linalg.solve(scale + np.eye(k) * (1e-9 * np.trace(scale) + 1e-12), gap).tolist()
         best, size = (error, move), 1.0
