@@ -4,7 +4,8 @@ Each language gets a raw-content dictionary for zstandard, made of whole trainin
 compressed once with each dictionary; the least size wins. Texts and dictionaries are lower-cased and
 all that is no letter becomes one space first, so that shouting and decoration do not hide the words.
 Code lengths are turned into a confidence; very short texts, whose sizes tie, are told apart by how
-many of their words the dictionaries hold. A narrow margin rejects the text.
+many of their words the dictionaries hold. A narrow relative margin of the code lengths rejects the
+text, and so does a lead of a few bytes, the step of short codes, unless known words support it.
 """
 
 from __future__ import annotations
@@ -25,8 +26,11 @@ SAMPLE_TEXTS, DICTIONARY_BYTES = 64, 112 << 10
 LEVEL = 5
 #: Bits of code length per unit of log-odds: below 1, as neighbouring bytes of a text repeat evidence.
 SHARPNESS = 0.25
-#: A text is rejected when its best language gets no more than this confidence.
-LEAST_CONFIDENCE = 0.34
+#: A text is rejected when its best code is shorter than the next by less than this share of the next one.
+LEAST_MARGIN = 0.02
+#: The lead must also be so many bytes. Codes below a length are short and pass without either when the
+#: best language knows this share of the words and more of them than any other.
+LEAST_LEAD, SHORT_CODE, KNOWN_SHARE = 6, 300, 0.5
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -86,23 +90,29 @@ class Coders:
             self._coders.append(zstandard.ZstdCompressor(dict_data=content, write_checksum=False, write_content_size=False, write_dict_id=False))
         self._words = [frozenset(learned[name].split()) for name in self.names]
 
-    def rate(self, text: str | None) -> tuple[str, float, float]:
-        """(language, confidence, relative margin of the code lengths) of a text."""
+    def rate(self, text: str | None) -> tuple[str, float, float, bool]:
+        """(language, confidence, relative margin of the code lengths, rejected) of a text."""
         data = plain_words(text or "")
         if not data or not self.names:
-            return UNKNOWN, 0.0, 0.0
+            return UNKNOWN, 0.0, 0.0, True
         sizes = np.array([len(coder.compress(data)) for coder in self._coders], np.float64)
         weight = np.exp2(-8 * SHARPNESS * (sizes - sizes.min()))
-        if (sizes == sizes.min()).sum() > 1:
-            words = data.split()
-            weight *= [1 + sum(w in own for w in words) for own in self._words]
+        short = sizes.min() < SHORT_CODE
+        tied = (sizes == sizes.min()).sum() > 1
+        words = data.split() if short or tied else []
+        known = np.array([sum(w in own for w in words) for own in self._words])
+        if tied:
+            weight *= 1 + known
         best = int(np.argmax(weight))
         others = np.delete(sizes, best)
-        margin = float((others.min() - sizes[best]) / others.min()) if len(others) else 1.0
-        return self.names[best], float(weight[best] / weight.sum()), margin
-
-    def rejects(self, rated: tuple[str, float, float]) -> bool:
-        return rated[0] == UNKNOWN or (len(self.names) > 1 and rated[1] <= LEAST_CONFIDENCE)
+        if not len(others):
+            return self.names[best], 1.0, 1.0, False
+        lead = others.min() - sizes[best]
+        margin = float(lead / others.min())
+        passes = margin >= LEAST_MARGIN and lead >= LEAST_LEAD
+        if short and not passes:
+            passes = known[best] >= KNOWN_SHARE * len(words) and known[best] > np.delete(known, best).max()
+        return self.names[best], float(weight[best] / weight.sum()), margin, not bool(passes)
 
 
 def predict(docs: DataFrame, learned: dict[str, bytes]) -> DataFrame:
@@ -113,8 +123,7 @@ def predict(docs: DataFrame, learned: dict[str, bytes]) -> DataFrame:
 
         def rate(batch: pa.RecordBatch) -> pa.RecordBatch:
             rated = [coders.rate(text) for text in batch.column("text").to_pylist()]
-            lang, score, margin = zip(*rated, strict=True)
-            rejected = [coders.rejects(r) for r in rated]
+            lang, score, margin, rejected = zip(*rated, strict=True)
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, (lang, score, margin, rejected))], names=["doc_id", "lang_pred", "score", "margin", "rejected"])
 
         yield from per_batch(rate)(batches)
@@ -128,7 +137,7 @@ def identify(docs: DataFrame) -> DataFrame:
 
     Learns from lang and text of documents that are not held out; a prediction reads the text only.
     Null, empty or letterless text is ``und`` with score 0 and rejected; with no learned language
-    every text is ``und``; with a single one nothing else is rejected. Equal sizes: the first
+    every text is ``und``; with a single one nothing else is rejected, as there is no margin. Equal sizes: the first
     language by name. A null doc_id is not held out and not learned from. Repeated rows are each
     predicted. Other columns are not read.
     """
@@ -147,7 +156,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = Coders(learned)
-        good = lambda batch: pa.array([not coders.rejects(coders.rate(t)) for t in batch.column(place).to_pylist()], pa.bool_())
+        good = lambda batch: pa.array([not coders.rate(t)[3] for t in batch.column(place).to_pylist()], pa.bool_())
         yield from per_batch(lambda batch: batch.filter(good(batch)))(batches)
 
     return docs.mapInArrow(run, docs.schema)

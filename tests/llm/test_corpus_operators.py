@@ -183,6 +183,16 @@ def test_rejected_documents_go_and_columns_stay(spark):
     assert out.schema == docs.schema and {r.doc_id for r in out.collect()} == set(range(60))
 
 
+@pytest.mark.parametrize("learned", [("aa", "bb", "cc"), ("aa", "bb")])
+def test_narrow_margins_reject(spark, learned):
+    rng = random.Random(21)
+    rows = [r for r in language_rows() if r[2] in learned]
+    odd = [(1000 + n, words(rng, n, "abcdefghijklmnopqrstuvwxyz"), None, "s") for n in (1, 100, 500, 3000)]
+    odd += [(9000, " ".join(rng.choices("il gatto e acqua casa rosso".split(), k=300)), None, "s")]
+    out = {r.doc_id: r.rejected for r in language_id.identify(docs_of(spark, rows + odd)).collect()}
+    assert not any(out[i] for i, *_ in rows) and all(out[i] for i, *_ in odd)
+
+
 # lines ------------------------------------------------------------------------------------------
 
 
