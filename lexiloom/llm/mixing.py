@@ -8,7 +8,7 @@ Three steps, all of them DataFrame operations:
    that common words, which only tell a text's length, do not count.
 2. Documents get nonnegative rates. The expected tokens of a domain are the sum over documents of
    rate * tokens * posterior; projected-gradient least squares brings these totals to the targets.
-   Each step needs one small vector, the residual of the totals, which is a partial aggregate.
+   Each step needs a few sums over the documents, which are partial aggregates.
 3. A rate becomes a number of copies: its whole part, and one more by a fixed hash of the document.
 """
 
@@ -30,9 +30,10 @@ WORDS = 40
 #: Sample documents in which a telling word occurs at least, how many times likelier it is in a domain, and
 #: the least logarithm of that ratio times the root of its documents, so that chance in a small sample does not tell.
 LEAST_ROWS, LEAST_RATIO, LEAST_GAIN = 4, 3.0, 4.0
-#: Most steps tried; the largest gap of a domain, in shares of all wanted tokens, that ends them; and the
-#: share of the last gap above which a step no longer helps, where targets are out of reach.
-STEPS, ENOUGH, SLOW = 30, 1e-4, 0.98
+#: Weight of the rates' distance from 1 beside the squared error; the slope, in shares of all tokens, that ends
+#: the steps; most steps; and the lengths that each step is tried with.
+RIDGE, FLAT, STEPS = 1e-10, 1e-5, 60
+LENGTHS = tuple(0.5**i for i in range(12))
 #: Share of all tokens that each domain is to have; domains that are not named share the rest by what they have.
 TARGETS = {"plain": 0.9, "poor": 0.08, "toxic": 0.02}
 
@@ -143,50 +144,53 @@ def goals(targets: dict[str, float], domains: Sequence[str], held: Sequence[floa
     return [s * total / (sum(shares) or 1.0) for s in shares]
 
 
-def fit_rates(members: DataFrame, wanted: Sequence[float]) -> list[list[float]]:
-    """The steps that lead ``members`` (tokens, p) from rate 1 to rates whose domain totals are nearest to ``wanted``.
+def fit_rates(members: DataFrame, wanted: Sequence[float]) -> list[float]:
+    """The shift, one number per domain, by which ``rate_of`` gives ``members`` (tokens, p) totals nearest to ``wanted``.
 
-    Minimises half the sum over domains of (total - wanted)^2 over rates >= 0 by projected gradients. In
-    the metric that weighs a document by its tokens, the gradient of a rate is p . gap; the gap is
-    scaled by the inverse of the domains' Gram matrix over documents with a positive rate, as the
-    domains differ in size by orders of magnitude. A step that does not shrink the gap is halved. Each
-    step needs a handful of sums, which Spark adds up where the rows are; a step is one number per
-    domain, so a rate is folded from the steps row by row, wherever it is wanted.
+    Minimises the sum over domains of (total - wanted)^2 over rates >= 0 and, with a tiny weight, the
+    rates' distance from 1, so that one of many solutions is meant. In the metric that weighs a
+    document by its tokens, the gradient of a rate is p . gap, and the solution is the rate that a
+    projected gradient step from 1 of length 1 / RIDGE leaves in place: max(0, 1 - p . shift) with shift
+    = gap / RIDGE. That shift is the least point of a convex function of few numbers, found by Newton
+    steps over the documents with a positive rate; the length that lowers the function most is taken,
+    so targets out of reach end at their least error too. A step takes two passes of sums, which Spark
+    adds up where the rows are.
     """
     k = len(wanted)
-    total = max(sum(wanted), 1.0)
-    steps: list[list[float]] = []
-    best, size = None, 1.0
+    shift = np.zeros(k)
+    weight = max(members.agg(F.sum("tokens")).first()[0] or 0.0, 1.0)
+    share = np.array(wanted, float) / weight
+
+    def sums(df: DataFrame, columns: list[Column]) -> np.ndarray:
+        return np.array([x or 0.0 for x in df.agg(*[F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()]) / weight
+
+    def values(shifts: list[np.ndarray]) -> np.ndarray:
+        rated = members.select("tokens", *[rate_of(F.col("p"), x).alias(f"r{i}") for i, x in enumerate(shifts)])
+        halves = sums(rated, [F.col("tokens") * F.col(f"r{i}") * F.col(f"r{i}") for i in range(len(shifts))]) / 2
+        return halves + np.array([RIDGE / 2 * x @ x + share @ x for x in shifts])
+
     for _ in range(STEPS):
-        own = members.select("tokens", "p", moved(F.lit(1.0), F.col("p"), steps).alias("rate"))
-        live = F.when(F.col("rate") > 0, F.col("tokens")).otherwise(0.0)
-        totals = [F.sum(F.col("rate") * F.col("tokens") * F.col("p")[i]).alias(f"t{i}") for i in range(k)]
-        gram = [F.sum(live * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i + 1)]
-        row = own.agg(*totals, *gram).first()
-        gap = np.array([(row[f"t{i}"] or 0.0) - wanted[i] for i in range(k)])
-        error = float(np.abs(gap).max())
-        if error <= ENOUGH * total:
-            break
-        if best is not None and error >= best[0]:
-            size /= 2
-            if size < 0.1:
-                return steps[:-1]
-            steps[-1] = [x * size for x in best[1]]
-            continue
-        if best is not None and error > SLOW * best[0]:
+        own = members.select("tokens", "p", rate_of(F.col("p"), shift).alias("rate"))
+        own = own.withColumn("live", F.when(F.col("rate") > 0, F.col("tokens")).otherwise(0.0))
+        found = sums(own, [F.col("rate") * F.col("tokens") * F.col("p")[i] for i in range(k)] + [F.col("live") * F.col("p")[i] * F.col("p")[j] for i in range(k) for j in range(i + 1)])
+        slope = RIDGE * shift - found[:k] + share
+        if np.abs(slope).max() <= FLAT:
             break
-        scale = np.array([[row[f"g{max(i, j)}_{min(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
-        move = np.linalg.solve(scale + np.eye(k) * (1e-9 * np.trace(scale) + 1e-12), gap).tolist()
-        best, size = (error, move), 1.0
-        steps.append(move)
-    return steps
+        gram = np.zeros((k, k))
+        gram[np.tril_indices(k)] = found[k:]
+        gram += np.tril(gram, -1).T
+        move = np.linalg.solve(gram + RIDGE * np.eye(k), slope)
+        tried = [shift, *(shift - length * move for length in LENGTHS)]
+        best = int(np.argmin(values(tried)))
+        if best == 0:
+            break  # as low as numbers tell
+        shift = tried[best]
+    return shift.tolist()
 
 
-def moved(rate: Column, p: Column, moves: list[list[float]]) -> Column:
-    """A rate after some steps of the projected gradient."""
-    for m in moves:
-        rate = F.greatest(F.lit(0.0), rate - _sum([p[i] * x for i, x in enumerate(m)]))
-    return rate
+def rate_of(p: Column, shift: Sequence[float]) -> Column:
+    """The rate of a document with posteriors ``p``: the projected step from rate 1."""
+    return F.greatest(F.lit(0.0), 1.0 - _sum([p[i] * float(x) for i, x in enumerate(shift)]))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
@@ -209,11 +213,11 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     members = scratch.save(judged.select(tokens(F.col(body)).alias("tokens"), F.col(p).alias("p")))
     held = members.agg(*[F.sum(F.col("tokens") * F.col("p")[i]).alias(f"h{i}") for i in range(len(domains))]).first()
     wanted = goals(targets, domains, [held[f"h{i}"] or 0.0 for i in range(len(domains))])
-    steps = fit_rates(members, wanted) if len(domains) > 1 else []
+    shift = fit_rates(members, wanted) if len(domains) > 1 else [0.0]
     names = {c: fresh(docs, c) for c in ("n_tokens", "posterior", "rate", "copies")}
     n = names["n_tokens"]
     out = judged.withColumn(n, tokens(F.col(body)).cast("long"))
-    out = out.withColumn(names["rate"], F.when(F.col(n) > 0, moved(F.lit(1.0), F.col(p), steps)).otherwise(0.0))
+    out = out.withColumn(names["rate"], F.when(F.col(n) > 0, rate_of(F.col(p), shift)).otherwise(0.0))
     rate = F.col(names["rate"])
     spare = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor(rate) + F.when(spare < rate - F.floor(rate), 1).otherwise(0)).cast("long")

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -330,6 +331,42 @@ def test_expected_tokens_meet_the_targets(spark):
     assert right > 285
 
 
+def nearest_in_cone(p, wanted):
+    """The least gap of nonnegative least squares: the wanted totals' projection on the cone of the rows."""
+    some, gap = [int(np.argmax(p @ wanted))], None
+    for _ in range(300):
+        best = None
+        for n in range(1, min(len(some), 3) + 1):
+            for own in combinations(some, n):
+                x = np.linalg.lstsq(p[list(own)].T, wanted, rcond=None)[0]
+                left = x @ p[list(own)] - wanted
+                if (x >= -1e-9).all() and (best is None or left @ left < best[0]):
+                    best = (left @ left, left, list(own))
+        _, gap, some = best
+        worst = int(np.argmin(p @ gap))
+        if worst in some or p[worst] @ gap > -1e-9 * wanted.sum():
+            break
+        some.append(worst)
+    return gap
+
+
+@pytest.mark.parametrize("most_toxic", [0.0, 0.002, 0.02, 0.2])
+def test_rates_are_those_of_nonnegative_least_squares(spark, most_toxic):
+    rng = np.random.default_rng(22)
+    n = 2000
+    sure = np.where(rng.random(n) < 0.3, 1 / (1 + np.exp(3 + rng.normal(0, 1, n))), 1 / (1 + np.exp(-3 + rng.normal(0, 1, n))))
+    toxic = most_toxic * rng.random(n)
+    p = np.stack([sure * (1 - toxic), (1 - sure) * (1 - toxic), toxic], 1)
+    weight = np.floor(np.exp(rng.normal(5, 1, n))) + 1
+    wanted = np.array([0.9, 0.08, 0.02]) * weight.sum()
+    members = spark.createDataFrame([(float(w), x.tolist()) for w, x in zip(weight, p, strict=True)], "tokens double, p array<double>")
+    shift = mixing.fit_rates(members, wanted.tolist())
+    done = members.withColumn("rate", mixing.rate_of(F.col("p"), shift)).collect()
+    gap = sum(r.rate * r.tokens * np.array(r.p) for r in done) - wanted
+    assert min(r.rate for r in done) >= 0
+    assert np.linalg.norm(gap) - np.linalg.norm(nearest_in_cone(p, wanted)) < 2e-4 * wanted.sum()
+
+
 def test_mixing_without_labels_and_without_rows(spark):
     docs, labels = mixing_tables(spark, 20)
     out = mixing.mix(docs, labels.limit(0)).filter("n_tokens > 0").collect()
