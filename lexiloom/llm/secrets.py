@@ -28,14 +28,17 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 
 #: Per character class of the entropy search: candidate runs, window, bound in bits per character.
 CLASSES = {
-    "entropy_hex": (re.compile(r"(?<![0-9A-Za-z+/_=-])[0-9A-Fa-f]{32,}(?![0-9A-Za-z+/_=-])"), 32, 3.2),
+    "entropy_hex": (re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])"), 32, 3.2),
     "entropy_base64": (re.compile(r"(?<![0-9A-Za-z+/_=-])[0-9A-Za-z+/_=-]{24,}"), 24, 3.9),
 }
-#: A candidate is suppressed when it is a UUID, when all its parts between signs are words with at most
-#: four digits behind, or all are numbers, and when it holds one of the listed words.
-UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
-SIGNS, WORD = re.compile(r"[-_/=+]+"), re.compile(r"[A-Za-z]*[0-9]{0,4}")
-ALLOWED_WORDS = ("example", "placeholder", "xxxxxx", "sha256-", "sha384-", "sha512-", "0123456789")
+#: A span is suppressed when all parts between signs that it touches are harmless: inside a UUID or a named digest,
+#: words with at most four digits behind, parts that hold a listed word; or when all are numbers.
+HARMLESS = re.compile(r"(?<![0-9a-f])[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}(?![0-9a-f])|sha(?:256|384|512)-[0-9a-z+/_=-]+", re.IGNORECASE)
+PART, WORD = re.compile(r"[^-_/=+]+"), re.compile(r"([A-Za-z]*)[0-9]{0,4}")
+ALLOWED_WORDS = ("example", "placeholder", "xxxxxx", "0123456789")
+#: Letters are a word when they are few, or change case seldom; a piece longer than the last number must also be pronounceable.
+PIECE, CONSONANTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])"), re.compile(r"[b-df-hj-np-tv-xz]{5}")
+FEW_LETTERS, LEAST_PIECE, LONG_PIECE = 8, 4.0, 20
 
 
 def windows(run: str, width: int, bound: float) -> Iterator[tuple[int, int]]:
@@ -63,9 +66,20 @@ def windows(run: str, width: int, bound: float) -> Iterator[tuple[int, int]]:
         yield begin, end
 
 
-def allowed(run: str) -> bool:
-    low, parts = run.lower(), SIGNS.split(run)
-    return any(word in low for word in ALLOWED_WORDS) or all(map(WORD.fullmatch, parts)) or "".join(parts).isdigit() or bool(UUID.fullmatch(run))
+def is_word(part: str) -> bool:
+    found = WORD.fullmatch(part)
+    if not found or len(found[1]) <= FEW_LETTERS:
+        return bool(found)
+    pieces = PIECE.findall(found[1])
+    return len(found[1]) >= LEAST_PIECE * len(pieces) and not any(len(x) > LONG_PIECE and CONSONANTS.search(x.lower()) for x in pieces)
+
+
+def allowed(text: str, run: tuple[int, int], start: int, end: int) -> bool:
+    """Whether the span of a run is known to be harmless."""
+    ranges = [m.span() for m in HARMLESS.finditer(text, max(0, run[0] - 7), run[1])]
+    parts = [m for m in PART.finditer(text, *run) if m.start() < end and m.end() > start]
+    harmless = lambda m: any(a <= m.start() and m.end() <= b for a, b in ranges) or is_word(m[0]) or any(w in m[0].lower() for w in ALLOWED_WORDS)
+    return all(map(harmless, parts)) or all(m[0].isdigit() for m in parts)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -84,8 +98,8 @@ def entropy_spans(text: str) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     for kind, (pattern, width, bound) in CLASSES.items():
         for m in pattern.finditer(text):
-            if not allowed(m[0]):
-                out += [(kind, m.start() + a, m.start() + b) for a, b in windows(m[0], width, bound)]
+            found = [(m.start() + a, m.start() + b) for a, b in windows(m[0], width, bound)]
+            out += [(kind, a, b) for a, b in found if not allowed(text, m.span(), a, b)]
     return out
 
 

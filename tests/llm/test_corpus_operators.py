@@ -548,6 +548,20 @@ def test_entropy_finds_what_has_no_pattern_and_spares_words():
     assert secrets.entropy_spans("thisisaverylongwordwithoutanynumberinit and/some/long/path/to/files2 123e4567-e89b-12d3-a456-426614174000 12345678901234567890123456789012345") == []
 
 
+def test_entropy_finds_assigned_hex_and_random_letters():
+    rng = random.Random(23)
+    pick = lambda letters, n: "".join(rng.choices(letters, k=n))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    keys = [before + pick("0123456789ABCDEF", 32) for before in ("KEY=", "a/", "hash=") for _ in range(100)]
+    letters = [pick(upper + lower, 40) for _ in range(200)] + [f"example={pick(upper + lower + '0123456789', 40)}" for _ in range(200)]
+    assert sum(bool(secrets.entropy_spans(x)) for x in keys) > 270 and sum(bool(secrets.entropy_spans(x)) for x in letters) > 390
+    assert secrets.entropy_spans("src/main/java/AbstractQueryFactoryBuilder/HttpClientRequestHandler2 id=123e4567-e89b-12d3-a456-426614174000 sha256-" + key_of_digest()) == []
+
+
+def key_of_digest():
+    return "tH7q/9ZkP2+vLx8Rb3NwYc5JmU1sEd6GtH7q9ZkP2vL="
+
+
 # pipeline -----------------------------------------------------------------------------------------
 
 
