@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import decontaminate, hard_negatives, html_text, language_id, line_dedup, mixing, near_dups, neighbours, pivot_clusters, secrets, token_counts, toxicity
+from lexiloom.llm import decontaminate, hard_negatives, html_text, language_id, line_dedup, mixing, near_dups, neighbours, pivot_clusters, secrets, suffix_tree, token_counts, toxicity
 from lexiloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,9 +58,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), shift=moved)
 
 
+def op12_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_clusters.clusters(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_neighbours, op4_near_duplicates, op5_mixing, op6_decontaminate, op7_language_id, op8_line_dedup, op9_token_counts, op10_secrets, op11_hard_negatives, op13_centroid_clusters)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_text, op2_toxicity, op3_neighbours, op4_near_duplicates, op5_mixing, op6_decontaminate, op7_language_id, op8_line_dedup, op9_token_counts, op10_secrets, op11_hard_negatives, op12_suffix_tree, op13_centroid_clusters)}
 ORACLES: dict[str, str] = {"op8_line_dedup": line_dedup.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op13_centroid_clusters": pivot_clusters.ORACLE}
