@@ -15,6 +15,8 @@ from lexiloom.session import checkpoint_dir
 
 #: Text rows taken from an Arrow batch at a time, so that Python objects stay few.
 ROWS = 128
+#: Spark's setting that removes a statement's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of a text hashed at a time, and the longest word hashed by powers.
 PIECE, LONG_WORD = 1 << 16, 4096
 
@@ -32,10 +34,16 @@ class Scratch:
         self._paths: dict[int, str] = {}
         self._next = 0
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, lean: bool = False) -> DataFrame:
+        """With ``lean``, the shuffle files of the work behind the table go as soon as it is written."""
         path = f"{self.root}/{self._next}"
         self._next += 1
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(_CLEANUP)
+        try:
+            self.spark.conf.set(_CLEANUP, "true" if lean else before)
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         out._scratch_path = path  # keeps the place with the table

@@ -6,24 +6,24 @@ retained when its next words diverge from its parent's prediction by more than t
 (a description-length test), and with it every shorter suffix. A token is predicted by the longest
 retained state that the words before it end in.
 
-Texts are cut into parts of bounded size. A part asks for the corpus counts of the distinct word runs
-that it holds; a run's count is a sum over the parts that hold it, so a frequent run is one row per
-part. Longer runs are only asked for where the shorter ones are frequent. Neither the tree nor the
-counts are ever gathered: each part gets the entries that its own texts meet.
+Texts are cut into parts of bounded size, written once. A part asks for the corpus counts of the
+distinct word runs that it holds: their keys, sorted, cut into ranges and packed. A range is one
+task's small group: it adds up the counts of all parts and answers each part in the order of its
+keys. A frequent run is one key per part there, so no range is hot. Longer runs are only asked for
+where the shorter ones are frequent. Contexts ask for their tree entries in the same way. Neither
+the tree nor the counts are ever gathered: each part gets the entries that its own texts meet.
 """
 
 from __future__ import annotations
 
-import io
 import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import Scratch, empty_text, many_word_hashes, mix, signed, slices, texts
@@ -34,132 +34,212 @@ DEPTH, LEAST_CONTEXT, LEAST_NEXT = 2, 16, 4
 COST = 0.5
 #: Added to each word's count, as the base score has it.
 ADD = 0.1
-#: Bytes of text in a part, about; a longer text is a part of its own.
-PART = 8 << 20
+#: Bytes of text in a part, about; a longer text is a part of its own. Tokens behind one range of keys, about.
+PART, RANGE = 8 << 20, 1 << 20
 
 _U = np.uint64
 #: The key of the end of a text, which no word hashes to in practice.
 END = mix(np.array([0x656E64], _U))[0]
 
-#: What a part gives in each pass: itself, run counts, statistics of contexts, contexts it holds, totals.
-SELF, RUN, STATE, HOLDS, TOTAL = range(5)
-_FIELDS = [("bucket", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("parent", pa.int64()), ("n", pa.int64()), ("d", pa.int64()), ("c", pa.int64()), ("s", pa.float64()), ("r", pa.float64()), ("cell", pa.binary())]
-_SCHEMA = "bucket long, kind int, key long, parent long, n long, d long, c long, s double, r double, cell binary"
+#: What a part gives or gets: run counts, next-word numbers of contexts, retained contexts, statistics of contexts.
+RUN, HOLD, KEEP, STATE = range(4)
 
 
-def _rows(bucket: int, kind: int, rows: int, **columns: np.ndarray | list[bytes]) -> pa.Table:
-    full = {"bucket": np.full(rows, bucket), "kind": np.full(rows, kind, np.int32)} | columns
-    return pa.table([pa.array(full[name], t) if name in full else pa.nulls(rows, t) for name, t in _FIELDS], names=[name for name, _ in _FIELDS])
+# Packed numbers --------------------------------------------------------------------------------
 
 
-def _pack(arrays: dict[str, np.ndarray]) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return zstandard.ZstdCompressor(level=1).compress(out.getbuffer())
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers of one length; sorted keys shrink by their differences, small numbers by their zero bytes."""
+    out = []
+    for x in columns:
+        x = np.ascontiguousarray(x).view(_U)
+        with np.errstate(over="ignore"):
+            x = np.diff(x, prepend=_U(0)) if len(x) else x
+        out.append(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
-def _unpack(cell: bytes) -> dict[str, np.ndarray]:
-    with np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(cell)), allow_pickle=False) as held:
-        return dict(held)
+def _unpack(blob: bytes, columns: int) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    with np.errstate(over="ignore"):
+        return [np.cumsum(np.ascontiguousarray(x.reshape(8, -1).T).view(_U).ravel(), dtype=_U).view(np.int64) for x in raw.reshape(columns, -1)]
 
 
-# Runs of words ---------------------------------------------------------------------------------
+_PACKED = [("bucket", pa.int64()), ("kind", pa.int32()), ("depth", pa.int32()), ("range", pa.int32()), ("blob", pa.binary())]
+_STATS = [("key", pa.int64()), ("parent", pa.int64()), ("n", pa.int64()), ("d", pa.int64()), ("c", pa.int64()), ("s", pa.float64()), ("r", pa.float64())]
+_GIVEN = "bucket long, kind int, depth int, range int, blob binary, key long, parent long, n long, d long, c long, s double, r double"
+_ANSWER = "bucket long, kind int, depth int, range int, blob binary, known long"
 
 
-def _joined(context: np.ndarray, word: np.ndarray, depth: int) -> np.ndarray:
-    """The keys of runs, from those of their contexts and their last words."""
-    with np.errstate(over="ignore"):
-        return mix(context * _U(0xD6E8FEB86659FD93) + word + _U(depth))
+def _table(fields: list[tuple[str, pa.DataType]], rows: int, **columns: object) -> pa.Table:
+    """A table of the fields; those not given are null."""
+    return pa.table([pa.array(columns[name], t) if name in columns else pa.nulls(rows, t) for name, t in fields], names=[name for name, _ in fields])
 
 
-def _before(x: np.ndarray, fill: int = 0) -> np.ndarray:
-    """Each place's value one place earlier."""
-    return np.concatenate([np.full(min(1, len(x)), fill, x.dtype), x[:-1]])
+def _asks(bucket: int, kind: int, depth: int, bits: int, keys: np.ndarray, *columns: np.ndarray) -> pa.Table:
+    """A row for each range of the sorted keys: the range is a key's first ``bits`` bits."""
+    of = (keys >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    ranges, first = np.unique(of, return_index=True)
+    ends = [*first.tolist(), len(keys)][1:]
+    blobs = [_pack(*[x[a:b] for x in (keys, *columns)]) for a, b in zip(first.tolist(), ends, strict=True)]
+    full = lambda x: np.full(len(ranges), x)
+    return _table(_PACKED + _STATS, len(ranges), bucket=full(bucket), kind=full(kind), depth=full(depth), range=ranges, blob=blobs)
+
+
+def _answered(rows: pa.Table, blobs: list[bytes], known: list[int] | None = None) -> pa.Table:
+    out = rows.select([name for name, _ in _PACKED[:-1]]).append_column("blob", pa.array(blobs, pa.binary()))
+    return out.append_column("known", pa.array(known if known is not None else [0] * len(blobs), pa.int64()))
+
+
+def _gathered(rows: pa.Table, columns: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The asks of all parts in a range: their columns, the row of each, and the bounds of the rows; lesser parts first."""
+    parts = [_unpack(x, columns) for x in rows.column("blob").to_pylist()]
+    bounds = np.cumsum([0, *[len(x[0]) for x in parts]])
+    every = [np.concatenate([x[i] for x in parts]) for i in range(columns)]
+    return every, np.repeat(np.arange(len(parts)), np.diff(bounds)), bounds
+
+
+def _counts(rows: pa.Table, least: int) -> pa.Table:
+    """For each ask of a range, in its order, twice the corpus count (0 below ``least``), and one more where the part leads the run."""
+    rows = rows.sort_by("bucket")
+    (keys, n), _, bounds = _gathered(rows, 2)
+    unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    total = np.bincount(inverse, n, len(unique)).astype(np.int64)
+    total[total < max(least, 1)] = 0
+    lead = np.zeros(len(keys), np.int64)
+    lead[first[total > 0]] = 1
+    answer = 2 * total[inverse] + lead
+    cuts = list(zip(bounds[:-1], bounds[1:], strict=True))
+    return _answered(rows, [_pack(answer[a:b]) for a, b in cuts], [int(lead[a:b].sum()) for a, b in cuts])
 
 
-def _look_up(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each asked key, its place among sorted ``keys``, and whether it is there."""
-    if not len(keys):
-        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return at, keys[at] == asked
+def _entries(rows: pa.Table, states: pa.Table, columns: list[str]) -> pa.Table:
+    """For each context that a range's parts hold, its entries in the tree's table; zeros where it has none."""
+    (keys,), _, bounds = _gathered(rows, 1) if rows.num_rows else (([np.empty(0, np.int64)]), None, np.zeros(1, np.int64))
+    own = states.column("key").to_numpy()
+    order = np.argsort(own)
+    at = np.minimum(np.searchsorted(own[order], keys), max(len(own) - 1, 0))
+    there = own[order][at] == keys if len(own) else np.zeros(len(keys), bool)
+    found = [np.where(there, states.column(c).to_numpy()[order][at], 0) if len(own) else np.zeros(len(keys), np.int64) for c in columns]
+    return _answered(rows, [_pack(*[x[a:b] for x in found]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+
+
+# Parts -----------------------------------------------------------------------------------------
+
+
+def _before(x: np.ndarray) -> np.ndarray:
+    """Each place's value one place earlier."""
+    return np.concatenate([x[-1:], x[:-1]])
 
 
 class Part:
-    """The texts of a part, and what the corpus has told about the runs at each of their tokens.
+    """The tokens of a part's texts, and what the corpus has told about the runs at each of them.
 
-    ``n0`` holds the training count of each token, ``nD`` that of the run of D words and the token
-    (0 where it is rare or reaches over the text's beginning), ``dD`` and ``cD`` the number of
-    frequent next words of the context of D words and their sum.
+    Places are tokens; the context of ``depth`` words is that before the token. Where less words are
+    before it, the context reaches over the text's beginning and counts 0.
     """
 
-    def __init__(self, arrays: dict[str, np.ndarray]):
-        self.arrays = arrays
-        self.words = arrays["vocabulary"][arrays["ids"]]
-        ends = arrays["ends"]
-        starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
-        self.place = np.arange(len(self.words)) - np.repeat(starts, ends - starts)
-        self.learned = np.repeat(arrays["learned"], ends - starts)
-        self._runs = {0: self.words}
-
-    def count(self, depth: int) -> np.ndarray:
-        return self.arrays["totals"][self.arrays["ids"]] if depth == 0 else self.arrays[f"n{depth}"]
+    def __init__(self, row: pa.Table, answers: pa.Table | None, limits: tuple[int, int]):
+        get = lambda name: row.column(name)[0].as_py()
+        self.bucket, self.limits = get("bucket"), limits
+        self.vocabulary = _unpack(get("vocabulary"), 1)[0].view(_U)
+        self.ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(get("ids")), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
+        self.names, self.named, self.learns, lengths = _unpack(get("texts"), 4)
+        self.starts = np.cumsum(lengths) - lengths
+        self.place = np.arange(len(self.ids)) - np.repeat(self.starts, lengths)
+        self.learned = np.repeat(self.learns, lengths) == 1
+        self._runs = {0: self.vocabulary[self.ids]}
+        self._told: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
+        if answers is not None:
+            for kind, depth, of, blob in zip(*[answers.column(c).to_pylist() for c in ("kind", "depth", "range", "blob")], strict=True):
+                self._told.setdefault((kind, depth), []).append((of, blob))
+        self.counts, self.leads, self.entries = {}, {}, {}
+        for depth in range(max((d for k, d in self._told if k == RUN), default=-1) + 1):
+            self._learn(depth)
+
+    def _answer(self, kind: int, depth: int, columns: int, inverse: np.ndarray) -> list[np.ndarray]:
+        """The answers to what was asked in order, at the places that asked."""
+        parts = [_unpack(blob, columns) for _, blob in sorted(self._told.get((kind, depth), []))]
+        return [np.concatenate([x[i] for x in parts])[inverse] if parts else np.zeros(len(inverse), np.int64) for i in range(columns)]
+
+    def _learn(self, depth: int) -> None:
+        places, _, inverse = self.asked(depth)
+        (answer,) = self._answer(RUN, depth, 1, inverse)
+        count, lead = np.zeros(len(self.ids), np.int64), np.zeros(len(self.ids), bool)
+        count[places], lead[places] = answer >> 1, answer & 1 == 1
+        self.counts[depth], self.leads[depth] = count, lead
+        if depth == 1:  # asked before the words' counts were known
+            rare = self.context_count(1) < self.limits[0]
+            count[rare], lead[rare] = 0, False
 
     def run(self, depth: int) -> np.ndarray:
+        """The key of ``depth`` words and the token behind them."""
         if depth not in self._runs:
-            self._runs[depth] = _joined(self.context(depth), self.words, depth)
+            with np.errstate(over="ignore"):
+                self._runs[depth] = mix(self.context(depth) * _U(0xD6E8FEB86659FD93) + self._runs[0] + _U(depth))
         return self._runs[depth]
 
     def context(self, depth: int) -> np.ndarray:
-        """The key of the ``depth`` words before each token."""
         return _before(self.run(depth - 1))
 
     def context_count(self, depth: int) -> np.ndarray:
-        """Training count of the ``depth`` words before each token; 0 over a text's beginning."""
-        return np.where(self.place >= depth, _before(self.count(depth - 1)), 0)
-
-    def asked(self, depth: int, context: int, following: int) -> np.ndarray:
-        """Places whose run of ``depth`` words and a token may be frequent, by its shorter runs."""
-        return np.flatnonzero((self.context_count(depth) >= context) & (self.count(depth - 1) >= following))
-
-    def predictions(self, depth: int, size: tuple[int, int]) -> np.ndarray:
-        """The smoothed probability of each token behind the ``depth`` words before it, where these are frequent."""
-        q = (self.count(0) + ADD) / (size[0] + ADD * (size[1] + 1))
+        """Training count of the ``depth`` words before each token."""
+        return np.where(self.place >= depth, _before(self.counts[depth - 1]), 0)
+
+    def asked(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places whose run of ``depth`` words and a token may be frequent, its distinct keys, and the key of each place."""
+        if depth == 0:
+            return np.arange(len(self.ids)), self.vocabulary, self.ids
+        places = np.flatnonzero(self.place >= 1 if depth == 1 else (self.context_count(depth) >= self.limits[0]) & (self.counts[depth - 1] >= self.limits[1]))
+        return places, *np.unique(self.run(depth)[places], return_inverse=True)
+
+    def held(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places behind a frequent context of ``depth`` words, the distinct contexts, and that of each place."""
+        places = np.flatnonzero(self.context_count(depth) >= self.limits[0])
+        return places, *np.unique(self.context(depth)[places], return_inverse=True)
+
+    def told(self, kind: int, depth: int, columns: int) -> list[np.ndarray]:
+        """What the tree says about each place's context; zeros where nothing."""
+        places, _, inverse = self.held(depth)
+        out = [np.zeros(len(self.ids), np.int64) for _ in range(columns)]
+        for x, y in zip(out, self._answer(kind, depth, columns, inverse), strict=True):
+            x[places] = y
+        return out
+
+    def predictions(self, size: tuple[int, int], depth: int) -> list[np.ndarray]:
+        """For contexts of 0, 1 .. ``depth`` words, the smoothed probability of each token behind its own."""
+        out = [(self.counts[0] + ADD) / (size[0] + ADD * (size[1] + 1))]
         for d in range(1, depth + 1):
-            c, kinds, kept = self.context_count(d), self.arrays[f"d{d}"], self.arrays[f"c{d}"]
-            behind = (self.count(d) + (kinds + c - kept) * q) / np.maximum(c + kinds, 1)
-            q = np.where(kinds > 0, behind, q)
-        return q
+            kinds, kept = self.told(HOLD, d, 2)
+            c, q = self.context_count(d), out[-1]
+            out.append(np.where(kinds > 0, (self.counts[d] + (kinds + c - kept) * q) / np.maximum(c + kinds, 1), q))
+        return out
 
 
 # Passes ----------------------------------------------------------------------------------------
 
-
-def _first(part: Part, bucket: int) -> pa.Table:
-    a = part.arrays
-    n = np.bincount(a["ids"][part.learned], minlength=len(a["vocabulary"]))
-    return _rows(bucket, RUN, len(n), key=signed(a["vocabulary"]), n=n)
+_PART = "bucket long, tokens long, learned long, vocabulary binary, ids binary, texts binary"
 
 
 def _cut(part: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Tokens of the texts of a task, in parts of about ``part`` bytes, and each part's word counts."""
+    """The texts of a task as tokens, in parts of about ``part`` bytes."""
 
     def give(bucket: int, rows: list[pa.RecordBatch], hashed: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        lengths = np.concatenate([np.diff(bounds) for _, bounds in hashed])
-        ends = np.cumsum(lengths + 1)
-        tokens = np.full(int(ends[-1]), END, _U)
-        inside = np.ones(len(tokens), bool)
+        lengths = np.concatenate([np.diff(bounds) for _, bounds in hashed]) + 1
+        ends = np.cumsum(lengths)
+        tokens, inside = np.full(int(ends[-1]), END, _U), np.ones(int(ends[-1]), bool)
         inside[ends - 1] = False
         tokens[inside] = np.concatenate([h for h, _ in hashed])
         vocabulary, ids = np.unique(tokens, return_inverse=True)
+        planes = np.ascontiguousarray(ids.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes()
         table = pa.Table.from_batches(rows)
-        names = table.column("doc_id")
-        arrays = {
-            "doc_id": names.fill_null(0).to_numpy(), "named": names.is_valid().to_numpy(), "learned": table.column("learned").to_numpy(),
-            "ends": ends, "ids": ids.astype(np.int32), "vocabulary": vocabulary,
+        names, learned = table.column("doc_id"), table.column("learned").to_numpy().astype(np.int64)
+        out = {
+            "bucket": [bucket], "tokens": [len(tokens)], "learned": [int(lengths[learned == 1].sum())], "vocabulary": [_pack(vocabulary)],
+            "ids": [zstandard.ZstdCompressor(level=3).compress(planes)], "texts": [_pack(names.fill_null(0).to_numpy(), names.is_valid().to_numpy().astype(np.int64), learned, lengths)],
         }
-        for out in (_first(Part(arrays), bucket), _rows(bucket, SELF, 1, cell=[_pack(arrays)])):
-            yield from out.to_batches()
+        kinds = [pa.int64()] * 3 + [pa.binary()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, size, rows, hashed = TaskContext.get().partitionId() << 32, 0, [], []
@@ -177,88 +257,56 @@ def _cut(part: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
     return run
 
 
-def _opened(part: pa.Table) -> tuple[int, Part]:
-    return part.column("bucket")[0].as_py(), Part(_unpack(part.column("cell")[0].as_py()))
-
-
-def _asks(part: Part, bucket: int, depth: int, limits: tuple[int, int]) -> pa.Table:
-    """The distinct runs of a part that may be frequent, with how often its learned texts hold each."""
-    at = part.asked(depth, *limits)
-    keys, inverse = np.unique(part.run(depth)[at], return_inverse=True)
-    n = np.bincount(inverse[part.learned[at]], minlength=len(keys))
-    return _rows(bucket, RUN, len(keys), key=signed(keys), n=n)
-
-
-def _sorted(answers: pa.Table, kind: int, *columns: str) -> list[np.ndarray]:
-    own = answers.filter(pc.equal(answers.column("kind"), kind))
-    keys = own.column("key").to_numpy().view(_U)
-    order = np.argsort(keys)
-    return [keys[order], *[own.column(c).to_numpy()[order] for c in columns]]
-
-
-def _learn_states(part: Part, answers: pa.Table, depth: int) -> None:
-    """Notes the next-word numbers of the contexts of ``depth`` words."""
-    keys, d, c = _sorted(answers, HOLDS, "d", "c")
-    at, there = _look_up(keys, part.context(depth))
-    there &= part.place >= depth
-    for name, values in (("d", d), ("c", c)):
-        part.arrays[f"{name}{depth}"] = np.where(there, values[at], 0) if len(keys) else np.zeros(len(at), np.int64)
-
-
-def _words(part: pa.Table, answers: pa.Table, limits: tuple[int, int]) -> pa.Table:
-    """Notes the words' counts, then asks for runs of two words."""
-    bucket, own = _opened(part)
-    keys, totals, lead = _sorted(answers, RUN, "total", "lead")
-    a = own.arrays
-    a["totals"] = totals[_look_up(keys, a["vocabulary"])[0]]
-    counted = _rows(bucket, TOTAL, 1, n=np.array([int(own.learned.sum())]), d=np.array([int((lead & (totals > 0)).sum())]))
-    return pa.concat_tables([counted, _asks(own, bucket, 1, limits), _rows(bucket, SELF, 1, cell=[_pack(a)])])
-
-
-def _runs(part: pa.Table, answers: pa.Table, depth: int, last: bool, limits: tuple[int, int], size: tuple[int, int]) -> pa.Table:
-    """Notes the counts of frequent runs; gives statistics of their contexts and asks for longer runs."""
-    bucket, own = _opened(part)
-    if depth > 1:
-        _learn_states(own, answers, depth - 1)
-    keys, totals, lead = _sorted(answers, RUN, "total", "lead")
-    asked = own.asked(depth, *limits)
-    at, there = _look_up(keys, own.run(depth)[asked])
-    n = np.zeros(len(own.words), np.int64)
-    n[asked[there]] = totals[at[there]]
-    own.arrays[f"n{depth}"] = n
-    # the runs that this part answers for, each at its first place
-    places = asked[there][lead[at[there]]]
-    places = places[np.unique(own.run(depth)[places], return_index=True)[1]]
-    q, c = own.predictions(depth - 1, size)[places], own.context_count(depth)[places]
-    contexts, first, inverse = np.unique(own.context(depth)[places], return_index=True, return_inverse=True)
+def _run_asks(part: Part, depth: int, bits: int) -> pa.Table:
+    """The runs of a part that may be frequent, with how often its learned texts hold each."""
+    places, keys, inverse = part.asked(depth)
+    n = np.bincount(inverse[part.learned[places]], minlength=len(keys))
+    return _asks(part.bucket, RUN, depth, bits, keys, n)
+
+
+def _first_asks(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What each part asks first: its words, and its runs of two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            part = Part(pa.Table.from_batches([batch]), None, (1, 1))
+            for depth in (0, 1):
+                yield from _run_asks(part, depth, bits).select([name for name, _ in _PACKED]).to_batches()
+
+    return run
+
+
+def _statistics(row: pa.Table, answers: pa.Table, depth: int, last: bool, bits: int, limits: tuple[int, int], size: tuple[int, int]) -> pa.Table:
+    """Statistics of contexts of ``depth`` words from the runs that a part leads, the contexts that it holds, and asks for longer runs."""
+    part = Part(row, answers, limits)
+    places = np.flatnonzero(part.leads[depth])
+    places = places[np.unique(part.run(depth)[places], return_index=True)[1]]
+    n, c, q = part.counts[depth][places], part.context_count(depth)[places], part.predictions(size, depth - 1)[-1][places]
+    contexts, first, inverse = np.unique(part.context(depth)[places], return_index=True, return_inverse=True)
     total = lambda x: np.bincount(inverse, x, len(contexts))
-    parent = signed(own.context(depth - 1)[places][first]) if depth > 1 else np.zeros(len(contexts), np.int64)
-    stats = _rows(
-        bucket, STATE, len(contexts), key=signed(contexts), parent=parent, n=c[first], d=np.bincount(inverse, minlength=len(contexts)),
-        c=total(n[places]).astype(np.int64), s=total(n[places] * np.log(n[places] / c / q)), r=total(q),
+    parent = signed(part.context(depth - 1)[places][first]) if depth > 1 else np.zeros(len(contexts), np.int64)
+    full = lambda x: np.full(len(contexts), x)
+    stats = _table(
+        _PACKED + _STATS, len(contexts), bucket=full(part.bucket), kind=full(STATE), depth=full(depth), key=signed(contexts), parent=parent, n=c[first],
+        d=np.bincount(inverse, minlength=len(contexts)), c=total(n).astype(np.int64), s=total(n * np.log(n / c / q)), r=total(q),
     )
-    held = np.unique(own.context(depth)[own.context_count(depth) >= limits[0]])
-    parts = [stats, _rows(bucket, HOLDS, len(held), key=signed(held)), _rows(bucket, SELF, 1, cell=[_pack(own.arrays)])]
-    return pa.concat_tables(parts if last else [*parts, _asks(own, bucket, depth + 1, limits)])
+    out = [stats, _asks(part.bucket, HOLD, depth, bits, part.held(depth)[1])]
+    return pa.concat_tables(out if last else [*out, _run_asks(part, depth + 1, bits)])
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(part: pa.Table, answers: pa.Table, depth: int, size: tuple[int, int]) -> pa.Table:
-    _, own = _opened(part)
-    _learn_states(own, answers, depth)
-    a = own.arrays
-    base = best = own.predictions(0, size)
+def _score(row: pa.Table, answers: pa.Table, depth: int, limits: tuple[int, int], size: tuple[int, int]) -> pa.Table:
+    part = Part(row, answers, limits)
+    chances = part.predictions(size, depth)
+    best = chances[0]
     for d in range(1, depth + 1):
-        keys = _sorted(answers, STATE + 10 * d)[0]
-        retained = _look_up(keys, own.context(d))[1] & (own.place >= d)
-        best = np.where(retained, own.predictions(d, size), best)
-    starts = np.concatenate([np.zeros(1, np.int64), a["ends"][:-1]])
-    each = lambda x: np.add.reduceat(x, starts)
+        best = np.where(part.told(KEEP, d, 1)[0] > 0, chances[d], best)
+    each = lambda x: np.add.reduceat(x, part.starts)
     columns = [
-        pa.array(a["doc_id"], mask=~a["named"]), pa.array(~a["learned"]), pa.array(a["ends"] - starts), pa.array(each((own.count(0) > 0).astype(np.int64))),
-        pa.array(np.full(len(starts), size[0])), pa.array(each(np.log10(base))), pa.array(each(np.log10(best))),
+        pa.array(part.names, mask=part.named == 0), pa.array(part.learns == 0), pa.array(each(np.ones(len(best), np.int64))), pa.array(each((part.counts[0] > 0).astype(np.int64))),
+        pa.array(np.full(len(part.starts), size[0])), pa.array(each(np.log10(chances[0]))), pa.array(each(np.log10(best))),
     ]
     return pa.table(columns, names=[x.split()[0] for x in _SCORES.split(", ")])
 
@@ -266,14 +314,6 @@ def _score(part: pa.Table, answers: pa.Table, depth: int, size: tuple[int, int])
 # The operator ----------------------------------------------------------------------------------
 
 
-def _totals(given: DataFrame, least: int) -> DataFrame:
-    """(bucket, key, total, lead) of the runs that the corpus holds at least ``least`` times; one part leads each."""
-    runs = Window.partitionBy("key")
-    asked = given.filter(F.col("kind") == RUN).select("bucket", "key", "n")
-    found = asked.select("bucket", "key", F.sum("n").over(runs).alias("total"), (F.min("bucket").over(runs) == F.col("bucket")).alias("lead"))
-    return found.filter(F.col("total") >= least)
-
-
 def _states(given: DataFrame, cost: float) -> DataFrame:
     """(key, parent, d, c, own): next-word numbers of each context, and whether its divergence pays."""
     summed = given.filter(F.col("kind") == STATE).groupBy("key").agg(F.first("parent").alias("parent"), F.max("n").alias("n"), F.sum("d").alias("d"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.sum("r").alias("r"))
@@ -282,16 +322,7 @@ def _states(given: DataFrame, cost: float) -> DataFrame:
     return summed.select("key", "parent", "d", "c", (F.col("s") + beyond >= cost * (F.col("d") + 1) * F.log("n")).alias("own"))
 
 
-def _answers(*tables: DataFrame) -> DataFrame:
-    columns = {"bucket": "long", "kind": "int", "key": "long", "total": "long", "lead": "boolean", "d": "long", "c": "long"}
-    out = None
-    for t in tables:
-        t = t.select(*[F.col(c).cast(k).alias(c) if c in t.columns else F.lit(None).cast(k).alias(c) for c, k in columns.items()])
-        out = t if out is None else out.unionByName(t)
-    return out
-
-
-def score(docs: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTEXT, least_next: int = LEAST_NEXT, cost: float = COST, part: int = PART) -> DataFrame:
+def score(docs: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTEXT, least_next: int = LEAST_NEXT, cost: float = COST, part: int = PART, ranged: int = RANGE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs`` (doc_id, text).
 
     Learns from rows whose crc32 of the id as text leaves a remainder other than 0 by 10; the others
@@ -307,34 +338,43 @@ def score(docs: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTEX
     scratch, limits = Scratch(docs.sparkSession, "suffix-tree"), (least_context, least_next)
     name = F.col("doc_id").cast("long")
     plain = docs.select(name.alias("doc_id"), empty_text().alias("text"), F.coalesce(F.crc32(name.cast("string")) % 10 != 0, F.lit(False)).alias("learned"))
+    parts = scratch.save(plain.mapInArrow(_cut(part), _PART))
+    found = parts.agg(F.sum("tokens").alias("tokens"), F.sum("learned").alias("learned")).first()
+    bits = max(0, math.ceil(math.log2(max(1, found["tokens"] or 0) / ranged)))
+    asks = ", ".join(_GIVEN.split(", ")[:5])
+
+    def totals(given: DataFrame) -> DataFrame:
+        runs = given.filter(F.col("kind") == RUN).groupBy("depth", "range").applyInArrow(lambda rows: _counts(rows, 1 if rows.column("depth")[0].as_py() == 0 else least_next), _ANSWER)
+        return scratch.save(runs, lean=True)
+
+    def entries(given: DataFrame, states: DataFrame, kind: int, columns: list[str]) -> DataFrame:
+        of = F.when(F.lit(bits) > 0, F.shiftrightunsigned("key", 64 - bits)).otherwise(0).cast("int") if bits else F.lit(0)
+        held = given.filter(F.col("kind") == HOLD).select("bucket", F.lit(kind).alias("kind"), "depth", "range", "blob")
+        table = states.select("key", *columns, of.alias("range"))
+        return scratch.save(held.groupBy("range").cogroup(table.groupBy("range")).applyInArrow(lambda a, b: _entries(a, b, columns), _ANSWER), lean=True)
+
+    told = totals(parts.mapInArrow(_first_asks(bits), asks))
+    size = (found["learned"] or 0, told.filter("depth = 0").agg(F.sum("known")).first()[0] or 0)
+
+    def answered(run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+        return parts.groupBy("bucket").cogroup(told.drop("known").groupBy("bucket")).applyInArrow(run, schema)
 
-    def together(given: DataFrame, answers: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str = _SCHEMA) -> DataFrame:
-        cells = given.filter(F.col("kind") == SELF).select("bucket", "cell")
-        return cells.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, schema)
-
-    before = scratch.save(plain.mapInArrow(_cut(part), _SCHEMA))
-    runs = _totals(before, 0).withColumn("kind", F.lit(RUN))
-    given = scratch.save(together(before, _answers(runs), lambda p, a: _words(p, a, limits)))
-    scratch.drop(before)
-    counts = given.filter(F.col("kind") == TOTAL).agg(F.sum("n").alias("n"), F.sum("d").alias("d")).first()
-    size = (counts["n"] or 0, counts["d"] or 0)
-    states, holds, told = [], [], []
+    given, states = {}, {}
     for d in range(1, depth + 1):
-        runs = _totals(given, least_next).withColumn("kind", F.lit(RUN))
-        answers = _answers(runs, *told)
-        given = scratch.save(together(given, answers, lambda p, a: _runs(p, a, d, d == depth, limits, size)))  # noqa: B023  runs before the next round
-        states.append(scratch.save(_states(given, cost)))
-        holds.append(given.filter(F.col("kind") == HOLDS).select("bucket", "key"))
-        told = [holds[-1].join(states[-1].select("key", "d", "c"), "key").withColumn("kind", F.lit(HOLDS))]
+        given[d] = scratch.save(answered(lambda p, a: _statistics(p, a, d, d == depth, bits, limits, size), _GIVEN), lean=True)  # noqa: B023  runs before the next round
+        states[d] = scratch.save(_states(given[d], cost), lean=True)
+        told = told.unionByName(entries(given[d], states[d], HOLD, ["d", "c"]))
+        if d < depth:
+            told = told.unionByName(totals(given[d]))
     # a retained context retains its suffixes
     longer: DataFrame | None = None
     for d in range(depth, 0, -1):
-        kept = states[d - 1].filter("own").select("key", "parent")
+        kept = states[d].filter("own").select("key", "parent")
         if longer is not None:
-            kept = states[d - 1].select("key", "parent").join(longer.select(F.col("parent").alias("key")).distinct(), "key", "left_semi").unionByName(kept).distinct()
-        longer = kept
-        told.append(holds[d - 1].join(kept.select("key"), "key", "left_semi").withColumn("kind", F.lit(STATE + 10 * d)))
-    return together(given, _answers(*told), lambda p, a: _score(p, a, depth, size), _SCORES)
+            kept = states[d].select("key", "parent").join(longer.select(F.col("parent").alias("key")).distinct(), "key", "left_semi").unionByName(kept).distinct()
+        longer = scratch.save(kept.withColumn("one", F.lit(1).cast("long")))
+        told = told.unionByName(entries(given[d], longer, KEEP, ["one"]))
+    return answered(lambda p, a: _score(p, a, depth, limits, size), _SCORES)
 
 
 def nats_per_token(scored: DataFrame) -> DataFrame:

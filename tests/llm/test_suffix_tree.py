@@ -112,7 +112,7 @@ def test_scores_equal_the_plain_model(spark):
 
 
 def test_longer_contexts_and_many_parts(spark):
-    close(spark, corpus(2), part=300, parts=5, depth=3, least_context=3, least_next=1, cost=0.2)
+    close(spark, corpus(2), part=300, parts=5, depth=3, least_context=3, least_next=1, cost=0.2, ranged=64)
 
 
 def test_tree_predicts_held_out_texts_better(spark):
