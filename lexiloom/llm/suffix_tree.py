@@ -48,21 +48,21 @@ RUN, HOLD, KEEP, STATE = range(4)
 # Packed numbers --------------------------------------------------------------------------------
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of 64-bit numbers of one length; sorted keys shrink by their differences, small numbers by their zero bytes."""
-    out = []
-    for x in columns:
-        x = np.ascontiguousarray(x).view(_U)
-        with np.errstate(over="ignore"):
-            x = np.diff(x, prepend=_U(0)) if len(x) else x
-        out.append(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
-
-
-def _unpack(blob: bytes, columns: int) -> list[np.ndarray]:
+def _pack(*columns: np.ndarray, rising: bool = False) -> bytes:
+    """Columns of 64-bit numbers of one length, byte by byte; a first column of sorted keys as differences."""
+    columns = [np.ascontiguousarray(x).view(_U) for x in columns]
+    if rising and len(columns[0]):
+        columns[0] = np.diff(columns[0], prepend=_U(0))
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes() for x in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def _unpack(blob: bytes, columns: int, rising: bool = False) -> list[np.ndarray]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    with np.errstate(over="ignore"):
-        return [np.cumsum(np.ascontiguousarray(x.reshape(8, -1).T).view(_U).ravel(), dtype=_U).view(np.int64) for x in raw.reshape(columns, -1)]
+    out = [np.ascontiguousarray(x.reshape(8, -1).T).view(_U).ravel() for x in raw.reshape(columns, -1)]
+    if rising:
+        out[0] = np.cumsum(out[0], dtype=_U)
+    return [x.view(np.int64) for x in out]
 
 
 _PACKED = [("bucket", pa.int64()), ("kind", pa.int32()), ("depth", pa.int32()), ("range", pa.int32()), ("blob", pa.binary())]
@@ -81,7 +81,7 @@ def _asks(bucket: int, kind: int, depth: int, bits: int, keys: np.ndarray, *colu
     of = (keys >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     ranges, first = np.unique(of, return_index=True)
     ends = [*first.tolist(), len(keys)][1:]
-    blobs = [_pack(*[x[a:b] for x in (keys, *columns)]) for a, b in zip(first.tolist(), ends, strict=True)]
+    blobs = [_pack(*[x[a:b] for x in (keys, *columns)], rising=True) for a, b in zip(first.tolist(), ends, strict=True)]
     full = lambda x: np.full(len(ranges), x)
     return _table(_PACKED + _STATS, len(ranges), bucket=full(bucket), kind=full(kind), depth=full(depth), range=ranges, blob=blobs)
 
@@ -93,7 +93,7 @@ def _answered(rows: pa.Table, blobs: list[bytes], known: list[int] | None = None
 
 def _gathered(rows: pa.Table, columns: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """The asks of all parts in a range: their columns, the row of each, and the bounds of the rows; lesser parts first."""
-    parts = [_unpack(x, columns) for x in rows.column("blob").to_pylist()]
+    parts = [_unpack(x, columns, rising=True) for x in rows.column("blob").to_pylist()]
     bounds = np.cumsum([0, *[len(x[0]) for x in parts]])
     every = [np.concatenate([x[i] for x in parts]) for i in range(columns)]
     return every, np.repeat(np.arange(len(parts)), np.diff(bounds)), bounds
@@ -139,10 +139,10 @@ class Part:
     before it, the context reaches over the text's beginning and counts 0.
     """
 
-    def __init__(self, row: pa.Table, answers: pa.Table | None, limits: tuple[int, int]):
+    def __init__(self, row: pa.Table, answers: pa.Table | None, limits: tuple[int, int], depth: int = -1):
         get = lambda name: row.column(name)[0].as_py()
         self.bucket, self.limits = get("bucket"), limits
-        self.vocabulary = _unpack(get("vocabulary"), 1)[0].view(_U)
+        self.vocabulary = _unpack(get("vocabulary"), 1, rising=True)[0].view(_U)
         self.ids = np.frombuffer(zstandard.ZstdDecompressor().decompress(get("ids")), np.uint8).reshape(4, -1).T.copy().view(np.int32).ravel()
         self.names, self.named, self.learns, lengths = _unpack(get("texts"), 4)
         self.starts = np.cumsum(lengths) - lengths
@@ -154,8 +154,8 @@ class Part:
             for kind, depth, of, blob in zip(*[answers.column(c).to_pylist() for c in ("kind", "depth", "range", "blob")], strict=True):
                 self._told.setdefault((kind, depth), []).append((of, blob))
         self.counts, self.leads, self.entries = {}, {}, {}
-        for depth in range(max((d for k, d in self._told if k == RUN), default=-1) + 1):
-            self._learn(depth)
+        for d in range(depth + 1):
+            self._learn(d)
 
     def _answer(self, kind: int, depth: int, columns: int, inverse: np.ndarray) -> list[np.ndarray]:
         """The answers to what was asked in order, at the places that asked."""
@@ -235,7 +235,7 @@ def _cut(part: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
         table = pa.Table.from_batches(rows)
         names, learned = table.column("doc_id"), table.column("learned").to_numpy().astype(np.int64)
         out = {
-            "bucket": [bucket], "tokens": [len(tokens)], "learned": [int(lengths[learned == 1].sum())], "vocabulary": [_pack(vocabulary)],
+            "bucket": [bucket], "tokens": [len(tokens)], "learned": [int(lengths[learned == 1].sum())], "vocabulary": [_pack(vocabulary, rising=True)],
             "ids": [zstandard.ZstdCompressor(level=3).compress(planes)], "texts": [_pack(names.fill_null(0).to_numpy(), names.is_valid().to_numpy().astype(np.int64), learned, lengths)],
         }
         kinds = [pa.int64()] * 3 + [pa.binary()] * 3
@@ -278,7 +278,7 @@ def _first_asks(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 def _statistics(row: pa.Table, answers: pa.Table, depth: int, last: bool, bits: int, limits: tuple[int, int], size: tuple[int, int]) -> pa.Table:
     """Statistics of contexts of ``depth`` words from the runs that a part leads, the contexts that it holds, and asks for longer runs."""
-    part = Part(row, answers, limits)
+    part = Part(row, answers, limits, depth)
     places = np.flatnonzero(part.leads[depth])
     places = places[np.unique(part.run(depth)[places], return_index=True)[1]]
     n, c, q = part.counts[depth][places], part.context_count(depth)[places], part.predictions(size, depth - 1)[-1][places]
@@ -298,7 +298,7 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 
 def _score(row: pa.Table, answers: pa.Table, depth: int, limits: tuple[int, int], size: tuple[int, int]) -> pa.Table:
-    part = Part(row, answers, limits)
+    part = Part(row, answers, limits, depth)
     chances = part.predictions(size, depth)
     best = chances[0]
     for d in range(1, depth + 1):
@@ -374,6 +374,7 @@ def score(docs: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTEX
             kept = states[d].select("key", "parent").join(longer.select(F.col("parent").alias("key")).distinct(), "key", "left_semi").unionByName(kept).distinct()
         longer = scratch.save(kept.withColumn("one", F.lit(1).cast("long")))
         told = told.unionByName(entries(given[d], longer, KEEP, ["one"]))
+    scratch.drop(*given.values(), *states.values())  # what is told holds all that the scores need
     return answered(lambda p, a: _score(p, a, depth, limits, size), _SCORES)
 
 
