@@ -151,8 +151,8 @@ class Part:
         self._runs = {0: self.vocabulary[self.ids]}
         self._told: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
         if answers is not None:
-            for kind, depth, of, blob in zip(*[answers.column(c).to_pylist() for c in ("kind", "depth", "range", "blob")], strict=True):
-                self._told.setdefault((kind, depth), []).append((of, blob))
+            for kind, d, of, blob in zip(*[answers.column(c).to_pylist() for c in ("kind", "depth", "range", "blob")], strict=True):
+                self._told.setdefault((kind, d), []).append((of, blob))
         self.counts, self.leads, self.entries = {}, {}, {}
         for d in range(depth + 1):
             self._learn(d)
