@@ -2,7 +2,7 @@
 
 A file of a large project is never one value: it is a table of parts in source order, written
 with a range partitioning so that the part files follow each other. Reading works on numbered
-lines; the block a line belongs to comes from a running count of end markers.
+lines and the markers of known blocks, of which those are taken that rise in the expected order.
 """
 
 from __future__ import annotations
@@ -131,29 +131,99 @@ def path_collisions(files: DataFrame, path: str = "path") -> DataFrame:
 # --- Reading review files back --------------------------------------------------------------
 
 
-def _regions(lines: DataFrame, ids: DataFrame, span: int) -> DataFrame:
-    """Lines with ``ordinal``: 1 + the number of end markers before them, and ``end_id``.
+def _neighbours(rows: DataFrame, span: int) -> DataFrame:
+    """Adds ``lo`` and ``hi``: the lines of the nearest rows before and behind, in the expected order, that have a ``line_no``."""
+    held = F.col("line_no").isNotNull()
+    # a carried value reads its rows three times, so each is written before the next
+    before = settle(scale.carry_last(settle(rows), ["project_id"], "ordinal", F.col("line_no"), "lo", held, span=span))
+    back = before.withColumn("_back", -F.col("ordinal"))
+    return scale.carry_last(back, ["project_id"], "_back", F.col("line_no"), "hi", held, span=span).drop("_back")
 
-    Only markers of the project's own blocks (``ids``: project_id, block_id) end a region; a line that
-    looks like one but names no block is text.
+
+def _rising(rows: DataFrame, span: int) -> DataFrame:
+    """Rows (project_id, ordinal, line_no) whose lines rise with the expected order.
+
+    A row that stands out of the order of its two neighbours, which agree without it, is left out
+    first, so that one moved or quoted marker costs no other; then what is behind a later line goes.
+    """
+    near = _neighbours(rows, span)
+    lo, hi, at = F.coalesce("lo", F.lit(0)), F.coalesce("hi", F.lit(2**62)), F.col("line_no")
+    steady = near.filter(~(((at < lo) | (at > hi)) & (lo < hi))).select("project_id", "ordinal", "line_no")
+    topped = scale.running_max(settle(steady), ["project_id"], "ordinal", at, "_top", span)
+    return topped.filter((at > F.col("_top")) | F.col("_top").isNull()).drop("_top")
+
+
+def _anchored(lines: DataFrame, want: DataFrame, placed: Column, skip: Column, span: int) -> DataFrame:
+    """Where each expected block opens and ends (null where it does not), and what opens next.
+
+    ``want``: project_id, ordinal, block_id and what ``placed`` and ``skip`` use. A line is an opening
+    or an end of the block that it names. Openings that stand where they should (``placed``, over the
+    lines ``before`` and ``after`` them) and occur once fix the order; a block without such a one
+    opens at its best marker between its neighbours. A block ends at its own first end marker behind
+    its ``skip`` lines, and before the next opening. All other markers are text.
     """
-    named = lines.filter(F.col("line").rlike(K.END_MARKER)).select("project_id", "line_no", F.regexp_extract("line", K.END_MARKER, 1).alias("end_id"))
-    ends = named.join(ids.withColumnRenamed("block_id", "end_id").distinct(), ["project_id", "end_id"], "left_semi")
-    marked = lines.join(ends, ["project_id", "line_no"], "left")
-    own = F.col("end_id").isNotNull().cast("int")
-    counted = scale.running_total(marked, ["project_id"], "line_no", [], own, "_ends", span)
-    return counted.withColumn("ordinal", F.col("_ends") - own.cast("long") + 1).drop("_ends")
+    name = lambda pattern: F.regexp_extract("line", pattern, 1)
+    marks = lines.filter(F.col("line").rlike(K.BLOCK_MARKER) | F.col("line").rlike(K.END_MARKER)).select(
+        "project_id", "line_no", F.col("line").rlike(K.BLOCK_MARKER).alias("opens"),
+        F.when(F.col("line").rlike(K.BLOCK_MARKER), name(K.BLOCK_MARKER)).otherwise(name(K.END_MARKER)).alias("block_id"),
+    )
+    beside = lambda by, out: lines.select("project_id", (F.col("line_no") + by).alias("line_no"), F.col("line").alias(out))
+    known = marks.join(want, ["project_id", "block_id"])
+    found = known.filter("opens").join(beside(1, "before"), ["project_id", "line_no"], "left").join(beside(-1, "after"), ["project_id", "line_no"], "left")
+    openings = settle(found.select("project_id", "ordinal", "line_no", "before", F.coalesce(placed, F.lit(False)).alias("placed")))
+    ends = known.filter(~F.col("opens")).select("project_id", "ordinal", F.col("line_no").alias("end_no"))
+
+    once = openings.filter("placed").groupBy("project_id", "ordinal").agg(F.count("*").alias("n"), F.min("line_no").alias("line_no")).filter("n = 1").drop("n")
+    fixed = _rising(once, span)
+    blocks = settle(_neighbours(want.join(fixed, ["project_id", "ordinal"], "left"), span))
+    spare = blocks.filter(F.col("line_no").isNull()).select("project_id", "ordinal", "lo", "hi").join(openings, ["project_id", "ordinal"])
+    between = (F.col("line_no") > F.coalesce("lo", F.lit(0))) & (F.col("line_no") < F.coalesce("hi", F.lit(2**62)))
+    best = spare.filter(between).groupBy("project_id", "ordinal").agg(F.min_by("line_no", F.struct(~F.col("placed"), "line_no")).alias("line_no"))
+    opened = settle(_rising(fixed.unionByName(best), span).join(openings.select("project_id", "ordinal", "line_no", "before"), ["project_id", "ordinal", "line_no"]))
+    last = scale.carry_last(
+        opened.withColumn("_back", -F.col("ordinal")), ["project_id"], "_back", F.struct(F.col("line_no").alias("open_no"), "ordinal"), "next", span=span
+    ).drop("_back")
+    both = want.join(last, ["project_id", "ordinal"], "left").withColumnRenamed("line_no", "open_no")
+    closed = both.select("project_id", "ordinal", "open_no", "next", skip.alias("_skip")).join(ends, ["project_id", "ordinal"]).filter(
+        (F.col("end_no") > F.col("open_no") + F.col("_skip")) & (F.col("next").isNull() | (F.col("end_no") < F.col("next.open_no")))
+    )
+    return settle(both.join(closed.groupBy("project_id", "ordinal").agg(F.min("end_no").alias("end_no")), ["project_id", "ordinal"], "left"))
+
+
+def _spread_over(lines: DataFrame, blocks: DataFrame, span: int, *more: str) -> DataFrame:
+    """Lines with ``own``, the block that opened last, its ends and ``more`` of it; null before the first."""
+    own = blocks.filter(F.col("open_no").isNotNull()).select(
+        "project_id", F.col("open_no").alias("line_no"), F.struct("ordinal", "block_id", "open_no", "end_no", *more).alias("_own")
+    )
+    rows = settle(lines.join(own, ["project_id", "line_no"], "left"))
+    return settle(scale.carry_last(rows, ["project_id"], "line_no", F.col("_own"), "own", F.col("_own").isNotNull(), inclusive=True, span=span).drop("_own"))
 
 
 def _blank() -> Column:
     return F.col("line").isin("", K.REVIEW_SEPARATOR)
 
 
-def _opened(lines: DataFrame, ids: DataFrame, span: int) -> DataFrame:
-    """Region lines with the number of their first line that is not spacing (``start``)."""
-    rows = settle(_regions(lines.filter(F.col("line_no") > 1), ids, span))
-    first = rows.groupBy("project_id", "ordinal").agg(F.min(F.when(~_blank(), F.col("line_no"))).alias("start"))
-    return rows.join(first, ["project_id", "ordinal"])
+def _between(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """Lines that lie in no block: project_id, line_no, line, ``behind`` (ordinal of the block before, 0 at first).
+
+    ``places``: project_id, line_no of the place lines that open a block. Lines behind a block that
+    lost its end marker are its own.
+    """
+    gap = rows.filter(~_blank() & (F.col("own").isNull() | (F.col("line_no") > F.col("own.end_no"))))
+    free = gap.join(places, ["project_id", "line_no"], "left_anti")
+    return free.select("project_id", "line_no", "line", F.coalesce("own.ordinal", F.lit(0).cast("long")).alias("behind"))
+
+
+def _judged(blocks: DataFrame, between: DataFrame, span: int) -> DataFrame:
+    """Adds ``intruded`` (foreign lines stand before the block) and ``place_left`` (the place line of a block without an opening is there)."""
+    opened = F.col("open_no").isNotNull()
+    rows = scale.carry_last(blocks, ["project_id"], "ordinal", F.col("ordinal"), "_last", opened, span=span).withColumn("_last", F.coalesce("_last", F.lit(0)))
+    # lines behind a block stand before all blocks up to the next that opens
+    foreign = between.select("project_id", F.col("behind").alias("_last")).distinct().withColumn("_foreign", F.lit(True))
+    places = between.select("project_id", F.col("behind").alias("_last"), F.col("line").alias("want_place")).distinct().withColumn("_place", F.lit(True))
+    both = rows.join(foreign, ["project_id", "_last"], "left").join(places, ["project_id", "_last", "want_place"], "left")
+    intruded = F.col("_foreign").isNotNull() & opened & (F.col("_last") == F.col("ordinal") - 1)
+    return both.withColumns({"intruded": intruded, "place_left": F.col("_place").isNotNull()}).drop("_last", "_foreign", "_place")
 
 
 def _header_problems(lines: DataFrame, header: str) -> DataFrame:
@@ -161,12 +231,12 @@ def _header_problems(lines: DataFrame, header: str) -> DataFrame:
     return bad.select("project_id", F.lit(0).cast("long").alias("ordinal"), F.lit(None).cast("string").alias("block_id"), F.lit("invalid_header").alias("code"))
 
 
-def _tail_problems(opened: DataFrame, totals: DataFrame) -> DataFrame:
+def _tail_problems(between: DataFrame, totals: DataFrame) -> DataFrame:
     """Content behind the last expected block."""
-    tail = opened.join(totals, "project_id").filter((F.col("ordinal") > F.col("total")) & (F.col("line_no") == F.col("start")))
+    tail = between.join(totals, "project_id").filter(F.col("behind") == F.col("total"))
     code = F.when(F.col("line").rlike(K.BLOCK_MARKER), "unknown_block").otherwise("unexpected_content")
     return tail.groupBy("project_id").agg(
-        F.min("ordinal").alias("ordinal"), F.lit(None).cast("string").alias("block_id"), F.min_by(code, "ordinal").alias("code")
+        (F.first("total") + 1).alias("ordinal"), F.lit(None).cast("string").alias("block_id"), F.min_by(code, "line_no").alias("code")
     )
 
 
@@ -187,33 +257,34 @@ def parse_source_review(lines: DataFrame, expected: DataFrame, span: int = scale
     """(texts, problems) of an edited source review.
 
     ``lines``: project_id, line_no, line. ``expected``: project_id, source_order (1..n), id,
-    source_type, page, source_file.
+    source_type, page, source_file. A damaged block is a problem of its own and costs no other its
+    text; markers that are not the next own marker of a block are text of the block they stand in.
     """
     want = expected.select(
         "project_id", F.col("source_order").alias("ordinal"), F.col("id").alias("block_id"), _source_locator().alias("want_place")
     )
-    opened = _opened(lines, want.select("project_id", "block_id"), span)
-    offset = F.col("line_no") - F.col("start")
-    seen = opened.groupBy("project_id", "ordinal").agg(
-        F.max(F.when(offset == 0, F.col("line"))).alias("place"),
-        F.max(F.when(offset == 1, F.col("line"))).alias("mark"),
-        F.max("end_id").alias("end_id"),
-        F.max(F.when((offset >= 2) & F.col("end_id").isNull() & ~X.is_blank("line"), F.lit(1))).alias("_text"),
-    )
-    judged = want.join(seen, ["project_id", "ordinal"], "left").withColumn(
+    own_place = F.col("before") == F.col("want_place")
+    content = settle(lines.filter(F.col("line_no") > 1))
+    blocks = _anchored(content, want, own_place, F.lit(0), span)
+    rows = _spread_over(content, blocks, span)
+    places = blocks.filter(own_place).select("project_id", (F.col("open_no") - 1).alias("line_no"))
+    between = settle(_between(rows, places))
+    inside = rows.filter((F.col("line_no") > F.col("own.open_no")) & (F.col("line_no") < F.col("own.end_no")))
+    written = inside.filter(~X.is_blank("line")).select("project_id", F.col("own.ordinal").alias("ordinal")).distinct().withColumn("_text", F.lit(True))
+    judged = settle(_judged(blocks, between, span).join(written, ["project_id", "ordinal"], "left").withColumn(
         "code",
-        F.when(~F.col("place").eqNullSafe(F.col("want_place")), "location_changed")
-        .when(~F.col("mark").eqNullSafe(_marker("BLOCK", F.col("block_id"))), "block_order_changed")
-        .when(~F.col("end_id").eqNullSafe(F.col("block_id")), "end_marker_changed")
+        F.when(F.col("open_no").isNull() & F.col("place_left"), "block_order_changed")
+        .when(~F.coalesce(own_place, F.lit(False)) | F.col("intruded"), "location_changed")
+        .when(F.col("end_no").isNull(), "end_marker_changed")
         .when(F.col("_text").isNull(), "empty_text"),
-    )
+    ).select("project_id", "ordinal", "block_id", "code"))
     good = judged.filter(F.col("code").isNull()).select("project_id", "ordinal", "block_id")
-    body = opened.filter((offset >= 2) & F.col("end_id").isNull()).join(good, ["project_id", "ordinal"])
+    body = inside.select("project_id", F.col("own.ordinal").alias("ordinal"), "line_no", "line").join(good, ["project_id", "ordinal"])
     totals = want.groupBy("project_id").agg(F.max("ordinal").alias("total"))
     problems = (
-        judged.filter(F.col("code").isNotNull()).select("project_id", "ordinal", "block_id", "code")
-        .unionByName(_header_problems(lines, K.SOURCE_REVIEW_HEADERS))
-        .unionByName(_tail_problems(opened, totals))
+        judged.filter(F.col("code").isNotNull())
+        .unionByName(_header_problems(lines, K.SOURCE_REVIEW_HEADERS).select("project_id", "ordinal", "block_id", "code"))
+        .unionByName(_tail_problems(between, totals))
     )
     return _body(body), problems
 
@@ -222,45 +293,44 @@ def parse_translation_review(lines: DataFrame, segments: DataFrame, span: int =
     """(translations, problems) of an edited translation review.
 
     ``segments``: project_id, source_order (1..n), source_block_id, page, source_file, source_text.
+    Damage is handled as in ``parse_source_review``.
     """
     want = settle(locator_change(segments, span).select(
         "project_id", F.col("source_order").alias("ordinal"), F.col("source_block_id").alias("block_id"),
-        "locator", "changed", "source_text", F.size(F.split("source_text", "\n")).alias("n"),
+        F.col("locator").alias("want_place"), "changed", "source_text", F.size(F.split("source_text", "\n")).alias("n"),
     ))
-    opened = _opened(lines, want.select("project_id", "block_id"), span).join(
-        want.select("project_id", "ordinal", "changed", "n"), ["project_id", "ordinal"], "left"
-    )
-    # Offset 0 is the block marker; a changed place puts the locator before it.
-    offset = F.col("line_no") - F.col("start") - F.when(F.col("changed"), 1).otherwise(0)
-    rows = opened.withColumn("offset", offset)
+    content = settle(lines.filter(F.col("line_no") > 1))
+    blocks = _anchored(content, want.drop("source_text"), F.col("after") == "[ORIGINAL]", F.col("n") + 2, span)
+    own_place = F.col("changed") & (F.col("before") == F.col("want_place"))
+    rows = _spread_over(content, blocks, span, "n").withColumn("offset", F.col("line_no") - F.col("own.open_no")).withColumn("ordinal", F.col("own.ordinal"))
+    places = blocks.filter(own_place).select("project_id", (F.col("open_no") - 1).alias("line_no"))
+    between = settle(_between(rows, places))
+    original = F.col("offset").between(2, F.col("own.n") + 1)
     at = lambda n: F.max(F.when(F.col("offset") == n, F.col("line")))
-    original = F.col("offset").between(2, F.col("n") + 1)
-    seen = rows.groupBy("project_id", "ordinal").agg(
-        at(-1).alias("place"), at(0).alias("mark"), at(1).alias("o_mark"),
-        F.transform(
-            F.array_sort(F.collect_list(F.when(original, F.struct("line_no", "line")))), lambda p: p["line"]
-        ).alias("_source"),
-        F.max(F.when(F.col("offset") == F.col("n") + 2, F.col("line"))).alias("t_mark"),
-        F.max("end_id").alias("end_id"),
+    seen = rows.filter(F.col("offset") <= F.col("own.n") + 2).groupBy("project_id", "ordinal").agg(
+        at(1).alias("o_mark"), at(F.col("own.n") + 2).alias("t_mark"),
+        F.transform(F.array_sort(F.collect_list(F.when(original, F.struct("line_no", "line")))), lambda p: p["line"]).alias("_source"),
     )
-    judged = want.join(seen, ["project_id", "ordinal"], "left").withColumn(
+    judged = settle(_judged(blocks, between, span).join(seen, ["project_id", "ordinal"], "left").join(want.select("project_id", "ordinal", "source_text"), ["project_id", "ordinal"]).withColumn(
         "code",
-        F.when(F.col("changed") & ~F.col("place").eqNullSafe(F.col("locator")), "location_changed")
-        .when(~F.col("mark").eqNullSafe(_marker("BLOCK", F.col("block_id"))), "block_order_changed")
+        F.when(F.col("open_no").isNull() & (F.col("place_left") | ~F.col("changed")), "block_order_changed")
+        .when(F.col("changed") & (~F.coalesce(own_place, F.lit(False)) | F.col("intruded")), "location_changed")
+        .when(F.col("intruded"), "block_order_changed")
         .when(~F.col("o_mark").eqNullSafe(F.lit("[ORIGINAL]")), "original_marker_changed")
         .when(~F.array_join("_source", "\n").eqNullSafe(F.col("source_text")), "source_changed")
         .when(~F.col("t_mark").eqNullSafe(F.lit("[TRANSLATION]")), "translation_marker_changed")
-        .when(~F.col("end_id").eqNullSafe(F.col("block_id")), "end_marker_changed"),
-    )
+        .when(F.col("end_no").isNull(), "end_marker_changed"),
+    ).select("project_id", "ordinal", "block_id", "code"))
     good = judged.filter(F.col("code").isNull()).select("project_id", "ordinal", "block_id")
-    body = rows.filter((F.col("offset") >= F.col("n") + 3) & F.col("end_id").isNull()).join(good, ["project_id", "ordinal"])
+    inside = rows.filter((F.col("offset") >= F.col("own.n") + 3) & (F.col("line_no") < F.col("own.end_no")))
+    body = inside.select("project_id", "ordinal", "line_no", "line").join(good, ["project_id", "ordinal"])
     empty = good.select("project_id", "block_id").join(body.select("project_id", "block_id").distinct(), ["project_id", "block_id"], "left_anti")
     texts = _body(body).unionByName(empty.withColumn("text", F.lit("")))
     totals = want.groupBy("project_id").agg(F.max("ordinal").alias("total"))
     problems = (
-        judged.filter(F.col("code").isNotNull()).select("project_id", "ordinal", "block_id", "code")
-        .unionByName(_header_problems(lines, K.TRANSLATION_REVIEW_HEADERS))
-        .unionByName(_tail_problems(opened.select("project_id", "ordinal", "line_no", "line", "start"), totals))
+        judged.filter(F.col("code").isNotNull())
+        .unionByName(_header_problems(lines, K.TRANSLATION_REVIEW_HEADERS).select("project_id", "ordinal", "block_id", "code"))
+        .unionByName(_tail_problems(between, totals))
     )
     return texts, problems
 

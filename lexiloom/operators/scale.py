@@ -59,6 +59,17 @@ def running_total(
     )
 
 
+def running_max(df: DataFrame, group: Sequence[str], lead: str, value: Column, out: str, span: int = SPAN) -> DataFrame:
+    """Largest ``value`` of all earlier rows of the group in ``lead`` order; null for the first."""
+    sliced = df.withColumn(_SLICE, _slice(lead, span)).withColumn("_v", value)
+    earlier = lambda order, *keys: Window.partitionBy(*group, *keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    tops = sliced.groupBy(*group, _SLICE).agg(F.max("_v").alias("_top")).withColumn(_OUTER, F.floor(F.col(_SLICE) / span).cast("long"))
+    outer = tops.groupBy(*group, _OUTER).agg(F.max("_top").alias("_far")).select(*group, _OUTER, F.max("_far").over(earlier(_OUTER)).alias("_far"))
+    before = tops.withColumn("_mid", F.max("_top").over(earlier(_SLICE, _OUTER))).join(outer, [*group, _OUTER]).select(*group, _SLICE, F.greatest("_mid", "_far").alias("_prior"))
+    local = sliced.withColumn("_near", F.max("_v").over(earlier(lead, _SLICE)))
+    return local.join(before, [*group, _SLICE]).withColumn(out, F.greatest("_near", "_prior")).drop(_SLICE, "_v", "_near", "_prior")
+
+
 def number_rows(
     df: DataFrame, group: Sequence[str], lead: str, order: Sequence[str] = (), out: str = "row_no", span: int = SPAN
 ) -> DataFrame:
