@@ -114,25 +114,28 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, rows: int = FIT_RO
     return domains, prior, {w: [math.log(x / (1 - x)) for x in v] for w, v in sorted(chosen.items())}
 
 
+def _numbers(values: Sequence[float]) -> Column:
+    """An array constant. Generated code refers to it, so plans that differ in its numbers share their code."""
+    return F.array(*[F.lit(float(x)) for x in values]) if len(values) else F.array().cast("array<double>")
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
 def with_posteriors(df: DataFrame, text: str, out: str, domains: Sequence[str], prior: Sequence[float], odds: dict[str, list[float]]) -> DataFrame:
-    """Adds an array with the posterior of each domain."""
-    met = f"{out}_met"
-    logs = [f"{out}_log{i}" for i in range(len(domains))]
-    there = {w: F.array_contains(met, w) for w in odds}
-    terms = [[F.when(there[w], v[i]).otherwise(0.0) for w, v in odds.items()] for i in range(len(domains))]
-    df = with_features(df, text, met, list(odds)) if odds else df
-    df = df.withColumns({c: _sum([F.lit(float(p)), *t]) for c, p, t in zip(logs, prior, terms, strict=True)})
-    top = F.greatest(*logs) if len(logs) > 1 else F.col(logs[0])
-    powers = [F.exp(F.col(c) - top) for c in logs]
-    return df.withColumn(out, F.array(*powers)).withColumn(out, F.array(*[F.col(out)[i] / _sum([F.col(out)[j] for j in range(len(logs))]) for i in range(len(logs))])).drop(met, *logs)
-
-
-def _sum(terms: Sequence[Column]) -> Column:
-    """A sum as a balanced tree, which keeps expressions of many terms shallow."""
-    terms = list(terms)
-    while len(terms) > 1:
-        terms = [terms[i] + terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
-    return terms[0]
+    """Adds an array with the posterior of each domain; the weights of the words met are looked up in one map."""
+    logs = f"{out}_logs"
+    if odds:
+        weights = F.create_map(*[x for w, v in odds.items() for x in (F.lit(w), _numbers(v))])
+        met = f"{out}_met"
+        df = with_features(df, text, met, list(odds))
+        df = df.withColumn(logs, F.aggregate(met, _numbers(prior), lambda sums, w: F.zip_with(sums, weights[w], lambda x, y: x + y))).drop(met)
+    else:
+        df = df.withColumn(logs, _numbers(prior))
+    top = F.array_max(logs)
+    df = df.withColumn(logs, F.transform(logs, lambda x: F.exp(x - top)))
+    return df.withColumn(out, F.transform(logs, lambda x: x / F.aggregate(logs, F.lit(0.0), lambda s, y: s + y))).drop(logs)
 
 
 def goals(targets: dict[str, float], domains: Sequence[str], held: Sequence[float]) -> list[float]:
@@ -165,12 +168,13 @@ def fit_rates(members: DataFrame, wanted: Sequence[float]) -> list[float]:
         return np.array([x or 0.0 for x in df.agg(*[F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()]) / weight
 
     def values(shifts: list[np.ndarray]) -> np.ndarray:
-        rated = members.select("tokens", *[rate_of(F.col("p"), x).alias(f"r{i}") for i, x in enumerate(shifts)])
-        halves = sums(rated, [F.col("tokens") * F.col(f"r{i}") * F.col(f"r{i}") for i in range(len(shifts))]) / 2
+        every = F.array(*[_numbers(x) for x in shifts])
+        rated = members.select("tokens", F.transform(every, lambda x: rate_of(F.col("p"), x)).alias("rates"))
+        halves = sums(rated, [F.col("tokens") * F.col("rates")[i] * F.col("rates")[i] for i in range(len(shifts))]) / 2
         return halves + np.array([RIDGE / 2 * x @ x + share @ x for x in shifts])
 
     for _ in range(STEPS):
-        own = members.select("tokens", "p", rate_of(F.col("p"), shift).alias("rate"))
+        own = members.select("tokens", "p", rate_of(F.col("p"), _numbers(shift)).alias("rate"))
         own = own.withColumn("live", F.when(F.col("rate") > 0, F.col("tokens")).otherwise(0.0))
         found = sums(own, [F.col("rate") * F.col("tokens") * F.col("p")[i] for i in range(k)] + [F.col("live") * F.col("p")[i] * F.col("p")[j] for i in range(k) for j in range(i + 1)])
         slope = RIDGE * shift - found[:k] + share
@@ -188,9 +192,9 @@ def fit_rates(members: DataFrame, wanted: Sequence[float]) -> list[float]:
     return shift.tolist()
 
 
-def rate_of(p: Column, shift: Sequence[float]) -> Column:
+def rate_of(p: Column, shift: Column | Sequence[float]) -> Column:
     """The rate of a document with posteriors ``p``: the projected step from rate 1."""
-    return F.greatest(F.lit(0.0), 1.0 - _sum([p[i] * float(x) for i, x in enumerate(shift)]))
+    return F.greatest(F.lit(0.0), 1.0 - _dot(p, shift if isinstance(shift, Column) else _numbers(shift)))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
