@@ -12,7 +12,12 @@ Meeting pairs are compared on a longer signature, then confirmed on their whole
 of copies stays linear: equal sets are one class; members of a key are first tied to one centre; what
 these links join needs no more comparison; in key groups that still hold several components, the
 members outside the largest one are compared with the rest, in tiles of bounded size that skip set
-sizes which exclude the similarity.
+sizes which exclude the similarity. A tile confirms its pairs on whole sets and unites as it goes, so
+it gives no more links than it has members, however many pairs are alike.
+
+Signatures of small sets vary more than the radius allows for. Sets of up to ``SMALL`` shingles also
+get a key for each of their first shingles by hash, as many as two sets of the similarity cannot both
+lack (prefix filtering), and pairs of them are not judged by signatures: all their links are found.
 """
 
 from __future__ import annotations
@@ -31,8 +36,11 @@ WIDTH, PERCENT = 5, 75
 SYMBOLS, INDEX, CHUNK = 256, 64, 4
 #: Standard deviations between the mean distance at the similarity bound and the radius.
 MARGIN = 4.0
-#: Members of a tile of a key group.
-TILE = 1024
+#: Shingles of a set that has keys by shingle; pairs whose smaller set is this small meet under them.
+SMALL = 40
+SMALL_PAIR = SMALL * PERCENT // 100
+#: Members of a tile of a key group, and shingles of its members.
+TILE, TILE_SHINGLES = 1024, 400_000
 
 #: Bytes of a signature: two for each indexed symbol, one for each other.
 BYTES = 2 * INDEX + SYMBOLS - INDEX
@@ -102,6 +110,12 @@ def packed(symbols: np.ndarray) -> list[bytes]:
     return [row.tobytes() for row in np.hstack([head, symbols[:, INDEX:].astype(np.uint8)])]
 
 
+def first_shingles(shingles: np.ndarray) -> np.ndarray:
+    """Keys of a small sorted set: any two sets of the similarity have one in common, if both are small."""
+    n = len(shingles)
+    return mix(shingles[: n - -(-PERCENT * n // 100) + 1] + _U(0xA5A5)) if n <= SMALL else np.empty(0, _U)
+
+
 class Signatures:
     """Packed signatures of many sets, for comparison."""
 
@@ -127,7 +141,7 @@ def set_id(shingles: np.ndarray) -> int:
         return int(signed(mix(np.array([total * _U(3) + cross], _U)))[0])
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("whole", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
 
 def _sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -137,8 +151,8 @@ def _sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
     if full:
         symbols = np.stack([signature(sets[i]) for i in full])
         for i, *rest in zip(full, packed(symbols), signed(keys(symbols)), strict=True):
-            node[i], (sig[i], key[i]) = set_id(sets[i]), rest
-    columns = [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(key, pa.list_(pa.int64()))]
+            node[i], sig[i], key[i] = set_id(sets[i]), rest[0], np.concatenate([rest[1], signed(first_shingles(sets[i]))])
+    columns = [batch.column("doc_id"), batch.column("whole"), pa.array([len(x) for x in sets], pa.int64()), pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(key, pa.list_(pa.int64()))]
     return pa.RecordBatch.from_arrays(columns, schema=_SKETCH)
 
 
@@ -163,7 +177,7 @@ def _far(batch: pa.RecordBatch, within: int) -> pa.RecordBatch:
     a, b = Signatures(batch.column("sig_a").to_pylist()), Signatures(batch.column("sig_b").to_pylist())
     every = np.arange(batch.num_rows)
     apart = a.apart(b, every, every)
-    keep = apart <= within
+    keep = (apart <= within) | (batch.column("n").to_numpy() <= SMALL_PAIR)
     out = batch.select(["a", "b"]).filter(pa.array(keep))
     return pa.RecordBatch.from_arrays([*out.columns, pa.array(apart[keep].astype(np.int32))], names=["a", "b", "apart"])
 
@@ -177,7 +191,7 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         .join(side.toDF("b", "sig_b", "n_b"), "b")
         .filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     )
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(per_batch(lambda batch: _far(batch, within)), "a long, b long, apart int")
+    return both.select("a", "b", "sig_a", "sig_b", F.least("n_a", "n_b").alias("n")).mapInArrow(per_batch(lambda batch: _far(batch, within)), "a long, b long, apart int")
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -214,30 +228,48 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _tile(batch: pa.Table, within: int, percent: int) -> pa.Table:
-    """Pairs of two tiles of one key group, of different components, within the radius.
+    """Links of two tiles of one key group that join members not joined before: fewer than there are members.
 
-    A pair is given only under the first key that it shares, and two askers meet once.
+    Pairs within the radius are confirmed on their whole sets, under the first key that they share;
+    members that are joined already, by earlier links or by this tile's, are not compared.
     """
     node, label, size, asks = (batch.column(c).to_numpy() for c in ("node", "label", "n_shingles", "asks"))
-    minor, kind = batch.column("minor").to_numpy(), batch.column("kind")[0].as_py()
+    kind, bodies = batch.column("kind")[0].as_py(), batch.column("text")
     sig = Signatures(batch.column("sig").to_pylist())
+    names, group = np.unique(label, return_inverse=True)
+    root = np.arange(len(names))  # the group that each label's members are in, kept flat
+    sets: dict[int, np.ndarray] = {}
+
+    def shingles(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingle_set((bodies[i].as_py() or "").encode())
+        return sets[i]
+
     cols = np.flatnonzero(asks == 0)
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    a, b = [], []
     for i in np.flatnonzero(asks == 1):
-        fits = (label[cols] != label[i]) & (100 * np.minimum(size[cols], size[i]) >= percent * np.maximum(size[cols], size[i]))
-        at = cols[fits & ((minor[cols] == 0) | (node[cols] > node[i]))]
+        fits = (root[group[cols]] != root[group[i]]) & (100 * np.minimum(size[cols], size[i]) >= percent * np.maximum(size[cols], size[i]))
+        at = cols[fits]
+        small = np.minimum(size[at], size[i]) <= SMALL_PAIR
         if len(at):
-            at = at[sig.apart(sig, i, at) <= within]
+            near = small | (sig.apart(sig, i, at) <= within)
+            at, small = at[near], small[near]
         if len(at):
-            at = at[sig.first_kind(i, at) == kind]
-            a.append(np.full(len(at), node[i]))
-            b.append(node[at])
-    x, y = np.concatenate(a), np.concatenate(b)
-    return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-
-
-def _open_pairs(keyed: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, tile: int, scratch: Scratch) -> DataFrame:
-    """Pairs that share a key and lie in different components, by tiles of each key group.
+            at = at[small | (sig.first_kind(i, at) == kind)]
+        for j in at.tolist():
+            if root[group[i]] == root[group[j]]:
+                continue
+            x, y = shingles(i), shingles(j)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                a.append(min(node[i], node[j]))
+                b.append(max(node[i], node[j]))
+                root[root == root[group[j]]] = root[group[i]]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _open_links(keyed: DataFrame, nodes: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, tile: int, scratch: Scratch) -> DataFrame:
+    """Links between members that share a key and lie in different components, by tiles of each key group.
 
     The members outside a group's largest component ask; all members answer. Askers and answerers of
     a group are cut into tiles by set size (bands a factor of 100 / percent apart, of which only
@@ -249,7 +281,8 @@ def _open_pairs(keyed: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     held = member.join(mixed, "key").join(nodes.select("node", "n_shingles"), "node").withColumn("band", band).withColumn("minor", (F.col("label") != F.col("major")).cast("int"))
     held = scratch.save(held.select("key", "kind", "node", "label", "n_shingles", "band", "minor"))
-    counts = scratch.save(held.groupBy("key", "band").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"), F.ceil(F.sum("minor") / tile).cast("int").alias("asking")))
+    full = lambda one: F.ceil(F.greatest(F.sum(one) / tile, F.sum(one * F.col("n_shingles")) / TILE_SHINGLES)).cast("int")
+    counts = scratch.save(held.groupBy("key", "band").agg(full(F.lit(1)).alias("tiles"), full(F.col("minor")).alias("asking")))
     asking = counts.filter("asking > 0").select("key", F.col("band").alias("ask_band"), F.explode(F.expr("sequence(0, asking - 1)")).alias("ask_tile"))
     giving = counts.select("key", F.col("band").alias("give_band"), F.explode(F.expr("sequence(0, tiles - 1)")).alias("give_tile"))
     units = scratch.save(asking.join(giving, "key").filter("abs(ask_band - give_band) <= 1"))
@@ -258,7 +291,7 @@ def _open_pairs(keyed: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
     columns = ["key", "kind", "node", "label", "n_shingles", "minor", "ask_band", "ask_tile", "give_band", "give_tile", "asks"]
     gives = placed.withColumnRenamed("band", "give_band").withColumn("give_tile", of_tile("tiles")).join(units, ["key", "give_band", "give_tile"]).withColumn("asks", F.lit(0)).select(columns)
     asks = placed.filter("minor = 1").withColumnRenamed("band", "ask_band").withColumn("ask_tile", of_tile("asking")).join(units, ["key", "ask_band", "ask_tile"]).withColumn("asks", F.lit(1)).select(columns)
-    rows = gives.unionByName(asks).join(nodes.select("node", "sig"), "node")
+    rows = gives.unionByName(asks).join(nodes.select("node", "sig"), "node").join(sets, "node")
     within = radius(SYMBOLS, percent)
     return rows.groupBy("key", "ask_band", "ask_tile", "give_band", "give_tile").applyInArrow(lambda t: _tile(t, within, percent), "a long, b long")
 
@@ -275,12 +308,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, tile: int = TILE) -
     component. Other columns are not read. An empty table gives no rows. A similarity above
     ``percent`` is asked for by raising it; the signature index is built for 0.75 and more.
     """
+    rows = _classed(docs, percent, tile).select("doc_id", "n_shingles", "node", "component_id").distinct()
+    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def _classed(docs: DataFrame, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
+    """(doc_id, whole, n_shingles, node, component_id) of each row: its text's hash, its set, and its component."""
     if percent < PERCENT:
         raise ValueError("the index guarantees a similarity of 0.75 and more")
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dups")
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), empty_text().alias("text"))
-    sketch = scratch.save(plain.mapInArrow(per_batch(_sketch), "doc_id long, n_shingles long, node long, sig binary, keys array<long>"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), empty_text().alias("text")).withColumn("whole", F.xxhash64("text"))
+    sketch = scratch.save(plain.mapInArrow(per_batch(_sketch), "doc_id long, whole long, n_shingles long, node long, sig binary, keys array<long>"))
+    plain = plain.drop("whole")
     filled = sketch.filter("node is not null and doc_id is not null")
     # one row per class of equal sets; sig and keys follow from the set, so any copy's will do
     nodes = scratch.save(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
@@ -300,20 +340,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, tile: int = TILE) -
     more = scratch.save(_links(open_stars, sets))
     good = tried.filter("good").select("a", "b").union(more.filter("good").select("a", "b"))
     labels = components(good, scratch)
-    rest = _open_pairs(shared.select("key", "kind", "node"), nodes, labels, percent, tile, scratch)
-    seen = tried.select("a", "b").union(more.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    last = scratch.save(_links(rest.join(seen, ["a", "b"], "left_anti"), sets).filter("good"))
-    labels = components(good.union(last.select("a", "b")), scratch)
+    last = scratch.save(_open_links(shared.select("key", "kind", "node"), nodes, sets, labels, percent, tile, scratch))
+    labels = components(good.union(last), scratch)
     scratch.drop(sets, shared, near)
 
     # the least doc_id of each component, through its classes
     named = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_node = named.join(least, "label").select("node", "component_id")
-    rows = sketch.select("doc_id", "n_shingles", "node").distinct()
-    out = rows.join(of_node, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return sketch.select("doc_id", "whole", "n_shingles", "node").join(of_node, "node", "left").withColumn("component_id", component)
 
 
 def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -341,10 +377,13 @@ def _texts_of(wanted: DataFrame, plain: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that are the first of their component, with all their columns.
 
-    Rows with a null doc_id stay, as they have no name to be compared by. Rows that repeat doc_id and
-    text of a kept document all stay.
+    The first is the set of the least doc_id, and of several sets under this id the one of least
+    hash; all rows of that id and that set stay. Rows with a null doc_id or without words stay, as
+    they are linked with nothing.
     """
-    found = near_duplicates(docs)
-    gone = found.filter("doc_id is not null and not kept").select(F.col("doc_id").alias(fresh(docs, "_gone_id")))
-    name = gone.columns[0]
-    return docs.join(gone.distinct(), docs["doc_id"].cast("long") == gone[name], "left_anti")
+    found = _classed(docs).filter("doc_id is not null and node is not null")
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "node")).alias("_first"))
+    gone = found.join(first, "component_id").filter((F.col("doc_id") != F.col("_first.doc_id")) | (F.col("node") != F.col("_first.node")))
+    name, whole = (fresh(docs, c) for c in ("_gone_id", "_gone_text"))
+    gone = gone.select(F.col("doc_id").alias(name), F.col("whole").alias(whole)).distinct()
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone[name]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == gone[whole]), "left_anti")
