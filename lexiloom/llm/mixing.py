@@ -130,7 +130,9 @@ def with_posteriors(df: DataFrame, text: str, out: str, domains: Sequence[str],
         weights = F.create_map(*[x for w, v in odds.items() for x in (F.lit(w), _numbers(v))])
         met = f"{out}_met"
         df = with_features(df, text, met, list(odds))
-        df = df.withColumn(logs, F.aggregate(met, _numbers(prior), lambda sums, w: F.zip_with(sums, weights[w], lambda x, y: x + y))).drop(met)
+        # levels of shares are met by every text, and not all of them tell
+        telling = F.filter(met, lambda w: F.map_contains_key(weights, w))
+        df = df.withColumn(logs, F.aggregate(telling, _numbers(prior), lambda sums, w: F.zip_with(sums, weights[w], lambda x, y: x + y))).drop(met)
     else:
         df = df.withColumn(logs, _numbers(prior))
     top = F.array_max(logs)
