@@ -341,7 +341,7 @@ def source_qa_report(issues: DataFrame) -> DataFrame:
     """Numbered report entries Q-0001.. per project in issue order, one row each."""
     numbered = scale.number_rows(issues, ["project_id"], "source_order", ["code", "id"], "number")
     place = F.concat(F.col("source_file"), F.when(F.col("page").isNotNull(), F.concat(F.lit(", page "), F.col("page").cast("string"))).otherwise(""))
-    quoted = F.replace(X.collapse("evidence"), F.lit("`"), F.lit("'"))
+    quoted = F.replace(X.collapse(F.coalesce("evidence", F.lit(""))), F.lit("`"), F.lit("'"))
     entry = F.format_string("### Q-%04d [%s] %s\nin %s\nblock %s\n> %s\n", "number", "severity", "code", place, "block_id", quoted)
     return numbered.select("project_id", "number", entry.alias("entry"))
 
