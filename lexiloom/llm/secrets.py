@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -74,12 +75,30 @@ def is_word(part: str) -> bool:
     return len(found[1]) >= LEAST_PIECE * len(pieces) and not any(len(x) > LONG_PIECE and CONSONANTS.search(x.lower()) for x in pieces)
 
 
-def allowed(text: str, run: tuple[int, int], start: int, end: int) -> bool:
-    """Whether the span of a run is known to be harmless."""
-    ranges = [m.span() for m in HARMLESS.finditer(text, max(0, run[0] - 7), run[1])]
-    parts = [m for m in PART.finditer(text, *run) if m.start() < end and m.end() > start]
-    harmless = lambda m: any(a <= m.start() and m.end() <= b for a, b in ranges) or is_word(m[0]) or any(w in m[0].lower() for w in ALLOWED_WORDS)
-    return all(map(harmless, parts)) or all(m[0].isdigit() for m in parts)
+class Parts:
+    """The parts of a run between its signs. Each is judged once, however many spans touch it."""
+
+    def __init__(self, text: str, run: tuple[int, int]):
+        self._text = text
+        self._ranges = [m.span() for m in HARMLESS.finditer(text, max(0, run[0] - 7), run[1])]
+        self._parts = [m.span() for m in PART.finditer(text, *run)]
+        self._starts, self._ends = [a for a, _ in self._parts], [b for _, b in self._parts]
+        self._range_starts = [a for a, _ in self._ranges]
+        self._judged: dict[int, tuple[bool, bool]] = {}
+
+    def _judge(self, i: int) -> tuple[bool, bool]:
+        """Whether a part is harmless, and whether it is a number."""
+        if i not in self._judged:
+            start, end = self._parts[i]
+            part, at = self._text[start:end], bisect_right(self._range_starts, start) - 1
+            inside = at >= 0 and end <= self._ranges[at][1]
+            self._judged[i] = (inside or is_word(part) or any(w in part.lower() for w in ALLOWED_WORDS), part.isdigit())
+        return self._judged[i]
+
+    def allowed(self, start: int, end: int) -> bool:
+        """Whether a span of the run is known to be harmless."""
+        touched = [self._judge(i) for i in range(bisect_right(self._ends, start), bisect_left(self._starts, end))]
+        return all(harmless for harmless, _ in touched) or all(number for _, number in touched)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -99,7 +118,8 @@ def entropy_spans(text: str) -> list[tuple[str, int, int]]:
     for kind, (pattern, width, bound) in CLASSES.items():
         for m in pattern.finditer(text):
             found = [(m.start() + a, m.start() + b) for a, b in windows(m[0], width, bound)]
-            out += [(kind, a, b) for a, b in found if not allowed(text, m.span(), a, b)]
+            parts = Parts(text, m.span()) if found else None
+            out += [(kind, a, b) for a, b in found if not parts.allowed(a, b)]
     return out
 
 
