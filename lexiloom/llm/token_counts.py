@@ -9,6 +9,7 @@ token belongs to exactly one section, and the sections' counts add up to the doc
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,9 @@ from lexiloom.llm.common import empty_text, per_batch
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's encoder cuts a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space as the pattern knows it, in runs from which on its search would need too deep a stack. Such a run is one
+#: piece of the pattern, but for its last character where something follows, so it is cut out and encoded as that piece.
+LONG_BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 class Encoder:
@@ -37,7 +41,14 @@ class Encoder:
 
     def starts(self, text: str) -> np.ndarray:
         """The byte at which each token of a text begins."""
-        sizes = self.sizes[np.asarray(self._encoding.encode_ordinary(text), np.int64)]
+        tokens, at = [], 0
+        for blank in LONG_BLANK.finditer(text):
+            end = blank.end() - (blank.end() < len(text))
+            tokens += self._encoding.encode_ordinary(text[at : blank.start()])
+            tokens += self._encoding._encode_single_piece(text[blank.start() : end])
+            at = end
+        tokens += self._encoding.encode_ordinary(text[at:])
+        sizes = self.sizes[np.asarray(tokens, np.int64)]
         return np.cumsum(sizes) - sizes
 
 
