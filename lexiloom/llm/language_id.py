@@ -1,7 +1,10 @@
 """Language of whole texts by compression: the language whose dictionary codes the text shortest.
 
-Each language gets a raw-content dictionary for zstandard, made of whole training texts. A text is
-compressed once with each dictionary; the least size wins. Texts and dictionaries are lower-cased and
+Each language gets a raw-content dictionary for zstandard, made of up to ``DICTIONARY_BYTES`` of sample
+texts; of a text longer than its share, pieces spread evenly over the whole text are kept. A text is
+compressed with each dictionary; the least size wins. A text longer than a window is compressed window
+by window, each coded afresh and the sizes summed, as a coder that had read much of a text would know its
+words from there, and the margin between the languages would shrink with its length. Texts and dictionaries are lower-cased and
 all that is no letter becomes one space first, so that shouting and decoration do not hide the words.
 Code lengths are turned into a confidence; very short texts, whose sizes tie, are told apart by how
 many of their words the dictionaries hold. A narrow relative margin of the code lengths rejects the
@@ -24,6 +27,8 @@ from lexiloom.llm.common import empty_text, per_batch
 #: The sample that a dictionary is made of: training texts per language, and bytes kept of them.
 SAMPLE_TEXTS, DICTIONARY_BYTES = 64, 112 << 10
 LEVEL = 5
+#: Bytes of a text that are compressed at a time, and of a piece of a longer sample text.
+WINDOW, PIECE = 8 << 10, 1 << 10
 #: Bits of code length per unit of log-odds: below 1, as neighbouring bytes of a text repeat evidence.
 SHARPNESS = 0.25
 #: A text is rejected when its best code is shorter than the next by less than this share of the next one.
@@ -62,6 +67,16 @@ def training_texts(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> list[tuple[str
     return [(r["lang"], r["text"]) for r in sorted(found, key=lambda r: (r["lang"], r["order"]))]
 
 
+def spread_pieces(text: bytes, size: int, piece: int = PIECE) -> bytes:
+    """``size`` bytes of a text at most: the whole of it, or pieces at even distances from its begin to its end."""
+    if len(text) <= size:
+        return text
+    count = max(1, size // piece)
+    width = max(0, size - (count - 1)) // count
+    starts = [i * (len(text) - width) // max(1, count - 1) for i in range(count)]
+    return b" ".join(text[a : a + width] for a in starts)
+
+
 def dictionaries(samples: list[tuple[str, str]], size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Per language, an even share of every sample text; what shorter texts leave goes to longer ones."""
     by_lang: dict[str, list[bytes]] = {}
@@ -71,7 +86,7 @@ def dictionaries(samples: list[tuple[str, str]], size: int = DICTIONARY_BYTES) -
     for lang, own in sorted(by_lang.items()):
         left, pieces = size, []
         for i, text in enumerate(sorted(own, key=len)):
-            share = text[: left // (len(own) - i)]
+            share = spread_pieces(text, left // (len(own) - i))
             pieces.append(share)
             left -= len(share)
         out[lang] = b" ".join(pieces)
@@ -95,7 +110,8 @@ class Coders:
         data = plain_words(text or "")
         if not data or not self.names:
             return UNKNOWN, 0.0, 0.0, True
-        sizes = np.array([len(coder.compress(data)) for coder in self._coders], np.float64)
+        parts = [data[a : a + WINDOW] for a in range(0, len(data), WINDOW)]
+        sizes = np.array([sum(len(coder.compress(part)) for part in parts) for coder in self._coders], np.float64)
         weight = np.exp2(-8 * SHARPNESS * (sizes - sizes.min()))
         short = sizes.min() < SHORT_CODE
         tied = (sizes == sizes.min()).sum() > 1
