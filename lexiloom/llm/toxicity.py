@@ -123,6 +123,11 @@ def bags(texts: list[str]) -> list[Bag]:
     return [(*np.unique(np.concatenate([words[a:b], heads[a:b]]), return_counts=True), b - a) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+def folds(ids: np.ndarray) -> np.ndarray:
+    """The fold of each id, by a hash, so that ids which share a remainder still fill every fold."""
+    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
+
+
 def learn(docs: DataFrame, labels: DataFrame, chain: Sequence[tuple[str, str, int]] = CHAIN, rows: int = FIT_ROWS) -> Chain:
     """Fit the chain on about ``rows`` labelled documents; only their word hashes reach the driver."""
     of = [F.when(F.col(c).isNotNull(), (F.col(c) == v).cast("double")).alias(f"y{i}") for i, (_, c, v) in enumerate(chain)]
@@ -140,7 +145,7 @@ def learn(docs: DataFrame, labels: DataFrame, chain: Sequence[tuple[str, str, in
     columns = ", ".join(f"y{i} double" for i in range(len(chain)))
     found = known.select("doc_id", *[f"y{i}" for i in range(len(chain))], "text").mapInArrow(per_batch(words), f"doc_id long, {columns}, words binary, counts binary, n long").toArrow().sort_by("doc_id")
     y = np.column_stack([found.column(f"y{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(len(chain))])
-    fold = found.column("doc_id").to_numpy() % FOLDS
+    fold = folds(found.column("doc_id").to_numpy())
     parts = zip(found.column("words").to_pylist(), found.column("counts").to_pylist(), found.column("n").to_pylist(), strict=True)
     return fit_chain([name for name, *_ in chain], [(np.frombuffer(w, np.uint64), np.frombuffer(c, np.int32), max(n, 1)) for w, c, n in parts], y, fold)
 
