@@ -10,69 +10,35 @@ from pyspark.sql import functions as F
 from lexiloom import constants as K
 from lexiloom.functions import items as I
 from lexiloom.functions import text as X
-from lexiloom.operators import scale
+from lexiloom.operators import phrases, scale
 
 # --- Which terms occur in which text --------------------------------------------------------
 
 
 def term_index(termbase: DataFrame) -> DataFrame:
-    """One row per active variant; ``token`` is its first word run, null when that cannot be indexed.
-
-    The run is usable when the variant starts at a word boundary and the run ends at one.
-    """
-    variant = F.col("variant")
-    run = F.regexp_extract(F.lower(variant), "^(" + K.WORD_RUN + ")", 1)
-    starts = variant.rlike(r"^[\p{L}\p{N}]")
-    closed = (F.length(run) < F.length(variant)) | variant.rlike(r"[\p{L}\p{N}]\z")
-    return (
-        termbase.filter(F.col("status").isin("approved", "keep"))
-        .withColumn("all_variants", I.term_variants(F.col("source_term"), F.col("variants")))
-        .select(
-            "project_id", "candidate_id", "source_term", "translation", "status",
-            F.explode("all_variants").alias("variant"),
-        )
-        .withColumn("token", F.when(starts & closed, run))
-    )
-
-
-def text_tokens(texts: DataFrame) -> DataFrame:
-    """Distinct lower-case word runs per text (``project_id, text_id, text``); no text is carried."""
-    return texts.select(
-        "project_id", "text_id", F.explode(F.array_distinct(I.find_all(F.lower("text"), K.WORD_RUN))).alias("token")
-    )
+    """One row per active variant, with its entry as ``e``."""
+    active = termbase.filter(F.col("status").isin("approved", "keep"))
+    listed = active.withColumn("variant", F.explode(I.term_variants(F.col("source_term"), F.col("variants"))))
+    entry = F.struct("candidate_id", "source_term", "translation", "status", "variant")
+    return listed.select("project_id", "variant", entry.alias("e"))
 
 
 def term_hits(texts: DataFrame, termbase: DataFrame) -> DataFrame:
-    """Texts with ``hits``: the active term variants that occur in them.
+    """Texts with ``hits``: the active term variants that occur in them, each once.
 
-    Texts and variants meet on their first word; the few variants that do not start with a word
-    are tested against the texts of their own project. What a text can hit is bounded by the text.
+    Whole runs meet whole variants (``phrases``), so a row lists what is found and nothing unproven.
+    What a text can hit is bounded by the text.
     """
-    index = term_index(termbase)
-    entry = F.struct("candidate_id", "source_term", "translation", "status", "variant")
-    keyed = index.filter(F.col("token").isNotNull())
-    by_word = text_tokens(texts).join(keyed, ["project_id", "token"]).select("project_id", "text_id", entry.alias("e"))
-    loose = index.filter(F.col("token").isNull()).drop("token")
-    by_scan = (
-        texts.join(loose, "project_id")
-        .filter(X.contains_term(F.col("text"), F.col("variant")))
-        .select("project_id", "text_id", entry.alias("e"))
-    )
-    grouped = by_word.unionByName(by_scan).groupBy("project_id", "text_id").agg(F.array_sort(F.collect_list("e")).alias("_c"))
-    joined = texts.join(grouped, ["project_id", "text_id"], "left")
-    verified = F.filter("_c", lambda e: X.contains_term(F.col("text"), e["variant"]))
+    found = phrases.variants_in_texts(texts.select("project_id", "text_id", "text"), term_index(termbase))
+    hits = found.groupBy("project_id", "text_id").agg(F.array_sort(F.collect_set("e")).alias("hits"))
     kind = "array<struct<candidate_id:string,source_term:string,translation:string,status:string,variant:string>>"
-    return joined.withColumn("hits", F.coalesce(verified, F.array().cast(kind))).drop("_c")
+    return texts.join(hits, ["project_id", "text_id"], "left").withColumn("hits", F.coalesce("hits", F.array().cast(kind)))
 
 
 def relevant_terms(texts: DataFrame, termbase: DataFrame) -> DataFrame:
     """(project_id, text_id, candidate_id, status) for every active term found in a text."""
-    return (
-        term_hits(texts, termbase)
-        .select("project_id", "text_id", F.explode("hits").alias("h"))
-        .select("project_id", "text_id", F.col("h.candidate_id").alias("candidate_id"), F.col("h.status").alias("status"))
-        .distinct()
-    )
+    found = phrases.variants_in_texts(texts.select("project_id", "text_id", "text"), term_index(termbase))
+    return found.select("project_id", "text_id", F.col("e.candidate_id").alias("candidate_id"), F.col("e.status").alias("status")).distinct()
 
 
 # --- Packing blocks into chunks -------------------------------------------------------------
