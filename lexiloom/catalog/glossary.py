@@ -111,21 +111,35 @@ register(
 
 def evidence(s, d):
     terms = rows(s, d).select("project_id", "record_no", "source_term", F.when(F.col("doc_id") % 3 == 2, "auto").otherwise("manual").alias("origin"))
-    return G.term_evidence(terms, T.term_occurrences(V.blocks(s, d), G.evidence_width(terms)))
+    return G.term_evidence(terms, V.blocks(s, d))
 
 
 view("v_occ_long", runs_up_to(f"(SELECT max(len(string_split({key('source_term')}, ' '))) FROM v_grow)"))
 view(
     "v_evidence",
     f"""SELECT g.project_id, record_no, source_term, CASE WHEN doc_id % 3 = 2 THEN 'auto' ELSE 'manual' END AS origin, coalesce(o.n, 0) AS occurrences,
-      coalesce(o.blocks, 0) AS blocks, o.n IS NOT NULL AS source_verified, g.status FROM (SELECT *, {key('source_term')} AS key FROM v_grow) g
-      LEFT JOIN (SELECT project_id, key, count(*) AS n, count(DISTINCT source_order) AS blocks FROM v_occ_long GROUP BY ALL) o
+      coalesce(o.blocks, 0) AS blocks, o.n IS NOT NULL AS source_verified, g.status, coalesce(o.example, '') AS example,
+      coalesce(o.variants, source_term) AS variants, coalesce(o.block_ids, '') AS block_ids, coalesce(o.locations, '') AS locations FROM (SELECT *, {key('source_term')} AS key FROM v_grow) g
+      LEFT JOIN (SELECT project_id, key, count(*) AS n, count(DISTINCT source_order) AS blocks, arg_min(example, source_order) AS example,
+        array_to_string(list_transform(list_sort(list(DISTINCT [lower(surface), surface])), lambda x: x[2]), ' | ') AS variants,
+        array_to_string(list_transform(list_sort(list(DISTINCT {{'o': source_order, 'v': block_id}})), lambda x: x.v), ',') AS block_ids,
+        array_to_string(list_transform(list_sort(list(DISTINCT {{'o': first_order, 'v': location}})), lambda x: x.v), ',') AS locations
+        FROM (SELECT *, min(source_order) OVER (PARTITION BY project_id, key, location) AS first_order FROM v_occ_long
+          SEMI JOIN (SELECT project_id, {key('source_term')} AS key FROM v_grow) USING (project_id, key)) GROUP BY ALL) o
       ON o.project_id = g.project_id AND o.key = g.key""",
 )
 register(
     "term_evidence",
-    lambda s, d: evidence(s, d).select("project_id", "record_no", "origin", "occurrences", "blocks", "source_verified"),
-    "SELECT project_id, record_no, origin, occurrences, blocks, source_verified FROM v_evidence",
+    lambda s, d: evidence(s, d).select(
+        "project_id", "record_no", "origin", "occurrences", "blocks", "source_verified", "example", F.array_join("variants", " | ").alias("variants"),
+        F.array_join("block_ids", ",").alias("block_ids"), F.array_join("locations", ",").alias("locations"),
+    ),
+    "SELECT project_id, record_no, origin, occurrences, blocks, source_verified, example, variants, block_ids, locations FROM v_evidence",
+)
+register(
+    "unverified_terms",
+    lambda s, d: G.unverified_terms(evidence(s, d), allow_missing_terms=True).select("project_id", "record_no", "problem"),
+    "SELECT project_id, record_no, 'term_not_in_source' AS problem FROM v_evidence WHERE NOT source_verified AND origin <> 'manual'",
 )
 register(
     "import_summary",

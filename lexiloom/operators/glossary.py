@@ -75,39 +75,45 @@ def glossary_duplicates(rows: DataFrame, expected: DataFrame, compatibility: boo
     return joined.withColumn("problems", found)
 
 
-def evidence_width(terms: DataFrame, compatibility: bool = True) -> int:
-    """Words of the longest reviewed term, which runs of the source must reach."""
-    words = F.size(F.split(X.term_key(F.col("source_term"), compatibility), " "))
-    return max(1, terms.agg(F.max(words).alias("n")).first()["n"] or 1)
+def term_evidence(terms: DataFrame, blocks: DataFrame, compatibility: bool = True) -> DataFrame:
+    """Evidence of reviewed terms in the source blocks: counts, first example, surfaces, blocks and places.
 
-
-def term_evidence(terms: DataFrame, occurrences: DataFrame, compatibility: bool = True) -> DataFrame:
-    """Evidence of reviewed terms in the source: count, blocks, first order, example.
-
-    ``terms``: project_id, record_no, source_term, origin. Terms without any are unverified.
-    ``occurrences``: runs of up to ``evidence_width(terms)`` words.
+    ``terms``: project_id, record_no, source_term, origin. Terms without any evidence, those without
+    words among them, are unverified and their own only variant. ``variants`` are the surfaces by lower case, ``block_ids`` and ``locations``
+    follow the source; these lists are the cells of the glossary entry of the term, as its format asks.
     """
     keyed = terms.withColumn("key", X.term_key(F.col("source_term"), compatibility))
-    found = (
-        occurrences.join(keyed.select(*T.KEY).distinct(), T.KEY, "left_semi")
-        .groupBy(*T.KEY, "source_order", "example")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .groupBy(*T.KEY)
-        .agg(
-            F.sum("_n").cast("long").alias("occurrences"),
-            F.count(F.lit(1)).alias("blocks"),
-            F.min_by("example", "source_order").alias("example"),
-        )
+    found = settle(T.known_occurrences(blocks, keyed).select(*T.KEY, "source_order", "block_id", "location", "example", "surface"))
+    per_block = found.groupBy(*T.KEY, "source_order", "block_id", "location", "example").agg(F.count(F.lit(1)).alias("_n"))
+    listed = lambda what: F.array_sort(F.collect_list(F.struct("source_order", what)))
+    counts = per_block.groupBy(*T.KEY).agg(
+        F.sum("_n").cast("long").alias("occurrences"), F.count(F.lit(1)).alias("blocks"),
+        F.min_by("example", "source_order").alias("example"), listed("block_id").alias("_b"),
+    )
+    surfaces = found.select(*T.KEY, "surface").distinct().groupBy(*T.KEY).agg(
+        F.array_sort(F.collect_list(F.struct(F.lower("surface").alias("low"), F.col("surface").alias("surface")))).alias("_v")
     )
-    return keyed.join(found, T.KEY, "left").select(
+    places = per_block.groupBy(*T.KEY, "location").agg(F.min("source_order").alias("source_order")).groupBy(*T.KEY).agg(listed("location").alias("_p"))
+    joined = keyed.join(counts, T.KEY, "left").join(surfaces, T.KEY, "left").join(places, T.KEY, "left")
+    none, itself = F.array().cast("array<string>"), F.array(X.collapse("source_term"))
+    values = lambda column, name, other: F.coalesce(F.transform(column, lambda x: x[name]), other)
+    return joined.select(
         "project_id", "record_no", "source_term", "origin",
         F.coalesce("occurrences", F.lit(0).cast("long")).alias("occurrences"),
         F.coalesce("blocks", F.lit(0).cast("long")).alias("blocks"),
         F.coalesce("example", F.lit("")).alias("example"),
+        values("_v", "surface", itself).alias("variants"), values("_b", "block_id", none).alias("block_ids"),
+        values("_p", "location", none).alias("locations"),
         F.col("occurrences").isNotNull().alias("source_verified"),
     )
 
 
+def unverified_terms(evidence: DataFrame, allow_missing_terms: bool = False) -> DataFrame:
+    """Problems of terms without evidence; generated ones always, manual ones unless they may be missing."""
+    bad = ~F.col("source_verified") & ((F.col("origin") != "manual") | F.lit(not allow_missing_terms))
+    return evidence.filter(bad).select("project_id", "record_no", "source_term", F.lit("term_not_in_source").alias("problem"))
+
+
 def deleted_candidates(expected: DataFrame, reviewed: DataFrame) -> DataFrame:
     """Generated candidate ids that the reviewed table no longer has."""
     return expected.select("project_id", "candidate_id").join(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexiloom import constants as K
 from lexiloom.functions import text as X
-from lexiloom.operators import scale
+from lexiloom.operators import phrases, scale
 from lexiloom.operators.source_qa import effective_text
 from lexiloom.session import settle
 
@@ -50,6 +50,44 @@ def segments(blocks: DataFrame) -> DataFrame:
     )
 
 
+def prepared_segments(blocks: DataFrame) -> DataFrame:
+    """Segments with ``_low``, their words as keys have them, and ``_one``, the same as last words."""
+    low = F.transform("words", lambda w: F.lower(F.replace(w, F.lit("’"), F.lit("'"))))
+    one = F.transform("_low", lambda w: F.when(F.endswith(w, F.lit("s")), X.singularize(w)).otherwise(w))
+    return segments(blocks).withColumn("_low", low).withColumn("_one", one)
+
+
+def known_occurrences(blocks: DataFrame, terms: DataFrame) -> DataFrame:
+    """Occurrences of the keys of ``terms`` (project_id, key): place, surface and evidence of each.
+
+    A segment only makes the runs that start with a known first word and have a length that some key
+    of this first word has, so one long key does not lengthen the runs of all others. A key of one word is
+    that word as a last word; its length is kept apart, as a first word keeps its plural.
+    """
+    words = F.split("key", " ")
+    keys = terms.filter("key <> ''").select(*KEY).distinct()
+    lone = F.size(words) == 1
+    first = F.concat(F.when(lone, "1 ").otherwise("n "), F.element_at(words, 1))
+    dictionary = keys.select("project_id", first.alias("first"), F.size(words).alias("length"))
+    place = ["project_id", "source_order", "segment"]
+    prepared = prepared_segments(blocks)
+    named = lambda prefix, column: F.transform(column, lambda w: F.concat(F.lit(prefix), w))
+    firsts = F.concat(named("1 ", "_one"), named("n ", "_low"))
+    known = phrases.known_words(phrases.distinct_words(prepared, firsts, place), dictionary, place)
+    count = F.size("words")
+    found = F.concat(phrases.starts(named("1 ", "_one"), F.col("known"), count), phrases.starts(named("n ", "_low"), F.col("known"), count))
+    runs = prepared.join(known, place).select(
+        "project_id", "source_order", "block_id", "location", "example", "segment", "words", "_low", "_one", F.explode(found).alias("r")
+    )
+    at, length = F.col("r.at"), F.col("r.length")
+    cut = runs.select(
+        "project_id", "source_order", "block_id", "location", "example", "segment", at.alias("start"), length.alias("length"),
+        F.concat_ws(" ", F.slice("_low", at + 1, length - 1), F.get("_one", at + length - 1)).alias("key"),
+        F.array_join(F.slice("words", at + 1, length), " ").alias("surface"),
+    )
+    return cut.join(keys, KEY, "left_semi")
+
+
 def term_occurrences(blocks: DataFrame, max_words: int = 4) -> DataFrame:
     """Every run of 1..max_words words of a segment, with its key, span and evidence.
 
@@ -60,13 +98,7 @@ def term_occurrences(blocks: DataFrame, max_words: int = 4) -> DataFrame:
         raise ValueError("max_words must be at least 1")
     upper_first = lambda w: F.ascii(w).between(65, 90)
     code = lambda w: F.when(F.lower(w).isin(*K.CONNECTORS), 2).when(upper_first(w) & X.is_title_token(w), 1).otherwise(0)
-    prepared = (
-        segments(blocks)
-        .withColumn("_low", F.transform("words", lambda w: F.lower(F.replace(w, F.lit("’"), F.lit("'")))))
-        .withColumn("_code", F.transform("words", code))
-        .withColumn("_one", F.transform("_low", lambda w: F.when(F.endswith(w, F.lit("s")), X.singularize(w)).otherwise(w)))
-        .withColumn("_n", F.size("words"))
-    )
+    prepared = prepared_segments(blocks).withColumn("_code", F.transform("words", code)).withColumn("_n", F.size("words"))
     runs = prepared.select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("start")).select(
         "*", F.explode(F.sequence(F.lit(1), F.least(F.lit(max_words), F.col("_n") - F.col("start")))).alias("length")
     )
