@@ -1,6 +1,6 @@
 """Main text of web pages, with site templates removed.
 
-A page is read into blocks, each with the chain of elements around it. Furniture that names itself
+A page is read once into blocks, each with its place in the tree of elements. Furniture that names itself
 (navigation, headers, footers, asides, notices, adverts, forms, scripts, comments) is left out. What
 a site repeats without naming it is found by counting: element subtrees are hashed by their tag, their
 text and the shape below them; Spark counts on how many pages of a host each hash occurs; subtrees found
@@ -14,17 +14,16 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import Scratch, fresh, per_batch
+from lexiloom.llm.common import Scratch, per_batch
 
-#: A subtree is a template when it is on at least this many distinct pages of a host and this share of them.
-LEAST_PAGES, LEAST_SHARE = 8, 0.02
+#: A subtree is a template when it is on at least this many distinct pages of a host, whatever the host's size.
+LEAST_PAGES = 8
 
 # Element names of HTML by their role.
 SILENT = frozenset("script style noscript template svg math canvas iframe object embed audio video title select textarea button datalist".split())
@@ -58,10 +57,13 @@ _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)")
 
 @dataclass
 class Node:
-    """An open element: furniture (1 by its marks, 2 by its kind) or not, inside the article or not, and its place."""
+    """An open element: furniture (1 by its marks, 2 by its kind) or not, inside the article or not, and its place.
+
+    ``around`` is the innermost element, this one included, that may be a template.
+    """
 
     tag: str
-    index: int
+    around: int
     dropped: int
     main: bool
     parts: list[str] = field(default_factory=list)
@@ -69,36 +71,45 @@ class Node:
 
 @dataclass
 class Page:
-    """Blocks of text with the elements around them, and the subtrees that may be templates."""
+    """Blocks of text, each with the element around it, and for each such element the one around it and its hash (0: no text)."""
 
-    blocks: list[tuple[str, tuple[int, ...], bool]] = field(default_factory=list)
-    trees: dict[int, int] = field(default_factory=dict)
+    blocks: list[tuple[str, int, bool]] = field(default_factory=list)
+    parents: list[int] = field(default_factory=list)
+    trees: list[int] = field(default_factory=list)
 
 
 def _number(data: str) -> int:
     return int.from_bytes(hashlib.blake2b(data.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def parse(source: str, trees: bool = True) -> Page:
-    """Blocks and, where asked for, subtrees of a page; open, broken and cut-off markup included."""
+def parse(source: str) -> Page:
+    """Blocks and subtrees of a page; open, broken and cut-off markup included.
+
+    The depths of the open elements are kept by tag, so the work is in proportion to the source at any depth.
+    """
     page, stack, text = Page(), [Node("", -1, 0, False)], []
-    count = 0
+    depths: dict[str, list[int]] = {}
+    unclosed: set[str] = set()
+
+    def deepest(tags: frozenset[str] | set[str]) -> int:
+        return max((depths[t][-1] for t in tags if depths.get(t)), default=0)
 
     def flush() -> None:
         words = _SPACE.sub(" ", html.unescape("".join(text))).strip()
         text.clear()
         top = stack[-1]
         if words and not top.dropped:
-            page.blocks.append((words, tuple(n.index for n in stack[1:] if not n.main or n.tag in CONTAINERS), top.main))
+            page.blocks.append((words, top.around, top.main))
             top.parts.append(words)
 
     def close(keep: int) -> None:
         """Close open elements down to a depth; each becomes a part of the one around it."""
         while len(stack) > keep:
             node = stack.pop()
-            if trees and node.parts and not node.dropped:
+            depths[node.tag].pop()
+            if node.parts and not node.dropped:
                 if not node.main or node.tag in CONTAINERS:
-                    page.trees[node.index] = _number("\x00".join([node.tag, *node.parts]))
+                    page.trees[node.around] = _number("\x00".join([node.tag, *node.parts]))
                 stack[-1].parts.append(f"{node.tag}:{_number(chr(1).join(node.parts))}")
 
     at, silent, deep = 0, "", 0
@@ -120,12 +131,13 @@ def parse(source: str, trees: bool = True) -> Page:
         if name in BLOCKS:
             flush()
         if ends:
-            limit = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == name), 0)
-            if limit:
-                close(limit)
+            if depths.get(name):
+                close(depths[name][-1])
             continue
         if name in SILENT:
-            stop = re.compile(rf"</{name}\b[^>]*>?", re.IGNORECASE).search(source, at)
+            stop = None if name in unclosed else re.compile(rf"</{name}\b[^>]*>?", re.IGNORECASE).search(source, at)
+            if not stop:
+                unclosed.add(name)
             if name in ("script", "style"):
                 at = stop.end() if stop else len(source)
             elif name in ("title", "textarea"):
@@ -134,12 +146,12 @@ def parse(source: str, trees: bool = True) -> Page:
                 silent, deep = name, 1
             continue
         if name in ENDS_P:
-            open_p = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p" or stack[i].tag in SCOPES), 0)
-            if open_p and stack[open_p].tag == "p":
+            open_p = deepest({"p"})
+            if open_p > deepest(SCOPES):
                 close(open_p)
         if name in SAME_END:
-            kin = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in SAME_END[name] or stack[i].tag in SCOPES - SAME_END[name]), 0)
-            if kin and stack[kin].tag in SAME_END[name]:
+            kin = deepest(SAME_END[name])
+            if kin > deepest(SCOPES - SAME_END[name]):
                 close(kin)
         if name in VOID or match[0].endswith("/>"):
             continue
@@ -147,14 +159,19 @@ def parse(source: str, trees: bool = True) -> Page:
         marks = " ".join(next(filter(None, m), "") for m in _MARK.findall(attributes)) if "=" in attributes else ""
         up = stack[-1]
         dropped = up.dropped
-        if (name in FURNITURE and not (name == "header" and up.main)) or _HIDDEN.search(attributes) or (name == "article" and any(n.tag == "article" for n in stack)):
+        if (name in FURNITURE and not (name == "header" and up.main)) or _HIDDEN.search(attributes) or (name == "article" and depths.get("article")):
             dropped = 2
         elif name in MAIN:
             dropped = 2 if dropped == 2 or ASIDES.intersection(marks.lower().split()) else 0
         elif not dropped and name != "body" and marks and NAMES.search(marks) and not (up.main and "header" in marks.lower()):
             dropped = 1
-        stack.append(Node(name, count, dropped, up.main or name in MAIN))
-        count += 1
+        main, around = up.main or name in MAIN, up.around
+        if not dropped and (not main or name in CONTAINERS):
+            around = len(page.trees)
+            page.parents.append(up.around)
+            page.trees.append(0)
+        depths.setdefault(name, []).append(len(stack))
+        stack.append(Node(name, around, dropped, main))
     if not silent:
         text.append(source[at:])
     flush()
@@ -169,62 +186,70 @@ def host_of(url: str | None) -> str:
 
 def main_text(page: Page, templates: frozenset[int] | set[int]) -> str:
     """Blocks outside template subtrees, joined by line ends; those of the article alone, if there is one."""
-    bad = {i for i, h in page.trees.items() if h in templates}
-    kept = [(words, main) for words, around, main in page.blocks if not bad.intersection(around)]
+    gone: list[bool] = []
+    for up, tree in zip(page.parents, page.trees, strict=True):  # an element comes behind those around it
+        gone.append((up >= 0 and gone[up]) or (tree != 0 and tree in templates))
+    kept = [(words, main) for words, around, main in page.blocks if around < 0 or not gone[around]]
     chosen = [words for words, main in kept if main] if any(main for _, _, main in page.blocks) else [words for words, _ in kept]
     return "\n".join(chosen)
 
 
-def _subtrees(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    host, tree, text = [], [], []
+_PARSED = pa.schema(
+    [
+        ("host", pa.string()), ("page", pa.int64()), ("words", pa.list_(pa.string())), ("around", pa.list_(pa.int32())), ("main", pa.list_(pa.bool_())),
+        ("parents", pa.list_(pa.int32())), ("trees", pa.list_(pa.int64())),
+    ]
+)
+
+
+def _parsed(batch: pa.RecordBatch) -> pa.RecordBatch:
+    rows = []
     for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
         page = parse(source or "")
-        name, whole = host_of(url), _number("\n".join(words for words, *_ in page.blocks))
-        for h in set(page.trees.values()):
-            host.append(name)
-            tree.append(h)
-            text.append(whole)
-    if not host:
-        return None
-    return pa.RecordBatch.from_arrays([pa.array(host), pa.array(tree, pa.int64()), pa.array(text, pa.int64())], names=["host", "tree", "page"])
+        words = [w for w, *_ in page.blocks]
+        rows.append((host_of(url), _number("\n".join(words)), words, [a for _, a, _ in page.blocks], [m for *_, m in page.blocks], page.parents, page.trees))
+    columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_PARSED)]
+    return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *columns], names=["page_id", "url", *_PARSED.names])
+
 
+def _texts(batch: pa.RecordBatch) -> pa.RecordBatch:
+    out = []
+    for words, around, main, parents, trees, bad in zip(*(batch.column(c).to_pylist() for c in ("words", "around", "main", "parents", "trees", "bad")), strict=True):
+        out.append(main_text(Page(list(zip(words, around, main, strict=True)), parents, trees), set(bad or ())))
+    return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, trees): hashes of the subtrees that many distinct pages of a host share.
 
-    Each template is on at least ``least_share`` of the host's pages, so a host's list is no longer
-    than the subtrees of an average page over that share.
+def parsed_pages(pages: DataFrame) -> DataFrame:
+    """Each page with its host, a hash of its words, its blocks and its elements (see ``Page``)."""
+    plain = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    kind = pages.schema["page_id"].dataType.simpleString()
+    shape = "host string, page long, words array<string>, around array<int>, main array<boolean>, parents array<int>, trees array<long>"
+    return plain.mapInArrow(per_batch(_parsed), f"page_id {kind}, url string, {shape}")
+
+
+def template_trees(parsed: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(host, page, bad): of each distinct page, by its words, the hashes of its subtrees that are templates of its host.
+
+    A list holds subtrees of one page only. Subtrees meet the templates as rows of (host, hash), of which a
+    host may have any number; pages with the same words count once.
     """
-    plain = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).filter("html is not null")
-    scratch = Scratch(pages.sparkSession, "templates")
-    found = scratch.save(plain.mapInArrow(per_batch(_subtrees), "host string, tree long, page long").distinct())
-    sizes = found.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    found = parsed.select("host", "page", F.explode(F.array_distinct("trees")).alias("tree")).filter("tree <> 0").distinct()
     often = found.groupBy("host", "tree").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
-    shared = often.join(sizes, "host").filter(F.col("n") >= least_share * F.col("pages"))
-    return scratch.save(shared.groupBy("host").agg(F.sort_array(F.collect_list("tree")).alias("trees")))
+    return found.join(often, ["host", "tree"], "left_semi").groupBy("host", "page").agg(F.collect_list("tree").alias("bad"))
 
 
-def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """page_id, url, text, n_chars for each row of ``pages`` (page_id, url, html).
 
     Null and empty html give the empty text; a null or odd url belongs to the host "". Markup that is
-    broken or cut off is read as far as it goes. Repeated rows are each extracted; a subtree counts
-    once for all pages of a host with the same words. Of several pages with an article, only the
-    articles are returned; nested or repeated articles follow in page order. Other columns are not
-    read. An empty table gives no rows.
+    broken or cut off is read as far as it goes, in time in proportion to its length. Repeated rows are
+    each extracted; a subtree counts once for all pages of a host with the same words. Of several pages
+    with an article, only the articles are returned; nested or repeated articles follow in page order.
+    Other columns are not read. An empty table gives no rows. Pages are read once; what is written, met
+    with the templates and shuffled are their blocks, never the markup.
     """
-    lists = templates(pages, least_pages, least_share)
-    plain = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    host = fresh(plain, "host")
-    address = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
-    joined = plain.withColumn(host, address).join(lists, host, "left").select("page_id", "url", "html", "trees")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rate(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = [main_text(parse(source or "", bool(trees)), frozenset(trees or ())) for source, trees in zip(batch.column("html").to_pylist(), batch.column("trees").to_pylist(), strict=True)]
-            return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-        yield from per_batch(rate)(batches)
-
+    parsed = Scratch(pages.sparkSession, "pages").save(parsed_pages(pages))
+    joined = parsed.join(template_trees(parsed, least_pages), ["host", "page"], "left")
     kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    columns = ["page_id", "url", "words", "around", "main", "parents", "trees", "bad"]
+    return joined.select(columns).mapInArrow(per_batch(_texts), f"page_id {kind}, url string, text string, n_chars long")
