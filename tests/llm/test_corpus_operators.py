@@ -227,11 +227,31 @@ def test_lines_that_many_sites_carry_go(spark):
     assert "all rights reserved" in wide and len(got) == len(rows)
     for i, text, *_ in rows:
         want = text
-        if text and sum(len(x) for x in text.split("\n") if x.strip() in wide) < 0.5 * len(text):
+        if text and not {x.strip() for x in text.split("\n")} <= wide | {""}:
             want = "\n".join(x for x in text.split("\n") if x.strip() not in wide)
         assert got[i].text == want and got[i].n_chars == (None if want is None else len(want))
 
 
+def test_short_pages_lose_their_boilerplate_and_copies_stay(spark):
+    rng = random.Random(33)
+    notice = "This notice is found on every site and is much longer than what the page says itself. " * 3
+    own = [(i, f"own words {i}\n{notice}", "en", f"s{i % 15}") for i in range(30)]
+    copies = [(100 + i, "an article\nthat many sites\ncarry word for word", "en", f"s{i % 15}") for i in range(45)]
+    lines, near = [words(rng, rng.randint(9, 40)) for _ in range(8)], []
+    for i in range(200):  # one word of one line replaced, put in or left out
+        edited = [x.split() for x in lines]
+        line = rng.choice(edited)
+        at = rng.randrange(1, len(line) - 1)
+        line[at : at + rng.randint(0, 1)] = [f"new{i}"] * (len(line) not in (16, 32) and rng.randint(0, 1) or 1)
+        near.append((300 + i, "\n".join(map(" ".join, edited)), "en", f"s{i % 15}"))
+    alone = [(200, notice, "en", "s0"), (201, notice + "\n" + notice, None, None), (202, lines[0] + "\nquoted here", "en", "s1")]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.report(docs_of(spark, own + copies + near + alone)).collect()}
+    assert all(got[i] == (2, 1, f"own words {i}") for i in range(30))
+    assert all(got[100 + i] == (3, 0, copies[0][1]) for i in range(45))
+    assert all(got[i] == (8, 0, text) for i, text, *_ in near)
+    assert got[200][1] == got[201][1] == 0 and got[202] == (2, 1, "quoted here")
+
+
 def test_near_threshold_lines_are_counted_exactly(spark):
     rows = [(i, f"l{k}", f"site{j}") for k in range(8, 13) for i, j in enumerate([*range(k), *range(k)])]
     lines = spark.createDataFrame(rows, "i int, content string, site string").select(F.xxhash64("content").alias("line"), "site", "content")
@@ -412,6 +432,46 @@ def test_site_templates_go(spark):
     assert html_text.extract(pages.limit(0)).collect() == []
 
 
+def plain_template_text(rows, least):
+    """Texts by counting in plain Python: a subtree on ``least`` distinct pages of a host goes."""
+    pages = [(html_text.host_of(url), html_text.parse(source or "")) for _, url, source in rows]
+    seen = {}
+    for host, page in pages:
+        for tree in page.trees:
+            seen.setdefault((host, tree), set()).add("\n".join(w for w, *_ in page.blocks))
+    return [html_text.main_text(page, {t for t in page.trees if t and len(seen[host, t]) >= least}) for host, page in pages]
+
+
+def test_templates_do_not_depend_on_the_size_of_a_host(spark):
+    rng = random.Random(31)
+    menu = "<div><a>Section one</a><ul><li>two<li>three</ul></div>"
+    rows = [(i, "http://large.example/" + str(i), f"<body>{menu if i < 10 else ''}<div><p>{words(rng, 12)}</p></div>") for i in range(5000)]
+    rows += [(9000 + i, "http://small.example/", f"<body>{menu if i < 7 else ''}<p>{words(rng, 9)}</p>") for i in range(20)]
+    out = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert [out[i] for i, *_ in rows] == plain_template_text(rows, html_text.LEAST_PAGES)
+    assert all("Section" not in out[i] and out[i] for i in range(10)) and sum("Section" in out[9000 + i] for i in range(20)) == 7
+
+
+def test_subtrees_of_random_pages(spark):
+    rng = random.Random(32)
+    some = ["div", "ul", "li", "p", "b", "section", "table", "article", "nav", "h2"]
+
+    def tree(depth):
+        tag = rng.choice(some)
+        inner = "".join(tree(depth - 1) if depth and rng.random() < 0.6 else rng.choice(["red ", "green ", "blue "]) for _ in range(rng.randint(1, 3)))
+        return f"<{tag}>{inner}" + (f"</{tag}>" if rng.random() < 0.9 else "")
+
+    rows = [(i, f"http://h{i % 3}.example/", "".join(tree(4) for _ in range(3))) for i in range(240)]
+    out = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), least_pages=4).collect()}
+    want = plain_template_text(rows, 4)
+    assert [out[i] for i in range(240)] == want and want != [html_text.main_text(html_text.parse(r[2]), set()) for r in rows]
+
+
+@pytest.mark.parametrize("part", ["<font>x<br>", "<font></b>", "<font><h2>y</h2>", "<select>", "<p>x", "<div>", "<ul><li>a", "<svg>", '<a "', "<"])
+def test_long_markup_takes_time_in_proportion(part):
+    html_text.main_text(html_text.parse(part * (1_000_000 // len(part))), set())
+
+
 def test_copies_of_an_article_stay(spark):
     rng = random.Random(13)
     body = "".join(f"<p>{words(rng, 20)}</p>" for _ in range(4))
