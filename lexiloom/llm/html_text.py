@@ -184,20 +184,30 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
+def article(page: Page) -> Page:
+    """The blocks that can be in a page's text (those of the article alone, if there is one), and the elements around them."""
+    blocks = [b for b in page.blocks if b[2]] or page.blocks
+    needed: set[int] = set()
+    for _, around, _ in blocks:
+        while around >= 0 and around not in needed:
+            needed.add(around)
+            around = page.parents[around]
+    place = {old: new for new, old in enumerate(sorted(needed))} | {-1: -1}
+    return Page([(words, place[around], main) for words, around, main in blocks], [place[page.parents[i]] for i in sorted(needed)], [page.trees[i] for i in sorted(needed)])
+
+
 def main_text(page: Page, templates: frozenset[int] | set[int]) -> str:
-    """Blocks outside template subtrees, joined by line ends; those of the article alone, if there is one."""
-    gone: list[bool] = []
+    """Blocks of the article outside template subtrees, joined by line ends."""
+    page, gone = article(page), []
     for up, tree in zip(page.parents, page.trees, strict=True):  # an element comes behind those around it
         gone.append((up >= 0 and gone[up]) or (tree != 0 and tree in templates))
-    kept = [(words, main) for words, around, main in page.blocks if around < 0 or not gone[around]]
-    chosen = [words for words, main in kept if main] if any(main for _, _, main in page.blocks) else [words for words, _ in kept]
-    return "\n".join(chosen)
+    return "\n".join(words for words, around, _ in page.blocks if around < 0 or not gone[around])
 
 
 _PARSED = pa.schema(
     [
-        ("host", pa.string()), ("page", pa.int64()), ("words", pa.list_(pa.string())), ("around", pa.list_(pa.int32())), ("main", pa.list_(pa.bool_())),
-        ("parents", pa.list_(pa.int32())), ("trees", pa.list_(pa.int64())),
+        ("host", pa.string()), ("page", pa.int64()), ("found", pa.list_(pa.int64())),
+        ("words", pa.list_(pa.string())), ("around", pa.list_(pa.int32())), ("parents", pa.list_(pa.int32())), ("trees", pa.list_(pa.int64())),
     ]
 )
 
@@ -205,37 +215,39 @@ _PARSED = pa.schema(
 def _parsed(batch: pa.RecordBatch) -> pa.RecordBatch:
     rows = []
     for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-        page = parse(source or "")
-        words = [w for w, *_ in page.blocks]
-        rows.append((host_of(url), _number("\n".join(words)), words, [a for _, a, _ in page.blocks], [m for *_, m in page.blocks], page.parents, page.trees))
+        page, host = parse(source or ""), host_of(url)
+        same = _number("\n".join([host, *(words for words, *_ in page.blocks)]))
+        own = article(page)
+        rows.append((host, same, list(set(page.trees) - {0}), [w for w, *_ in own.blocks], [a for _, a, _ in own.blocks], own.parents, own.trees))
     columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_PARSED)]
     return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *columns], names=["page_id", "url", *_PARSED.names])
 
 
 def _texts(batch: pa.RecordBatch) -> pa.RecordBatch:
     out = []
-    for words, around, main, parents, trees, bad in zip(*(batch.column(c).to_pylist() for c in ("words", "around", "main", "parents", "trees", "bad")), strict=True):
-        out.append(main_text(Page(list(zip(words, around, main, strict=True)), parents, trees), set(bad or ())))
+    for words, around, parents, trees, bad in zip(*(batch.column(c).to_pylist() for c in ("words", "around", "parents", "trees", "bad")), strict=True):
+        out.append(main_text(Page([(w, a, False) for w, a in zip(words, around, strict=True)], parents, trees), set(bad or ())))
     return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def parsed_pages(pages: DataFrame) -> DataFrame:
-    """Each page with its host, a hash of its words, its blocks and its elements (see ``Page``)."""
+    """Each page with its host, a hash of host and words, the hashes of its subtrees, and its article (see ``Page``)."""
     plain = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     kind = pages.schema["page_id"].dataType.simpleString()
-    shape = "host string, page long, words array<string>, around array<int>, main array<boolean>, parents array<int>, trees array<long>"
+    shape = "host string, page long, found array<long>, words array<string>, around array<int>, parents array<int>, trees array<long>"
     return plain.mapInArrow(per_batch(_parsed), f"page_id {kind}, url string, {shape}")
 
 
 def template_trees(parsed: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(host, page, bad): of each distinct page, by its words, the hashes of its subtrees that are templates of its host.
+    """(page, bad): of each distinct page, the hashes of those subtrees around its text that are templates of its host.
 
     A list holds subtrees of one page only. Subtrees meet the templates as rows of (host, hash), of which a
-    host may have any number; pages with the same words count once.
+    host may have any number; pages of a host with the same words count once.
     """
-    found = parsed.select("host", "page", F.explode(F.array_distinct("trees")).alias("tree")).filter("tree <> 0").distinct()
+    found = parsed.select("host", "page", F.explode("found").alias("tree")).distinct()
     often = found.groupBy("host", "tree").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
-    return found.join(often, ["host", "tree"], "left_semi").groupBy("host", "page").agg(F.collect_list("tree").alias("bad"))
+    around = parsed.select("host", "page", F.explode("trees").alias("tree")).distinct()
+    return around.join(often, ["host", "tree"], "left_semi").groupBy("page").agg(F.collect_list("tree").alias("bad"))
 
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -246,10 +258,12 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     each extracted; a subtree counts once for all pages of a host with the same words. Of several pages
     with an article, only the articles are returned; nested or repeated articles follow in page order.
     Other columns are not read. An empty table gives no rows. Pages are read once; what is written, met
-    with the templates and shuffled are their blocks, never the markup.
+    with the templates and shuffled are the blocks of their articles, never the markup.
     """
-    parsed = Scratch(pages.sparkSession, "pages").save(parsed_pages(pages))
-    joined = parsed.join(template_trees(parsed, least_pages), ["host", "page"], "left")
+    scratch = Scratch(pages.sparkSession, "pages")
+    parsed = scratch.save(parsed_pages(pages))
+    # written, so that Spark knows its size: pages are shuffled to meet it only where it is too large to send around
+    joined = parsed.join(scratch.save(template_trees(parsed, least_pages)), "page", "left")
     kind = pages.schema["page_id"].dataType.simpleString()
-    columns = ["page_id", "url", "words", "around", "main", "parents", "trees", "bad"]
+    columns = ["page_id", "url", "words", "around", "parents", "trees", "bad"]
     return joined.select(columns).mapInArrow(per_batch(_texts), f"page_id {kind}, url string, text string, n_chars long")
