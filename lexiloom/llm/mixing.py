@@ -214,15 +214,17 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     domains, prior, odds = fit(docs, labels, scratch)
     if not domains:
         domains, prior, odds = ["all"], [0.0], {}
-    body, p = fresh(docs, "_mix_text"), fresh(docs, "_mix_p")
+    body, p, weight = fresh(docs, "_mix_text"), fresh(docs, "_mix_p"), fresh(docs, "_mix_tokens")
     judged = with_posteriors(docs.withColumn(body, F.coalesce(F.col("text").cast("string"), F.lit(""))), body, p, domains, prior, odds)
-    members = scratch.save(judged.select(tokens(F.col(body)).alias("tokens"), F.col(p).alias("p")))
+    # written once: a condition on the rows that come out would else repeat the words of a text for each use of a posterior
+    judged = scratch.save(judged.withColumn(weight, tokens(F.col(body))).drop(body))
+    members = judged.select(F.col(weight).alias("tokens"), F.col(p).alias("p"))
     held = members.agg(*[F.sum(F.col("tokens") * F.col("p")[i]).alias(f"h{i}") for i in range(len(domains))]).first()
     wanted = goals(targets, domains, [held[f"h{i}"] or 0.0 for i in range(len(domains))])
     shift = fit_rates(members, wanted) if len(domains) > 1 else [0.0]
     names = {c: fresh(docs, c) for c in ("n_tokens", "posterior", "rate", "copies")}
     n = names["n_tokens"]
-    out = judged.withColumn(n, tokens(F.col(body)).cast("long"))
+    out = judged.withColumn(n, F.col(weight).cast("long"))
     out = out.withColumn(names["rate"], F.when(F.col(n) > 0, rate_of(F.col(p), shift)).otherwise(0.0))
     rate = F.col(names["rate"])
     spare = F.pmod(F.xxhash64("doc_id", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)

@@ -400,6 +400,12 @@ def test_mixing_has_no_python_in_its_plan(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_a_condition_on_copies_does_not_repeat_the_words_of_a_text(spark):
+    docs, labels = mixing_tables(spark, 20)
+    plan = mixing.mix(docs, labels).filter("copies > 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "lower(" not in plan
+
+
 # pages --------------------------------------------------------------------------------------------
 
 
