@@ -51,3 +51,22 @@ def test_missing_terms_may_be_manual(spark):
     loose = {(r.project_id, r.record_no) for r in G.unverified_terms(evidence, allow_missing_terms=True).collect()}
     assert {("p", 7), ("p", 8), ("p", 9), ("q", 0)} <= strict
     assert loose == {key for key in strict if key == ("p", 8) or (key[0] == "p" and key[1] % 2 == 0)}
+
+
+def test_candidate_occurrences_are_all_those_of_the_candidates(spark):
+    rows = [("p", i, f"b{i}", "pdf", 1, "f.pdf", "body", t, None, "approved") for i, t in enumerate([*TEXTS, "a fire bolt", "fire and fire", "Lone Word"])]
+    blocks = spark.createDataFrame([*rows, ("q", 0, "b0", "pdf", 1, "f.pdf", "title", "Moonfen", None, "approved")], tables(spark)[0].schema)
+    every = T.term_occurrences(blocks)
+    stats = T.term_stats(every)
+    found = T.candidate_occurrences(every)
+    assert sorted(map(tuple, T.term_stats(found).collect())) == sorted(map(tuple, stats.collect()))
+    kept = ["project_id", "key", "source_order", "segment", "start", "surface"]
+    wanted = every.join(stats.select(*T.KEY), T.KEY, "left_semi").select(kept)
+    assert 0 < found.count() < every.count()
+    assert sorted(map(tuple, found.select(kept).collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_runs_of_known_terms_carry_no_example(spark):
+    blocks, terms = tables(spark)
+    keyed = terms.withColumn("key", T.X.term_key(F.col("source_term")))
+    assert not {"example", "location", "_low", "_one"} & set(T.known_runs(blocks, keyed).columns)

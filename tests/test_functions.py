@@ -1,3 +1,6 @@
+import re
+import time
+
 from pyspark.sql import functions as F
 
 from lexiloom.functions import items as I
@@ -62,3 +65,30 @@ def test_page_ranges():
     for bad in ("0", "5-3", "2-10", ","):
         with pytest.raises(ValueError):
             parse_pages(bad, 9)
+
+
+def cut_one_by_one(text, variants):
+    """Keep variants removed longest first, by plain regular expressions."""
+    rest, hit = text, False
+    for v in sorted({v.strip() for v in variants} - {""}, key=lambda v: (-len(v), v)):
+        left = r"(?<![^\W])" if v[0].isalnum() else ""
+        right = r"(?![^\W])" if v[-1].isalnum() else ""
+        found = re.compile(left + re.escape(v) + right, re.I)
+        rest, hit = found.sub("", rest), hit or bool(found.search(rest))
+    return hit and not re.search("[A-Za-z]", rest)
+
+
+def test_latin_kept_by_sets_is_latin_kept_by_cutting(spark):
+    texts = ["The tide", "tide, the TIDE 12", "the lamp", "12", "", "don't the", "[ICON: the]", "fo##o the", "a_the", "the_", "é the", "C++ the"]
+    lists = [["the"], ["The", "tide", "tides"], ["don't", "the", "t"], ["[ICON:", "the"], ["##", "the", "foo"], ["the_"], ["C++", "the"], [" ", "12"], []]
+    rows = [(t, v) for t in texts for v in lists]
+    got = values(spark, rows, I.latin_fully_kept(F.col("a"), F.col("b")))
+    assert [g for (t, v), g in zip(rows, got, strict=True) if g != cut_one_by_one(t, v)] == []
+    assert sum(got) > 8
+
+
+def test_long_texts_are_not_cut_term_by_term(spark):
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(6000)]
+    start = time.monotonic()
+    assert values(spark, [(" ".join(words), words)], I.latin_fully_kept(F.col("a"), F.col("b"))) == [True]
+    assert time.monotonic() - start < 5
