@@ -280,7 +280,7 @@ def _open_links(keyed: DataFrame, nodes: DataFrame, sets: DataFrame, labels: Dat
     mixed = counted.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels")).filter("labels > 1").select("key", "major")
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     held = member.join(mixed, "key").join(nodes.select("node", "n_shingles"), "node").withColumn("band", band).withColumn("minor", (F.col("label") != F.col("major")).cast("int"))
-    held = scratch.save(held.select("key", "kind", "node", "label", "n_shingles", "band", "minor"))
+    held = scratch.save(held.select("key", "kind", "node", "label", "n_shingles", "band", "minor"), lean=True)
     full = lambda one: F.ceil(F.greatest(F.sum(one) / tile, F.sum(one * F.col("n_shingles")) / TILE_SHINGLES)).cast("int")
     counts = scratch.save(held.groupBy("key", "band").agg(full(F.lit(1)).alias("tiles"), full(F.col("minor")).alias("asking")))
     asking = counts.filter("asking > 0").select("key", F.col("band").alias("ask_band"), F.explode(F.expr("sequence(0, asking - 1)")).alias("ask_tile"))
@@ -323,24 +323,24 @@ def _classed(docs: DataFrame, percent: int = PERCENT, tile: int = TILE) -> DataF
     plain = plain.drop("whole")
     filled = sketch.filter("node is not null and doc_id is not null")
     # one row per class of equal sets; sig and keys follow from the set, so any copy's will do
-    nodes = scratch.save(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
+    nodes = scratch.save(filled.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("keys").alias("keys")), lean=True)
     keyed = nodes.select("node", F.posexplode("keys").alias("kind", "key"))
     met = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").select("key", "centre")
-    shared = scratch.save(keyed.join(met, "key"))
+    shared = scratch.save(keyed.join(met, "key"), lean=True)
     stars = shared.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    near = scratch.save(_near(stars, nodes, percent))
+    near = scratch.save(_near(stars, nodes, percent), lean=True)
     # texts of all classes that share a key with another, by any of their documents
     wanted = shared.groupBy("node").agg(F.first("centre").alias("_")).join(nodes.select("node", "doc_id"), "node").select("node", "doc_id")
-    sets = scratch.save(_texts_of(wanted, plain))
+    sets = scratch.save(_texts_of(wanted, plain), lean=True)
 
     best = near.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
-    tried = scratch.save(_links(best, sets))
+    tried = scratch.save(_links(best, sets), lean=True)
     labels = components(tried.filter("good"), scratch)
     open_stars = _between(near.join(tried.select("a", "b"), ["a", "b"], "left_anti").select("a", "b"), labels)
-    more = scratch.save(_links(open_stars, sets))
+    more = scratch.save(_links(open_stars, sets), lean=True)
     good = tried.filter("good").select("a", "b").union(more.filter("good").select("a", "b"))
     labels = components(good, scratch)
-    last = scratch.save(_open_links(shared.select("key", "kind", "node"), nodes, sets, labels, percent, tile, scratch))
+    last = scratch.save(_open_links(shared.select("key", "kind", "node"), nodes, sets, labels, percent, tile, scratch), lean=True)
     labels = components(good.union(last), scratch)
     scratch.drop(sets, shared, near)
 
