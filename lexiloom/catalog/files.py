@@ -132,9 +132,10 @@ register("write_glossary_tsv", _tsv, "SELECT project_id, status, CASE WHEN doc_i
 
 def _parts(s, d):
     path = fresh(s, "review")
-    W.write_parts(RE.render_source_review(V.blocks(s, d)), path)
+    blocks = V.blocks(s, d, "id", "source_type", "source_file", "page", "raw_text", "corrected_text")
+    W.write_parts(RE.render_source_review(blocks), path)
     lines = R.read_review_lines(s, path)
-    texts, problems = RE.parse_source_review(lines, V.blocks(s, d))
+    texts, problems = RE.parse_source_review(lines, blocks)
     return texts.select("project_id", "block_id", X.text_sha256("text").alias("hash"))
 
 
@@ -183,10 +184,11 @@ register(
 
 
 def _stream(s, df):
-    """The rows as a file stream of several micro-batches."""
+    """The rows as a file stream of two micro-batches, in files enough for every core to write and read some."""
     path = fresh(s, "stream-in")
-    df.repartition(4).write.parquet(path)
-    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    files = max(4, 2 * s.sparkContext.defaultParallelism)
+    df.repartition(files).write.parquet(path)
+    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", files // 2).parquet(path)
 
 
 def _run(s, stream, mode: str, sink) -> None:

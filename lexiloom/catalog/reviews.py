@@ -98,19 +98,29 @@ register(
 # --- Reading reviews back: every document is a project of its own ---------------------------
 
 
+def _numbered(rows):
+    """What reviews read of block rows, numbered within their documents."""
+    named = rows.withColumn("project_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string"))).select(
+        "project_id", "doc_id", "line", "id", "source_type", "source_file", "page", "block_type", "raw_text", "corrected_text"
+    )
+    return settle(scale.number_rows(named, ["project_id"], "line", [], "source_order"))
+
+
 def doc_segments(s, d):
-    seg = V.segments(s, d).drop("source_order").withColumn("project_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string")))
-    return settle(scale.number_rows(seg, ["project_id"], "line", [], "source_order"))
+    return V.segments(s, d, _numbered(V.block_rows(s, d).filter("project_id IS NOT NULL")))
 
 
 def doc_blocks(s, d):
-    rows = V.block_rows(s, d).withColumn("project_id", F.concat(F.lit("doc"), F.col("doc_id").cast("string")))
-    return settle(scale.number_rows(rows, ["project_id"], "line", [], "source_order"))
+    return _numbered(V.block_rows(s, d))
 
 
 def numbered_lines(parts):
-    split = settle(parts).select("project_id", "source_order", F.posexplode(F.split("part", "\n")).alias("i", "line"))
-    return settle(scale.number_rows(split, ["project_id"], "source_order", ["i"], "line_no"))
+    """Lines of parts with their numbers: the lines of each part are counted, so parts move once, and as a whole."""
+    lines = F.split("part", "\n")
+    counted = parts.select("project_id", "source_order", "part", F.when(F.col("part").isNull(), 0).otherwise(F.size(lines)).alias("n"))
+    placed = scale.running_total(counted, ["project_id"], "source_order", [], F.col("n"), "last")
+    split = placed.select("project_id", "source_order", (F.col("last") - F.col("n")).alias("before"), F.posexplode(lines).alias("i", "line"))
+    return settle(split.select("project_id", "source_order", "line", (F.col("before") + F.col("i") + 1).alias("line_no")))
 
 
 def edited(lines):
@@ -153,7 +163,7 @@ register("source_review_problems", lambda s, d: R.first_problem(source_review(s,
 
 def translation_review(s, d):
     seg = doc_segments(s, d)
-    return R.parse_translation_review(edited(numbered_lines(R.render_translation_review(seg, F.col("translated_text")))), seg)
+    return R.parse_translation_review(edited(numbered_lines(settle(R.render_translation_review(seg, F.col("translated_text"))))), seg)
 
 
 register(
@@ -201,9 +211,14 @@ def edits(rows):
     return kept.unionByName(new)
 
 
-def reviewed_rows(s, d):
+def _edited(s, d):
+    """Review rows and violations; the rows are not stored, for flows that read them once."""
     rows = V.blocks(s, d)
-    flat, problems = B.apply_review_edits(rows, edits(rows))
+    return B.apply_review_edits(rows, edits(rows))
+
+
+def reviewed_rows(s, d):
+    flat, problems = _edited(s, d)
     return settle(flat), problems
 
 
@@ -272,7 +287,7 @@ register(
 )
 register(
     "review_summary",
-    lambda s, d: B.review_summary(reviewed_rows(s, d)[0], unordered_issues(s, d)),
+    lambda s, d: B.review_summary(_edited(s, d)[0], unordered_issues(s, d)),
     f"""SELECT e.project_id, blocks, included, excluded, manual, changed, warnings, layout_warnings, issues FROM (
       SELECT project_id, count(*) AS blocks, count(*) FILTER (NOT excluded) AS included, count(*) FILTER (excluded) AS excluded, count(*) FILTER (manual) AS manual,
         count(*) FILTER (manual OR {_TEXT} <> raw_text) AS changed, sum(len(warnings))::BIGINT AS warnings,

@@ -167,7 +167,9 @@ def _anchored(lines: DataFrame, want: DataFrame, placed: Column, skip: Column, s
         "project_id", "line_no", F.col("line").rlike(K.BLOCK_MARKER).alias("opens"),
         F.when(F.col("line").rlike(K.BLOCK_MARKER), name(K.BLOCK_MARKER)).otherwise(name(K.END_MARKER)).alias("block_id"),
     )
-    beside = lambda by, out: lines.select("project_id", (F.col("line_no") + by).alias("line_no"), F.col("line").alias(out))
+    # of the lines beside a marker only place lines and the mark of the original decide
+    notes = lines.filter(F.startswith("line", F.lit("[PAGE ")) | F.startswith("line", F.lit("[SOURCE ")) | (F.col("line") == "[ORIGINAL]"))
+    beside = lambda by, out: notes.select("project_id", (F.col("line_no") + by).alias("line_no"), F.col("line").alias(out))
     known = marks.join(want, ["project_id", "block_id"])
     found = known.filter("opens").join(beside(1, "before"), ["project_id", "line_no"], "left").join(beside(-1, "after"), ["project_id", "line_no"], "left")
     openings = settle(found.select("project_id", "ordinal", "line_no", "before", F.coalesce(placed, F.lit(False)).alias("placed")))
@@ -191,12 +193,17 @@ def _anchored(lines: DataFrame, want: DataFrame, placed: Column, skip: Column, s
 
 
 def _spread_over(lines: DataFrame, blocks: DataFrame, span: int, *more: str) -> DataFrame:
-    """Lines with ``own``, the block that opened last, its ends and ``more`` of it; null before the first."""
+    """Lines with ``own``, the block that opened last, its ends and ``more`` of it; null before the first.
+
+    An opening is a row of its own just before its line, so the lines are dealt out once, without a join.
+    """
     own = blocks.filter(F.col("open_no").isNotNull()).select(
-        "project_id", F.col("open_no").alias("line_no"), F.struct("ordinal", "block_id", "open_no", "end_no", *more).alias("_own")
+        "project_id", (F.col("open_no") * 2).alias("_at"), F.struct("ordinal", "block_id", "open_no", "end_no", *more).alias("_own")
     )
-    rows = settle(lines.join(own, ["project_id", "line_no"], "left"))
-    return settle(scale.carry_last(rows, ["project_id"], "line_no", F.col("_own"), "own", F.col("_own").isNotNull(), inclusive=True, span=span).drop("_own"))
+    rows = lines.select("project_id", "line", (F.col("line_no") * 2 + 1).alias("_at")).unionByName(own, allowMissingColumns=True)
+    carried = scale.carry_last(rows, ["project_id"], "_at", F.col("_own"), "own", F.col("_own").isNotNull(), inclusive=True, span=2 * span)
+    at_line = carried.filter(F.col("_at") % 2 == 1)
+    return settle(at_line.select("project_id", ((F.col("_at") - 1) / 2).cast("long").alias("line_no"), "line", "own"))
 
 
 def _blank() -> Column:
@@ -240,10 +247,19 @@ def _tail_problems(between: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
-def _body(rows: DataFrame) -> DataFrame:
-    """Text of each accepted block from its body lines (bounded by the block itself)."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda p: p["line"])
-    return rows.groupBy("project_id", "block_id").agg(X.strip(F.array_join(listed, "\n")).alias("text"))
+def _body(inside: DataFrame, good: DataFrame) -> DataFrame:
+    """``lines`` and ``ordinals`` of each block in ``good``; its body lines (bounded by the block itself) move once."""
+    bodies = inside.groupBy("project_id", F.col("own.block_id").alias("block_id")).agg(
+        F.array_sort(F.collect_list(F.struct("line_no", "line", F.col("own.ordinal").alias("ordinal")))).alias("_rows")
+    )
+    kept = good.groupBy("project_id", "block_id").agg(F.collect_list("ordinal").alias("ordinals"))
+    own = lambda rows: F.filter(rows, lambda r: F.array_contains(F.col("ordinals"), r["ordinal"]))
+    listed = F.transform(own(F.coalesce("_rows", F.array())), lambda r: r["line"])
+    return kept.join(bodies, ["project_id", "block_id"], "left").select("project_id", "block_id", "ordinals", listed.alias("lines"))
+
+
+def _text() -> Column:
+    return X.strip(F.array_join("lines", "\n"))
 
 
 def first_problem(problems: DataFrame) -> DataFrame:
@@ -256,15 +272,15 @@ def first_problem(problems: DataFrame) -> DataFrame:
 def parse_source_review(lines: DataFrame, expected: DataFrame, span: int = scale.SPAN) -> tuple[DataFrame, DataFrame]:
     """(texts, problems) of an edited source review.
 
-    ``lines``: project_id, line_no, line. ``expected``: project_id, source_order (1..n), id,
-    source_type, page, source_file. A damaged block is a problem of its own and costs no other its
+    ``lines``: project_id, line_no, line, read several times, so best a stored table. ``expected``:
+    project_id, source_order (1..n), id, source_type, page, source_file. A damaged block is a problem of its own and costs no other its
     text; markers that are not the next own marker of a block are text of the block they stand in.
     """
     want = expected.select(
         "project_id", F.col("source_order").alias("ordinal"), F.col("id").alias("block_id"), _source_locator().alias("want_place")
     )
     own_place = F.col("before") == F.col("want_place")
-    content = settle(lines.filter(F.col("line_no") > 1))
+    content = lines.filter(F.col("line_no") > 1)
     blocks = _anchored(content, want, own_place, F.lit(0), span)
     rows = _spread_over(content, blocks, span)
     places = blocks.filter(own_place).select("project_id", (F.col("open_no") - 1).alias("line_no"))
@@ -279,14 +295,14 @@ def parse_source_review(lines: DataFrame, expected: DataFrame, span: int = scale
         .when(F.col("_text").isNull(), "empty_text"),
     ).select("project_id", "ordinal", "block_id", "code"))
     good = judged.filter(F.col("code").isNull()).select("project_id", "ordinal", "block_id")
-    body = inside.select("project_id", F.col("own.ordinal").alias("ordinal"), "line_no", "line").join(good, ["project_id", "ordinal"])
+    texts = _body(inside, good).filter(F.size("lines") > 0).select("project_id", "block_id", _text().alias("text"))
     totals = want.groupBy("project_id").agg(F.max("ordinal").alias("total"))
     problems = (
         judged.filter(F.col("code").isNotNull())
         .unionByName(_header_problems(lines, K.SOURCE_REVIEW_HEADERS).select("project_id", "ordinal", "block_id", "code"))
         .unionByName(_tail_problems(between, totals))
     )
-    return _body(body), problems
+    return texts, problems
 
 
 def parse_translation_review(lines: DataFrame, segments: DataFrame, span: int = scale.SPAN) -> tuple[DataFrame, DataFrame]:
@@ -295,12 +311,18 @@ def parse_translation_review(lines: DataFrame, segments: DataFrame, span: int =
     ``segments``: project_id, source_order (1..n), source_block_id, page, source_file, source_text.
     Damage is handled as in ``parse_source_review``.
     """
-    want = settle(locator_change(segments, span).select(
+    # a source text is known by its digest and its number of lines; it does not move itself
+    digest = lambda text: F.unhex(F.sha2(text, 256))
+    told = segments.select(
+        "project_id", "source_order", "source_block_id", "page", "source_file",
+        digest(F.col("source_text")).alias("digest"), F.size(F.split("source_text", "\n")).alias("n"),
+    )
+    want = settle(locator_change(told, span).select(
         "project_id", F.col("source_order").alias("ordinal"), F.col("source_block_id").alias("block_id"),
-        F.col("locator").alias("want_place"), "changed", "source_text", F.size(F.split("source_text", "\n")).alias("n"),
+        F.col("locator").alias("want_place"), "changed", "digest", "n",
     ))
-    content = settle(lines.filter(F.col("line_no") > 1))
-    blocks = _anchored(content, want.drop("source_text"), F.col("after") == "[ORIGINAL]", F.col("n") + 2, span)
+    content = lines.filter(F.col("line_no") > 1)
+    blocks = _anchored(content, want.drop("digest"), F.col("after") == "[ORIGINAL]", F.col("n") + 2, span)
     own_place = F.col("changed") & (F.col("before") == F.col("want_place"))
     rows = _spread_over(content, blocks, span, "n").withColumn("offset", F.col("line_no") - F.col("own.open_no")).withColumn("ordinal", F.col("own.ordinal"))
     places = blocks.filter(own_place).select("project_id", (F.col("open_no") - 1).alias("line_no"))
@@ -309,23 +331,23 @@ def parse_translation_review(lines: DataFrame, segments: DataFrame, span: int =
     at = lambda n: F.max(F.when(F.col("offset") == n, F.col("line")))
     seen = rows.filter(F.col("offset") <= F.col("own.n") + 2).groupBy("project_id", "ordinal").agg(
         at(1).alias("o_mark"), at(F.col("own.n") + 2).alias("t_mark"),
-        F.transform(F.array_sort(F.collect_list(F.when(original, F.struct("line_no", "line")))), lambda p: p["line"]).alias("_source"),
+        digest(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(original, F.struct("line_no", "line")))), lambda p: p["line"]), "\n")).alias("_source"),
     )
-    judged = settle(_judged(blocks, between, span).join(seen, ["project_id", "ordinal"], "left").join(want.select("project_id", "ordinal", "source_text"), ["project_id", "ordinal"]).withColumn(
+    judged = settle(_judged(blocks, between, span).join(seen, ["project_id", "ordinal"], "left").join(want.select("project_id", "ordinal", F.col("digest").alias("_digest")), ["project_id", "ordinal"]).withColumn(
         "code",
         F.when(F.col("open_no").isNull() & (F.col("place_left") | ~F.col("changed")), "block_order_changed")
         .when(F.col("changed") & (~F.coalesce(own_place, F.lit(False)) | F.col("intruded")), "location_changed")
         .when(F.col("intruded"), "block_order_changed")
         .when(~F.col("o_mark").eqNullSafe(F.lit("[ORIGINAL]")), "original_marker_changed")
-        .when(~F.array_join("_source", "\n").eqNullSafe(F.col("source_text")), "source_changed")
+        .when(~F.col("_source").eqNullSafe(F.col("_digest")), "source_changed")
         .when(~F.col("t_mark").eqNullSafe(F.lit("[TRANSLATION]")), "translation_marker_changed")
         .when(F.col("end_no").isNull(), "end_marker_changed"),
     ).select("project_id", "ordinal", "block_id", "code"))
     good = judged.filter(F.col("code").isNull()).select("project_id", "ordinal", "block_id")
     inside = rows.filter((F.col("offset") >= F.col("own.n") + 3) & (F.col("line_no") < F.col("own.end_no")))
-    body = inside.select("project_id", "ordinal", "line_no", "line").join(good, ["project_id", "ordinal"])
-    empty = good.select("project_id", "block_id").join(body.select("project_id", "block_id").distinct(), ["project_id", "block_id"], "left_anti")
-    texts = _body(body).unionByName(empty.withColumn("text", F.lit("")))
+    # an accepted block without body lines has an empty translation
+    each = F.when(F.size("lines") > 0, F.array(_text())).otherwise(F.array_repeat(F.lit(""), F.size("ordinals")))
+    texts = _body(inside, good).select("project_id", "block_id", F.explode(each).alias("text"))
     totals = want.groupBy("project_id").agg(F.max("ordinal").alias("total"))
     problems = (
         judged.filter(F.col("code").isNotNull())

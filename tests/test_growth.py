@@ -39,3 +39,51 @@ def test_kept_latin_is_judged_by_all_words(spark):
     df = spark.createDataFrame(rows, "n int, text string, variants array<string>, kept boolean")
     got = df.select("n", "kept", I.latin_fully_kept(F.col("text"), F.col("variants")).alias("got")).collect()
     assert [(r.n, r.got) for r in got] == [(r.n, r.kept) for r in got]
+
+
+def _stored_texts(spark, monkeypatch, run):
+    """The tables that ``run`` stores with all lines or texts (``behind``: only lines between blocks)."""
+    from lexiloom.operators import rendering as R
+
+    stored, settle = [], R.settle
+
+    def watch(df):
+        stored.append(df.columns)
+        return settle(df)
+
+    monkeypatch.setattr(R, "settle", watch)
+    run(R)
+    return [c for c in stored if {"line", "source_text", "part"} & set(c) and "behind" not in c]
+
+
+def test_a_review_is_read_with_its_text_stored_once(spark, monkeypatch):
+    lines = [("p", i + 1, x) for i, x in enumerate(["[[REVIEW version=2]]", "[SOURCE a.png]", "[BLOCK b1]", "one", "", "two", "[[END b1]]", "", "[SOURCE a.png]", "[BLOCK b2]", "three", "[[END b2]]"])]
+    lines = spark.createDataFrame(lines, "project_id string, line_no long, line string")
+    blocks = spark.createDataFrame([("p", i, f"b{i}", "image", None, "a.png") for i in (1, 2)], "project_id string, source_order long, id string, source_type string, page long, source_file string")
+    got = {}
+    stored = _stored_texts(spark, monkeypatch, lambda R: got.update({r.block_id: r.text for r in R.parse_source_review(lines, blocks, span=4)[0].collect()}))
+    assert got == {"b1": "one\n\ntwo", "b2": "three"} and len(stored) == 1
+
+
+def test_a_translation_review_tells_changed_sources_by_digest(spark, monkeypatch):
+    text = ["[[TRANSLATION_REVIEW version=1]]", "[SOURCE a.png]"]
+    for i, source in ((1, ["a", "b"]), (2, ["c"]), (3, ["d"])):
+        text += [f"[BLOCK b{i}]", "[ORIGINAL]", *source, "[TRANSLATION]", *([f"new {i}"] if i < 3 else []), f"[[END b{i}]]"]
+    lines = spark.createDataFrame([("p", i + 1, x) for i, x in enumerate(text)], "project_id string, line_no long, line string")
+    segments = spark.createDataFrame([("p", 1, "b1", None, "a.png", "a\nb"), ("p", 2, "b2", None, "a.png", "other"), ("p", 3, "b3", None, "a.png", "d")], "project_id string, source_order long, source_block_id string, page long, source_file string, source_text string")
+    got = []
+
+    def run(R):
+        texts, problems = R.parse_translation_review(lines, segments, span=4)
+        got.extend([{r.block_id: r.text for r in texts.collect()}, [(r.block_id, r.code) for r in problems.collect()]])
+
+    stored = _stored_texts(spark, monkeypatch, run)
+    assert got == [{"b1": "new 1", "b3": ""}, [("b2", "source_changed")]] and len(stored) == 1
+
+
+def test_parts_are_numbered_by_their_lines(spark):
+    from lexiloom.catalog.reviews import numbered_lines
+
+    parts = spark.createDataFrame([("p", 0, "head\n"), ("p", 1, "a\nb\n"), ("p", 5000, ""), ("p", 5001, "c"), ("q", 3, "x")], "project_id string, source_order long, part string")
+    got = sorted((r.project_id, r.line_no, r.line) for r in numbered_lines(parts).collect())
+    assert got == [("p", 1, "head"), ("p", 2, ""), ("p", 3, "a"), ("p", 4, "b"), ("p", 5, ""), ("p", 6, ""), ("p", 7, "c"), ("q", 1, "x")]
