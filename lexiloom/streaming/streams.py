@@ -34,7 +34,8 @@ def new_blocks_batch(path: str, handle: Callable[[DataFrame], None] | None = Non
         spark = batch.sparkSession
         keyed = batch.withColumn("content_sha256", X.text_sha256(Q.effective_text()))
         keys = ["project_id", "id", "content_sha256"]
-        fresh = keyed.dropDuplicates(keys)
+        # dealt by key first, so that rows are sorted once, where they are compared
+        fresh = keyed.repartition(*keys).dropDuplicates(keys)
         if number > 0:
             earlier = spark.read.parquet(path).filter(F.col("batch") < number)
             fresh = fresh.join(earlier.select(*keys), keys, "left_anti")
