@@ -87,3 +87,20 @@ def test_parts_are_numbered_by_their_lines(spark):
     parts = spark.createDataFrame([("p", 0, "head\n"), ("p", 1, "a\nb\n"), ("p", 5000, ""), ("p", 5001, "c"), ("q", 3, "x")], "project_id string, source_order long, part string")
     got = sorted((r.project_id, r.line_no, r.line) for r in numbered_lines(parts).collect())
     assert got == [("p", 1, "head"), ("p", 2, ""), ("p", 3, "a"), ("p", 4, "b"), ("p", 5, ""), ("p", 6, ""), ("p", 7, "c"), ("q", 1, "x")]
+
+
+def test_a_generator_gets_even_tasks(spark):
+    from lexiloom.session import finer
+
+    one = spark.range(0, 100, 1, 1)
+    assert finer(one, 200) is one
+    cut = finer(one, 10)
+    assert cut.rdd.getNumPartitions() == 10 and cut.count() == 100
+
+
+def test_a_replayed_stream_has_files_for_every_core(spark, monkeypatch, tmp_path):
+    from lexiloom.catalog import files
+
+    monkeypatch.setattr(files, "fresh", lambda s, name: str(tmp_path / name))
+    stream = files._stream(spark, spark.range(1000))
+    assert stream.isStreaming and len(list((tmp_path / "stream-in").glob("part-*"))) == 2 * spark.sparkContext.defaultParallelism
