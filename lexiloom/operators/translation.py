@@ -18,10 +18,14 @@ from lexiloom.session import settle
 
 def term_index(termbase: DataFrame) -> DataFrame:
     """One row per active variant, with its entry as ``e``."""
-    active = termbase.filter(F.col("status").isin("approved", "keep"))
-    listed = active.withColumn("variant", F.explode(I.term_variants(F.col("source_term"), F.col("variants"))))
     entry = F.struct("candidate_id", "source_term", "translation", "status", "variant")
-    return listed.select("project_id", "variant", entry.alias("e"))
+    return active_variants(termbase).select("project_id", "variant", entry.alias("e"))
+
+
+def active_variants(termbase: DataFrame) -> DataFrame:
+    """The rows of approved and kept terms, once for each ``variant``."""
+    active = termbase.filter(F.col("status").isin("approved", "keep"))
+    return active.withColumn("variant", F.explode(I.term_variants(F.col("source_term"), F.col("variants"))))
 
 
 def term_hits(texts: DataFrame, termbase: DataFrame) -> DataFrame:
@@ -30,11 +34,13 @@ def term_hits(texts: DataFrame, termbase: DataFrame) -> DataFrame:
     Whole runs meet whole variants (``phrases``), so a row lists what is found and nothing unproven.
     What a text can hit is bounded by the text.
     """
-    texts = settle(texts)  # the look-up reads them several times
-    found = phrases.variants_in_texts(texts.select("project_id", "text_id", "text"), term_index(termbase))
-    hits = found.groupBy("project_id", "text_id").agg(F.sort_array(F.collect_set("e")).alias("hits"))
-    kind = "array<struct<candidate_id:string,source_term:string,translation:string,status:string,variant:string>>"
-    return texts.join(hits, ["project_id", "text_id"], "left").withColumn("hits", F.coalesce("hits", F.array().cast(kind)))
+    return index_hits(texts, term_index(termbase))
+
+
+def index_hits(texts: DataFrame, index: DataFrame) -> DataFrame:
+    """Texts with ``hits``: the entries ``e`` of ``index`` (project_id, variant, e) that occur in them, each once."""
+    # the look-up reads the texts several times
+    return phrases.with_variants(settle(texts), index).withColumnRenamed("found", "hits")
 
 
 def relevant_terms(texts: DataFrame, termbase: DataFrame) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom import constants as K
 from lexiloom.functions import items as I
 from lexiloom.functions import text as X
-from lexiloom.operators.translation import term_hits
+from lexiloom.operators.translation import active_variants, index_hits
 
 # code: severity
 RULES = {
@@ -46,9 +48,9 @@ def _items(code: str, text: Column) -> Column:
 
 
 def with_items(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (text, target) with what the rules look at many times: the items of both sides and the lower-case target."""
+    """``pairs`` (text, target) with what the rules look at many times: the items of both sides, the lower-case target and the scripts."""
     items = {f"_{code}_{side}": _items(code, F.col(side)) for code in PRESERVED for side in ("text", "target")}
-    return pairs.withColumns({**items, "_low": F.lower("target")})
+    return pairs.withColumns({**items, "_low": F.lower("target"), "_latin": F.col("text").rlike(K.LATIN), "_hangul": F.col("target").rlike(K.HANGUL)})
 
 
 def preserved_findings(source: Column) -> list[Column]:
@@ -61,23 +63,36 @@ def preserved_findings(source: Column) -> list[Column]:
     return found
 
 
-def term_findings(low: Column) -> list[Column]:
-    """Approved terms need their translation once; keep terms one of the variants found. ``low``: the lower-case target."""
-    hits = F.col("hits")
-    named = lambda expected: F.contains(low, F.lower(X.strip(expected)))
-    approved = F.array_distinct(
-        F.transform(
-            F.filter(hits, lambda h: (h["status"] == "approved") & ~named(h["translation"])),
-            lambda h: F.struct(h["candidate_id"].alias("id"), h["source_term"].alias("term")),
-        )
-    )
-    kept_ids = lambda keep: F.transform(F.filter(keep, lambda h: named(h["variant"])), lambda h: h["candidate_id"])
-    without = lambda keep, ids: F.array_distinct(
-        F.transform(
-            F.filter(keep, lambda h: ~F.array_contains(ids, h["candidate_id"])),
-            lambda h: F.struct(h["candidate_id"].alias("id"), h["source_term"].alias("term")),
-        )
+def qa_index(termbase: DataFrame) -> DataFrame:
+    """One row per active variant, with an entry ``e`` that holds what the rules ask of each hit, made once a term.
+
+    ``expected``: what the lower-case target must contain. ``signs``: whether a kept variant has other signs than one word's,
+    ``open``: whether it has them at both ends. Hits of an approved term are one, whichever variant was met.
+    """
+    kept = F.col("status") == "keep"
+    own = lambda column: F.when(kept, column)
+    entry = F.struct(
+        "candidate_id", "source_term", "status", F.lower(X.strip(F.when(kept, F.col("variant")).otherwise(F.col("translation")))).alias("expected"),
+        own(F.col("variant")).alias("variant"), own(~I.single_word(X.strip("variant"))).alias("signs"), own(I.open_variant(X.strip("variant"))).alias("open"),
     )
+    return active_variants(termbase).select("project_id", "variant", entry.alias("e"))
+
+
+def _expected(hit: Column, field: str) -> Column:
+    return F.lower(X.strip(hit[field]))
+
+
+def term_findings(low: Column, expected: Callable[[Column, str], Column] = _expected) -> list[Column]:
+    """Approved terms need their translation once; keep terms one of the variants found. ``low``: the lower-case target.
+
+    ``hits`` are sorted by term; ``expected`` gives what a hit's field (translation or variant) asks of the target.
+    """
+    hits = F.col("hits")
+    named = lambda h, field: F.contains(low, expected(h, field))
+    terms = lambda found: I.each_once(F.transform(found, lambda h: F.struct(h["candidate_id"].alias("id"), h["source_term"].alias("term"))))
+    approved = terms(F.filter(hits, lambda h: (h["status"] == "approved") & ~named(h, "translation")))
+    kept_ids = lambda keep: F.transform(F.filter(keep, lambda h: named(h, "variant")), lambda h: h["candidate_id"])
+    without = lambda keep, ids: terms(F.filter(keep, lambda h: ~F.array_contains(ids, h["candidate_id"])))
     # the ids found are listed once a text, not once for every hit
     lost = X.once(F.filter(hits, lambda h: h["status"] == "keep"), lambda keep: X.once(kept_ids(keep), lambda ids: without(keep, ids)))
     return [
@@ -86,19 +101,27 @@ def term_findings(low: Column) -> list[Column]:
     ]
 
 
+def may_be_kept(source: Column, keep: Column) -> Column:
+    """False where ``latin_fully_kept`` is sure to be: a Latin word, the first or a later one, is in no kept hit, and none makes new words."""
+    low = X.fold(source)
+    first = lambda w: F.exists(keep, lambda h: h["open"] | F.when(h["signs"], F.contains(X.fold(h["expected"]), w)).otherwise(X.fold(h["expected"]) == w))
+    later = F.size(F.array_except(I.find_all(low, I.LATIN_WORD), F.transform(keep, lambda h: X.fold(h["expected"])))) == 0
+    return X.once(F.regexp_extract(low, I.LATIN_WORD, 0), first) & (F.exists(keep, lambda h: h["signs"]) | later)
+
+
 def script_findings(source: Column, target: Column, language: str) -> list[Column]:
     """At most one of: kept on purpose, left untranslated, wrong script."""
-    latin = source.rlike(K.LATIN)
-    variants = F.transform(F.filter("hits", lambda h: h["status"] == "keep"), lambda h: h["variant"])
-    kept = latin & ~target.rlike(K.HANGUL) & I.latin_fully_kept(source, variants)
-    same = latin & (target == source)
+    keep = F.filter("hits", lambda h: h["status"] == "keep")
+    variants = F.transform(keep, lambda h: h["variant"])
+    kept = ~F.col("_hangul") & may_be_kept(source, keep) & I.latin_fully_kept(source, variants)
     script = TARGET_SCRIPT.get(language.lower())
-    wrong = (latin & ~target.rlike(script)) if script else F.lit(False)
-    return [
+    wrong = F.lit(False) if not script else ~F.col("_hangul") if script == K.HANGUL else ~target.rlike(script)
+    found = (
         F.when(kept, F.array(_finding("keep_rule_applied", F.lit(None))))
-        .when(same, F.array(_finding("unchanged_translation", F.lit(None))))
+        .when(target == source, F.array(_finding("unchanged_translation", F.lit(None))))
         .when(wrong, F.array(_finding("target_script_missing", F.lit(None))))
-    ]
+    )
+    return [F.when(F.col("_latin"), found)]
 
 
 def run_translation_qa(pairs: DataFrame, termbase: DataFrame, language: str = "ko") -> DataFrame:
@@ -107,13 +130,13 @@ def run_translation_qa(pairs: DataFrame, termbase: DataFrame, language: str = "k
         "project_id", F.col("block_id").alias("text_id"), F.col("source_text").alias("text"),
         F.col("translated_text").alias("target"),
     )
-    with_terms = with_items(term_hits(texts, termbase))
+    with_terms = with_items(index_hits(texts, qa_index(termbase)))
     source, target = F.col("text"), F.col("target")
     rules = [
         _one("replacement_character", F.contains(target, F.lit(K.REPLACEMENT_CHAR))),
-        _one("unresolved_illegible", F.contains(F.upper(target), F.lit(K.ILLEGIBLE))),
+        _one("unresolved_illegible", F.contains(target, F.lit("[")) & F.contains(F.upper(target), F.lit(K.ILLEGIBLE))),
         *preserved_findings(source),
-        *term_findings(F.col("_low")),
+        *term_findings(F.col("_low"), lambda hit, _: hit["expected"]),
         *script_findings(source, target, language),
     ]
     blank = F.coalesce(target, F.lit("")) == ""

@@ -104,3 +104,53 @@ def test_a_replayed_stream_has_files_for_every_core(spark, monkeypatch, tmp_path
     monkeypatch.setattr(files, "fresh", lambda s, name: str(tmp_path / name))
     stream = files._stream(spark, spark.range(1000))
     assert stream.isStreaming and len(list((tmp_path / "stream-in").glob("part-*"))) == 2 * spark.sparkContext.defaultParallelism
+
+
+def _base(spark, rows):
+    return spark.createDataFrame(rows, "project_id string, candidate_id string, source_term string, translation string, status string, variants array<string>")
+
+
+def _qa(spark, pairs, base):
+    pairs = spark.createDataFrame(pairs, "project_id string, block_id string, source_text string, translated_text string")
+    return sorted((r.block_id, r.code, r.detail or "") for r in TQ.run_translation_qa(pairs, base).collect())
+
+
+def test_texts_are_cut_into_words_once(spark, monkeypatch):
+    cuts, tokens = [], phrases.text_tokens
+
+    def watch(texts):
+        cuts.append(texts)
+        return tokens(texts)
+
+    monkeypatch.setattr(phrases, "text_tokens", watch)
+    texts = spark.createDataFrame([("p", "1", "The [ICON: star] shines (icon)"), ("p", "2", "icon: (icons"), ("p", "2", "icon: (icons"), ("q", "1", "[icon:"), (None, "3", "icon"), ("p", None, "icon")], "project_id string, text_id string, text string")
+    words = [("p", 1, "star"), ("p", 2, "[ICON:"), ("p", 3, "(icon"), ("p", 4, "Icon"), ("p", 4, "icon"), ("p", 5, "STAR]"), ("p", 6, "<star")]
+    found = phrases.variants_in_texts(texts, spark.createDataFrame(words, "project_id string, e int, variant string"))
+    assert sorted((r.text_id, r.e) for r in found.collect()) == [("1", 1), ("1", 2), ("1", 3), ("1", 4), ("1", 5), ("2", 4), ("2", 4)] and len(cuts) == 1
+
+
+def test_blocks_that_come_twice_are_checked(spark):
+    base = _base(spark, [("p", "t1", "Icon", "아이콘", "approved", ["[icon:"]), ("p", "t2", "icon", "", "keep", ["(icon"])])
+    same = ("p", "b", "an (icon of [icon: x]", "그림 [icon: x]")
+    once, twice = _qa(spark, [same], base), _qa(spark, [same, same], base)
+    assert twice == sorted(once * 2) and ("b", "approved_term_missing", "Icon") in once
+
+
+def test_hits_of_an_approved_term_are_one(spark):
+    base = _base(spark, [("p", "t1", "Fire", " 불 ", "approved", ["fire", "fires", "fire bolt"]), ("p", "t2", "ice", None, "approved", []), ("p", "t3", "Bolt", "", "keep", ["bolts"])])
+    hits = TQ.index_hits(spark.createDataFrame([("p", "b", "Fire, fires and a fire bolt; ice")], "project_id string, text_id string, text string"), TQ.qa_index(base)).first().hits
+    assert [(h.candidate_id, h.expected, h.variant) for h in hits] == [("t1", "불", None), ("t2", None, None), ("t3", "bolt", "Bolt")]
+    pairs = [("p", "1", "Fire, fires, fire bolt; ice", "화염 BOLT"), ("p", "2", "fires", "불들"), ("p", "3", "bolts", "화살")]
+    assert _qa(spark, pairs, base) == [("1", "approved_term_missing", "Fire"), ("3", "keep_term_changed", "Bolt")]
+
+
+def test_kept_texts_are_told_early_as_by_the_whole_rule(spark):
+    words = ["alpha", "beta", "[gamma]", "(delta", "-", "a_b", "x_", "ſun", "the cat", "12", "ΣΟΦΟΣ"]
+    base = _base(spark, [("p", f"t{i}", w, "", "keep", [w.upper()]) for i, w in enumerate(words)])
+    texts = ["Alpha beta", "alpha other", "other alpha", "[gamma] beta", "gamma", "al-pha", "alpha-beta", "a_b alpha", "x_y", "x_ alpha", "Sun", "the cat", "cat the", "12 alpha", "12", "σοφος alpha", "(delta) alpha", "(deltas", ""]
+    given = spark.createDataFrame([("p", str(i), t) for i, t in enumerate(texts)], "project_id string, text_id string, text string")
+    hit = TQ.index_hits(given, TQ.qa_index(base))
+    kept = I.latin_fully_kept(F.col("text"), F.transform("hits", lambda h: h["variant"]))
+    rows = hit.filter(F.col("text").rlike("[A-Za-z]")).select("text", TQ.may_be_kept(F.col("text"), F.col("hits")).alias("may"), kept.alias("kept")).collect()
+    assert sum(r.kept for r in rows) > 6 and all(r.may for r in rows if r.kept)
+    assert {r.text for r in rows if not r.may and not r.kept} >= {"alpha other", "other alpha", "gamma", "cat the"}
