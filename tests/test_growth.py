@@ -154,3 +154,23 @@ def test_kept_texts_are_told_early_as_by_the_whole_rule(spark):
     rows = hit.filter(F.col("text").rlike("[A-Za-z]")).select("text", TQ.may_be_kept(F.col("text"), F.col("hits")).alias("may"), kept.alias("kept")).collect()
     assert sum(r.kept for r in rows) > 6 and all(r.may for r in rows if r.kept)
     assert {r.text for r in rows if not r.may and not r.kept} >= {"alpha other", "other alpha", "gamma", "cat the"}
+
+
+def test_entries_reach_a_part_once_however_many_texts_have_the_word(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "PART_BITS", 5)
+    texts = spark.range(0, 1000, 1, 3).selectExpr("concat('p', id % 2) project_id", "id text_id", "concat('Fire and ice ', id % 10, if(id % 100 = 7, ' lone', '')) text", "id * 2 other")
+    variants = spark.createDataFrame([("p0", 1, "fire"), ("p0", 2, "(ice"), ("p0", 3, "3"), ("p1", 4, "ICE"), ("p1", 5, "3"), ("p1", 6, "lone"), ("p1", 7, "7 lone")], "project_id string, e int, variant string")
+    parts = phrases.in_parts(texts)
+    sizes = [r["count"] for r in parts.groupBy("_part").count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 32 and len(sizes) >= 32
+    dealt, with_entries = [], phrases.with_entries
+
+    def watch(parts, entries):
+        dealt.append(entries)
+        return with_entries(parts, entries)
+
+    monkeypatch.setattr(phrases, "with_entries", watch)
+    rows = phrases.with_variants(texts, variants).collect()
+    want = lambda i: ([4] + [5] * (i % 10 == 3) + [6] * (i % 100 == 7) + [7] * (i % 100 == 7) if i % 2 else [1])
+    assert {r.text_id: (r.found, r.other) for r in rows} == {i: (want(i), 2 * i) for i in range(1000)} and len(rows) == 1000
+    assert [r.token for r in dealt[0].filter("project_id = 'p1'").orderBy("token").collect()] == ["3", "ice", "lone"]
