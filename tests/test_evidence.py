@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lexiloom.operators import glossary as G
+from lexiloom.operators import phrases
 from lexiloom.operators import terms as T
 
 LONG = " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60))
@@ -70,3 +71,29 @@ def test_runs_of_known_terms_carry_no_example(spark):
     blocks, terms = tables(spark)
     keyed = terms.withColumn("key", T.X.term_key(F.col("source_term")))
     assert not {"example", "location", "_low", "_one"} & set(T.known_runs(blocks, keyed).columns)
+
+
+def test_marks_hold_all_rows_and_few_others(spark):
+    rows = spark.range(5000).selectExpr("concat('p', id % 3) project_id", "concat('key ', id) key", "cast(id % 5 as int) n")
+    every = spark.range(20_000).selectExpr("concat('p', id % 3) project_id", "concat('key ', id) key", "cast(id % 5 as int) n", "id")
+    marked = phrases.marks(rows, *T.KEY, "n")
+    told = {r.id for r in every.filter(marked(F.col("project_id"), F.col("key"), F.col("n"))).collect()}
+    assert set(range(5000)) <= told and len(told) < 6500
+    none = phrases.marks(rows.limit(0), *T.KEY)
+    assert every.filter(none(F.col("project_id"), F.col("key"))).isEmpty()
+
+
+def test_more_rows_than_bits_lose_no_run(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "MOST_BITS", 64)
+    test_known_runs_are_those_of_all_runs(spark)
+
+
+def test_words_of_texts_are_not_dealt_out_for_known_terms(spark, monkeypatch):
+    def dealt(*given):
+        raise AssertionError("every word of every segment is shuffled")
+
+    monkeypatch.setattr(phrases, "known_words", dealt)
+    blocks, terms = tables(spark)
+    blocks = blocks.unionByName(blocks.withColumn("project_id", F.lit(None).cast("string")))
+    found = {(r.project_id, r.record_no): r.occurrences for r in G.term_evidence(terms, blocks).collect()}
+    assert found["p", 0] == 3 and found["p", 3] == 1 and found["q", 0] == 0
